@@ -212,9 +212,9 @@ def solve_in_task(
             }
         )
 
-    return (
-        located.groupBy("slot").cogroup(state.groupBy("slot")).applyInArrow(solve, SOLVED)
-    )
+    # Fresh column identities, in case the state was derived from the same rows.
+    state = state.toDF(*state.columns)
+    return located.groupBy("slot").cogroup(state.groupBy("slot")).applyInArrow(solve, SOLVED)
 
 
 def block_loss_gradient(

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,17 +54,12 @@ def from_ml_vectors(df: DataFrame, label: str, features: str) -> DataFrame:
 
 def to_ml_vectors(df: DataFrame) -> DataFrame:
     """(label 0/1, features) for Spark ML; sparse rows stay sparse."""
-    from pyspark.ml.functions import array_to_vector
-
     labelled = df.withColumn("label", to_binary_label(F.col("y")))
     vector = array_to_vector("x") if "x" in df.columns else _sparse_vector()
     return labelled.withColumn("features", vector)
 
 
 def _sparse_vector() -> Column:
-    import pandas as pd
-    from pyspark.ml.linalg import VectorUDT
-
     @F.pandas_udf(VectorUDT())
     def build(size: pd.Series, idx: pd.Series, val: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"type": 0, "size": size, "indices": idx, "values": val})
