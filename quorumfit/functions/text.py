@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` plus new columns that are computed once per row. The one-row generator
+    keeps later filters and projections from repeating the expressions."""
+    new = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline(F.array(new)))
+
+
 def tokens(line: Column) -> Column:
     """Words of a line; runs of blanks and tabs count as one separator."""
     return F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
 
 
-def label_token(line: Column) -> Column:
-    return F.get(tokens(line), F.lit(0)).try_cast("double")
+def label_of(words: Column) -> Column:
+    return F.get(words, F.lit(0)).try_cast("double")
 
 
-def feature_entries(line: Column) -> Column:
-    """array<struct<i:int, pos:int, v:double>> in text order; a token that is not
-    ``int:number`` leaves nulls in its entry."""
-    words = tokens(line)
+def feature_entries(words: Column) -> Column:
+    """array<struct<i:int, pos:int, v:double>> in text order from the words of a line; a
+    word that is not ``int:number`` leaves nulls in its entry."""
     features = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
 
     def entry(word: Column, pos: Column) -> Column:
@@ -39,11 +45,17 @@ def sort_entries(entries: Column) -> Column:
 
 
 def last_of_each_index(entries: Column) -> Column:
-    """From sorted entries keep the last one written for every index."""
-    return F.filter(
+    """From sorted entries keep the last one written for every index: each entry is
+    paired with its successor, one pass over the array."""
+    successors = F.slice(entries, F.lit(2), F.greatest(F.size(entries) - 1, F.lit(0)))
+    paired = F.zip_with(
         entries,
-        lambda e, k: F.coalesce(F.get(entries, k + 1)["i"] != e["i"], F.lit(True)),
+        successors,
+        lambda e, after: F.struct(
+            e.alias("e"), F.coalesce(after["i"] != e["i"], F.lit(True)).alias("last")
+        ),
     )
+    return F.transform(F.filter(paired, lambda p: p["last"]), lambda p: p["e"])
 
 
 def shift_index(index: Column, base: Column | int) -> Column:

@@ -79,12 +79,8 @@ def scatter(idx: Column, val: Column, size: Column | int) -> Column:
     zeros of its gap, so the work is linear in the width."""
     width = size if isinstance(size, Column) else F.lit(int(size))
     zero = F.lit(0.0)
-    pieces = F.transform(
-        idx,
-        lambda i, k: F.concat(
-            F.array_repeat(zero, i - F.when(k > 0, F.get(idx, k - 1)).otherwise(F.lit(-1)) - 1),
-            F.array(F.get(val, k)),
-        ),
-    )
-    last = F.when(F.size(idx) > 0, F.get(idx, F.size(idx) - 1)).otherwise(F.lit(-1))
+    before = F.concat(F.array(F.lit(-1)), F.slice(idx, F.lit(1), F.greatest(F.size(idx) - 1, F.lit(0))))
+    gaps = F.zip_with(idx, F.slice(before, F.lit(1), F.size(idx)), lambda i, p: i - p - 1)
+    pieces = F.zip_with(gaps, val, lambda g, v: F.concat(F.array_repeat(zero, g), F.array(v)))
+    last = F.coalesce(F.try_element_at(idx, F.lit(-1)), F.lit(-1))
     return F.concat(F.flatten(pieces), F.array_repeat(zero, width - last - 1))

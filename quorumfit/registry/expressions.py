@@ -154,11 +154,12 @@ def dense_scatter(spark, sf_dir):
 )
 def tokenize_line(spark, sf_dir):
     lines = X.libsvm_lines(X.ex_sparse(spark, sf_dir), 1)
-    return lines.select(
+    words = text.staged(lines, ["id"], words=text.tokens(F.col("line")))
+    return words.select(
         "id",
-        text.label_token(F.col("line")).alias("label"),
-        F.size(text.tokens(F.col("line"))).alias("n_tokens"),
-        F.explode(text.feature_entries(F.col("line"))).alias("e"),
+        text.label_of(F.col("words")).alias("label"),
+        F.size("words").alias("n_tokens"),
+        F.explode(text.feature_entries(F.col("words"))).alias("e"),
     ).select("id", "label", "n_tokens", "e.pos", "e.i", r("e.v").alias("v"))
 
 
@@ -366,7 +367,7 @@ def sorted_features(spark, sf_dir):
     backwards = X.ex_sparse(spark, sf_dir).withColumn("idx", F.reverse("idx")).withColumn(
         "val", F.reverse("val")
     )
-    entries = text.sort_entries(text.feature_entries(F.col("line")))
+    entries = text.sort_entries(text.feature_entries(text.tokens(F.col("line"))))
     return (
         X.libsvm_lines(backwards, 1)
         .select("id", F.posexplode(entries).alias("k", "e"))

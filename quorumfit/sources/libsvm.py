@@ -89,21 +89,19 @@ def parse_lines(
     and returned with their reason instead of failing the job or being dropped
     silently. Blank lines are skipped.
     """
-    parsed = lines.filter(F.trim("line") != "").select(
-        "id",
-        "line",
-        text.label_token(F.col("line")).alias("y"),
-        text.feature_entries(F.col("line")).alias("entries"),
+    words = text.staged(lines, ["id", "line"], words=text.tokens(F.col("line")))
+    parsed = text.staged(
+        words.filter(F.size("words") > 0),
+        ["id", "line"],
+        y=text.label_of(F.col("words")),
+        entries=text.sort_entries(text.feature_entries(F.col("words"))),
     )
     bad_token = F.exists("entries", lambda e: e["i"].isNull() | e["v"].isNull())
-    parsed = parsed.withColumn(
-        "reason",
-        F.when(F.col("y").isNull(), "bad label").when(bad_token, "bad feature"),
-    )
+    reason = F.when(F.col("y").isNull(), "bad label").when(bad_token, "bad feature")
     indices = F.transform("entries", lambda e: e["i"])
     if index_base == "auto" or num_features is None:
         low, high = (
-            parsed.filter(F.col("reason").isNull())
+            parsed.filter(reason.isNull())
             .agg(
                 F.min(F.array_min(F.filter(indices, lambda i: i >= 0))),
                 F.max(F.array_max(indices)),
@@ -116,20 +114,18 @@ def parse_lines(
         base, size = int(index_base), num_features
 
     outside = F.exists("entries", lambda e: (e["i"] < base) | (e["i"] >= base + size))
-    checked = parsed.withColumn(
-        "reason", F.coalesce("reason", F.when(outside, "index out of range"))
+    checked = text.staged(
+        parsed,
+        ["id", "line", "y"],
+        reason=F.coalesce(reason, F.when(outside, "index out of range")),
+        kept=text.last_of_each_index(F.col("entries")),
     )
-    kept = text.last_of_each_index(text.sort_entries(F.col("entries")))
-    examples = (
-        checked.filter(F.col("reason").isNull())
-        .withColumn("kept", kept)
-        .select(
-            "id",
-            "y",
-            F.lit(size).alias("size"),
-            F.transform("kept", lambda e: text.shift_index(e["i"], base)).alias("idx"),
-            F.transform("kept", lambda e: e["v"]).alias("val"),
-        )
+    examples = checked.filter(F.col("reason").isNull()).select(
+        "id",
+        "y",
+        F.lit(size).alias("size"),
+        F.transform("kept", lambda e: text.shift_index(e["i"], base)).alias("idx"),
+        F.transform("kept", lambda e: e["v"]).alias("val"),
     )
     rejected = checked.filter(F.col("reason").isNotNull()).select("id", "line", "reason")
     return ParsedLines(examples, rejected, base, size)
