@@ -73,6 +73,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [
             ("part_id", pa.int32()),
             ("n", pa.int64()),
+            ("n_values", pa.int64()),
+            ("dim", pa.int32()),
+            ("sparse", pa.bool_()),
             ("y", pa.list_(pa.float64())),
             ("lens", pa.list_(pa.int32())),
             ("idx", pa.list_(pa.int32())),
@@ -107,14 +110,23 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_bounds = np.r_[0, np.cumsum(lens)][bounds]
         empty = lists(np.zeros(len(bounds), np.int32), pa.array([], pa.int32()))
         if sparse:
-            idx = lists(value_bounds, batch.column("idx").flatten())
+            flat_idx = batch.column("idx").flatten()
+            idx = lists(value_bounds, flat_idx)
             row_lens = lists(bounds, pa.array(lens, pa.int32()))
+            indices = flat_idx.to_numpy(zero_copy_only=False)
+            dims = [
+                int(indices[a:b].max(initial=-1)) + 1
+                for a, b in zip(value_bounds[:-1], value_bounds[1:])
+            ]
         else:
-            idx, row_lens = empty, empty
+            idx, row_lens, dims = empty, empty, [int(lens[0])] * len(starts)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(part[starts], pa.int32()),
                 pa.array(np.diff(bounds), pa.int64()),
+                pa.array(np.diff(value_bounds), pa.int64()),
+                pa.array(dims, pa.int32()),
+                pa.array([sparse] * len(starts)),
                 lists(bounds, pa.array(labels)),
                 row_lens,
                 idx,
@@ -142,19 +154,14 @@ def pack_chunks(examples: DataFrame) -> DataFrame:
 
 
 def block_sizes(chunks: DataFrame) -> DataFrame:
-    """One row per non-empty block: rows, stored feature values, and the smallest and
-    largest dimension over its chunks. A dense chunk has the width of its rows, a
-    sparse one its largest index + 1."""
-    sparse = F.size("lens") > 0
-    width = F.when(sparse, F.array_max("idx") + 1).otherwise(
-        (F.size("val") / F.col("n")).cast("int")
-    )
+    """One row per non-empty block: rows, stored feature values, and the smallest dense
+    and largest dimension over its chunks. Reads the chunk descriptions only."""
     return chunks.groupBy("part_id").agg(
         F.sum("n").alias("n"),
-        F.sum(F.size("val").cast("long")).alias("n_values"),
-        F.coalesce(F.max(width), F.lit(0)).alias("high"),
-        F.min(F.when(~sparse, width)).alias("dense_low"),
-        F.max(sparse).alias("sparse"),
+        F.sum("n_values").alias("n_values"),
+        F.max("dim").alias("high"),
+        F.min(F.when(~F.col("sparse"), F.col("dim"))).alias("dense_low"),
+        F.max("sparse").alias("sparse"),
     )
 
 
@@ -162,6 +169,8 @@ def chunk_profile(chunks: DataFrame) -> DataFrame:
     """One row over all blocks: counts, the largest block and the dimension bounds."""
     return block_sizes(chunks).agg(
         F.count("*").alias("n_blocks"),
+        F.min("part_id").alias("first_id"),
+        F.max("part_id").alias("last_id"),
         F.sum("n").alias("rows"),
         F.max("n").alias("max_rows"),
         F.max("n_values").alias("max_values"),
@@ -171,30 +180,57 @@ def chunk_profile(chunks: DataFrame) -> DataFrame:
     )
 
 
-def spread_slots(df: DataFrame, n_blocks: int, limit: int = 1024) -> DataFrame:
-    """Add ``slot``, a renaming of ``part_id`` whose hash puts every block of a small
-    block count into a partition of its own; hashing small ids directly leaves some
-    partitions with several blocks and others with none."""
-    if n_blocks > limit:
+SPREAD_LIMIT = 1024
+
+
+def spread_slots(df: DataFrame, n_ids: int) -> DataFrame:
+    """Add ``slot``, a renaming of ``part_id`` in 0..n_ids-1 whose hash puts every block
+    of a small block count into a partition of its own; hashing small ids directly
+    leaves some partitions with several blocks and others with none."""
+    if n_ids > SPREAD_LIMIT:
         return df.withColumn("slot", F.col("part_id"))
-    spark = df.sparkSession
     homes = (
-        spark.range(n_blocks * 64)
+        df.sparkSession.range(n_ids * 64)
         .select(F.col("id").cast("int").alias("slot"))
-        .groupBy(F.pmod(F.hash("slot"), F.lit(n_blocks)).alias("home"))
+        .groupBy(F.pmod(F.hash("slot"), F.lit(n_ids)).alias("home"))
         .agg(F.min("slot").alias("slot"))
         .collect()
     )
     by_home = {row["home"]: row["slot"] for row in homes}
-    if len(by_home) < n_blocks:
+    if len(by_home) < n_ids:
         return df.withColumn("slot", F.col("part_id"))
-    names = F.array(*[F.lit(by_home[i]) for i in range(n_blocks)])
+    names = F.array(*[F.lit(by_home[i]) for i in range(n_ids)])
     return df.withColumn("slot", F.get(names, F.col("part_id")))
 
 
-def co_locate(chunks: DataFrame, n_blocks: int) -> DataFrame:
+def co_locate(chunks: DataFrame, n_ids: int, n_blocks: int | None = None) -> DataFrame:
     """Bring all chunks of a block into one partition, ordered by block, once. Only for
     blocks whose size was checked; cached, this partitioning and order are reused by
-    every later co-group on ``slot``."""
-    placed = spread_slots(chunks, n_blocks)
-    return placed.repartition(n_blocks, "slot").sortWithinPartitions("slot")
+    every later co-group on ``slot``. Many blocks share a bounded number of partitions
+    and are still solved one at a time."""
+    tasks = n_ids
+    if n_ids > SPREAD_LIMIT:
+        cores = chunks.sparkSession.sparkContext.defaultParallelism
+        tasks = min(n_blocks or n_ids, max(SPREAD_LIMIT, 4 * cores))
+    placed = spread_slots(chunks, n_ids)
+    return placed.repartition(tasks, "slot").sortWithinPartitions("slot")
+
+
+def salt_count(n, rows: int, tasks: int):
+    """Number of slices of a block with ``n`` of all ``rows``: its share of the tasks."""
+    return F.greatest(F.ceil(n * F.lit(tasks) / F.lit(rows)), F.lit(1)).cast("int")
+
+
+def salt_chunks(chunks: DataFrame, sizes: DataFrame, n_blocks: int, rows: int, tasks: int) -> DataFrame:
+    """Spread every block's chunks over as many partitions as its share of the rows
+    warrants, so a block with a third of the data gets a third of the tasks. The slice
+    follows the scan task of a chunk, which a retry repeats."""
+    counts = sizes.select("part_id", salt_count(F.col("n"), rows, tasks).alias("salts"))
+    if n_blocks <= 1_000_000:  # at most 8 MB
+        counts = F.broadcast(counts)
+    salted = chunks.withColumn("task", F.spark_partition_id()).join(counts, "part_id")
+    return (
+        salted.withColumn("salt", F.pmod("task", "salts"))
+        .drop("task", "salts")
+        .repartition(tasks, "part_id", "salt")
+    )

@@ -23,6 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumfit.operators.blocks import salt_count
 from quorumfit.session import drop_path, fresh_path
 
 FLUSH_BYTES = 64 << 20
@@ -219,26 +220,28 @@ def solve_in_task(
 
 def block_loss_gradient(
     chunks: DataFrame, weights: DataFrame, problem: LocalProblem, n_blocks: int,
-    salts: int = 1, salted: bool = False,
+    tasks: int = 1,
 ) -> DataFrame:
     """(part_id, n, loss, grad): summed loss and gradient of every block at its weights
-    ``(part_id, w)``.
+    ``(part_id, n, w)``.
 
     Every task adds up its own chunks first. The weights are broadcast while their
-    size, blocks x dimension, is below a bound; beyond it chunks are expected to be
-    partitioned by (part_id, salt) and the weights are copied once per salt and joined
-    there, so the data side stays where it is.
+    size, blocks x dimension, is below a bound; beyond it the chunks come from
+    ``salt_chunks`` and the weights are copied once per slice of their block and joined
+    there, so the data side stays where it is. ``tasks`` is the number of tasks over the
+    chunks.
     """
     dim, intercept, loss = problem.dim, problem.intercept, problem.loss
-    if salted:
-        copies = weights.withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    if "salt" in chunks.columns:
+        slices = salt_count(F.col("n"), problem.total_rows, tasks)
+        copies = weights.select(
+            "part_id", "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt")
         )
         joined = chunks.join(copies, ["part_id", "salt"]).drop("salt")
     elif n_blocks * dim * 8 <= BROADCAST_BYTES:
-        joined = chunks.join(F.broadcast(weights), "part_id")
+        joined = chunks.join(F.broadcast(weights.select("part_id", "w")), "part_id")
     else:
-        joined = chunks.join(weights, "part_id")
+        joined = chunks.join(weights.select("part_id", "w"), "part_id")
     columns = ["part_id", "n", "y", "lens", "idx", "val", "w"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +282,9 @@ def block_loss_gradient(
             yield release()
 
     partial = joined.select(*columns).mapInArrow(sums, PARTIAL)
-    if salts > 1:
+    if tasks > 64:
+        # Two levels, so that no task adds up the vectors of all others.
+        salts = int(np.ceil(np.sqrt(tasks)))
         partial = _sum_partials(
             partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))),
             ["part_id", "salt"],
@@ -338,8 +343,7 @@ def _read_search(batch: pa.RecordBatch, k: int, problem: LocalProblem) -> Search
 
 def solve_across_tasks(
     chunks: DataFrame, state: DataFrame, problem: LocalProblem, z_bc, rho: float,
-    n_blocks: int, dual_scale: float = 1.0, first: bool = False, salts: int = 1,
-    salted: bool = False,
+    n_blocks: int, dual_scale: float = 1.0, first: bool = False, tasks: int = 1,
 ) -> str:
     """All blocks advance together, one distributed evaluation per round, until every
     block's search is done. Returns the path of the solved state table."""
@@ -380,10 +384,10 @@ def solve_across_tasks(
                 "w", F.transform("d", lambda v: v * F.col("t")), lambda a, b: a + b
             )
         )
-        open_blocks = search.filter(~F.col("done")).select("part_id", trial.alias("w"))
+        open_blocks = search.filter(~F.col("done")).select("part_id", "n", trial.alias("w"))
         if open_blocks.isEmpty():
             break
-        sums = block_loss_gradient(chunks, open_blocks, problem, n_blocks, salts, salted)
+        sums = block_loss_gradient(chunks, open_blocks, problem, n_blocks, tasks)
         step = search.join(sums.select("part_id", "loss", "grad"), "part_id", "left")
         following = fresh_path(spark, "search")
         step.mapInArrow(advance, SEARCH).write.parquet(following)

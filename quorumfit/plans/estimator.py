@@ -110,25 +110,22 @@ class ConsensusLogisticRegression:
         if updater.local_update is not None and not in_task:
             raise ValueError("a custom local_update needs blocks that fit one task")
 
-        sizes = B.spread_slots(B.block_sizes(chunks), self.n_blocks)
+        if found["first_id"] < 0:
+            raise ValueError("part_id must not be negative")
+        n_ids = found["last_id"] + 1
+        sizes = B.spread_slots(B.block_sizes(chunks).select("part_id", "n"), n_ids)
         state_path = fresh_path(spark, "state")
         start = steps.initial_state(sizes, dim, self.seed)
         start.withColumn("evaluations", F.lit(0)).write.parquet(state_path)
 
-        salts = salted = None
+        tasks = chunks.rdd.getNumPartitions()
+        data = chunks
         if in_task:
-            data = B.co_locate(chunks, self.n_blocks).persist(self.storage)
-        else:
-            tasks = chunks.rdd.getNumPartitions()
-            salts = 1 if tasks <= 64 else int(np.ceil(np.sqrt(tasks)))
-            salted = n_blocks * dim * 8 > local_solve.BROADCAST_BYTES
-            data = chunks
-            if salted:
-                data = (
-                    chunks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-                    .repartition(tasks, "part_id", "salt")
-                    .persist(self.storage)
-                )
+            data = B.co_locate(chunks, n_ids, n_blocks).persist(self.storage)
+        elif n_blocks * dim * 8 > local_solve.BROADCAST_BYTES:
+            counts = spark.read.parquet(state_path).select("part_id", "n")
+            data = B.salt_chunks(chunks, counts, n_blocks, found["rows"], tasks)
+            data = data.persist(self.storage)
 
         z, rho, dual_scale = np.zeros(dim), self.rho, 1.0
         state = self._read_state(spark, state_path)
@@ -144,8 +141,7 @@ class ConsensusLogisticRegression:
                 ).write.parquet(next_path)
             else:
                 next_path = local_solve.solve_across_tasks(
-                    data, state, problem, z_bc, rho, n_blocks, dual_scale, iteration == 1,
-                    salts, salted,
+                    data, state, problem, z_bc, rho, n_blocks, dual_scale, iteration == 1, tasks,
                 )
             state = self._read_state(spark, next_path)
             total = steps.state_summary(state).first()

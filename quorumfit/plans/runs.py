@@ -77,13 +77,19 @@ def run_experiment(
     n_blocks: int = DEFAULT_BLOCKS,
     lam: float = DEFAULT_LAMBDA,
     max_iter: int | None = None,
+    cache: bool = True,
     **options,
 ) -> RunResult:
-    """Profile, fit, evaluate and describe one run. ``options`` go to the fit."""
+    """Profile, fit, evaluate and describe one run. ``options`` go to the fit. ``cache``
+    keeps the parsed training rows between the profile and the fit; turn it off for
+    data that is columnar already."""
     if algorithm not in DEFAULT_MAX_ITER:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {sorted(DEFAULT_MAX_ITER)}")
     spark = data.train.sparkSession
     max_iter = DEFAULT_MAX_ITER[algorithm] if max_iter is None else max_iter
+    own_cache = cache and not data.train.is_cached
+    if own_cache:
+        data.train.persist()
     seen = evaluate.profile(data.train).first()
 
     if algorithm == ADMM:
@@ -96,6 +102,8 @@ def run_experiment(
         model = fit_lbfgs(data.train, lam, max_iter, **options)
         scored, weights, trace = model.transform(data.test), model.weights_df(spark), None
         label, columns = "label", ["label", "predicted"]
+    if own_cache:
+        data.train.unpersist()
     outcome = evaluate.accuracy(scored, label).first()
     shape = evaluate.model_summary(weights).first()
 

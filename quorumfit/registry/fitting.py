@@ -67,14 +67,15 @@ def state_sums(spark, sf_dir):
     )
 
 
-def _lines_gradient(spark, sf_dir, rows, weights, dim, salts=1, salted=False):
+def _lines_gradient(spark, sf_dir, rows, weights, dim, tasks=1, salted=False):
     chunks = B.pack_chunks(rows)
+    sizes = rows.groupBy("part_id").agg(F.count("*").alias("n"))
     n_rows = rows.count()
     if salted:
-        chunks = chunks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    at = rows.select("part_id").distinct().withColumn("w", V.vector_literal(weights))
+        chunks = B.salt_chunks(chunks, sizes, X.N_BLOCKS, n_rows, tasks)
+    at = sizes.withColumn("w", V.vector_literal(weights))
     problem = LS.LocalProblem(dim, n_rows)
-    sums = LS.block_loss_gradient(chunks, at, problem, X.N_BLOCKS, salts, salted)
+    sums = LS.block_loss_gradient(chunks, at, problem, X.N_BLOCKS, tasks)
     return sums.select(
         "part_id",
         "n",
@@ -111,7 +112,7 @@ def block_loss_gradient_sparse(spark, sf_dir):
     """The same on sparse rows, with salted two-level sums and joined weights."""
     rows = X.ex_sparse(spark, sf_dir)
     dim = rows.agg(F.max("size")).first()[0]
-    return _lines_gradient(spark, sf_dir, rows, X.rule_weights(dim), dim, 3, True)
+    return _lines_gradient(spark, sf_dir, rows, X.rule_weights(dim), dim, 100, True)
 
 
 @query(

@@ -52,10 +52,14 @@ MODEL = T.StructType(
 
 # Rows packed per block. A dense chunk leaves `lens` and `idx` empty and holds
 # its rows one after another in `val`; a sparse chunk keeps row lengths in `lens`.
+# `n_values`, `dim` and `sparse` describe the chunk without reading its arrays.
 CHUNK = T.StructType(
     [
         T.StructField("part_id", T.IntegerType()),
         T.StructField("n", T.LongType()),
+        T.StructField("n_values", T.LongType()),
+        T.StructField("dim", T.IntegerType()),
+        T.StructField("sparse", T.BooleanType()),
         T.StructField("y", T.ArrayType(T.DoubleType())),
         T.StructField("lens", T.ArrayType(T.IntegerType())),
         T.StructField("idx", T.ArrayType(T.IntegerType())),
