@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from quorumfit.operators import blocks as B
 from quorumfit.plans import compare, runs
+from quorumfit.plans.baseline import fit_lbfgs
 from quorumfit.registry import fixtures as X
 from quorumfit.registry.catalog import query
+from quorumfit.registry.fitting import newton_sql
 from quorumfit.session import fresh_path
 from quorumfit.sources import libsvm
 
@@ -22,36 +24,131 @@ def _split(spark, sf_dir, name="embeddings"):
     return runs.ExampleSet(name, train, test)
 
 
-@query()
+PAIR_LAM = 0.25
+# Options under which the fit runs until its weights settle, and its result does not
+# depend on which rows share a block.
+SETTLED = dict(
+    weighting="rows", criterion="both", eps_abs=1e-6, eps_rel=1e-6, local_tol=1e-10, rho=0.02
+)
+SPLIT_SQL = (
+    X.EX_PAIR
+    + """,
+sides AS (SELECT *, (id % 2147483647) * 2654435761 % 1000 < 800 AS training FROM pair),
+train AS (SELECT y, a, b, 0 AS one FROM sides WHERE training),
+test AS (SELECT y, a, b FROM sides WHERE NOT training),
+counts AS (SELECT (SELECT count(*) FROM train) AS train_samples,
+                  (SELECT count(*) FROM test) AS test_samples)"""
+)
+
+
+def _pair_split(spark, sf_dir):
+    rows = X.ex_pair(spark, sf_dir).drop("part_id")
+    train, test = B.hash_split(rows, "id", 0.8)
+    return runs.ExampleSet("pair", train, test)
+
+
+RUN_COLUMNS = ["dataset", "algorithm", "train_samples", "test_samples", "features", "partitions",
+               "non_zero_weights", "total_weights", "accuracy_percent"]
+
+
+def _run_sql(algorithm, features):
+    return f"""SELECT 'pair' AS dataset, '{algorithm}' AS algorithm, any_value(train_samples) AS train_samples,
+    any_value(test_samples) AS test_samples, {features}::INTEGER AS features, 8::INTEGER AS partitions,
+    {features}::INTEGER AS non_zero_weights, {features}::INTEGER AS total_weights,
+    {sql_r('100.0::DOUBLE * avg(hit)', 2)} AS accuracy_percent, any_value(norm) AS model_norm
+    FROM scored, counts"""
+
+
+@query(
+    f"""WITH {SPLIT_SQL}, {newton_sql('train', 'one', f'{2 * PAIR_LAM}', ('0', '0'))},
+    scored AS (SELECT {sql_r('sqrt(p * p + q * q)', 4)} AS norm,
+                      CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * p + b * q))) > 0.5 THEN 1 ELSE -1 END
+                           THEN 1 ELSE 0 END AS hit FROM test, w10)
+    {_run_sql('admm', 2)}"""
+)
 def run_consensus(spark, sf_dir):
-    """Load, profile, fit, evaluate: one metrics row."""
-    return runs.run_experiment(_split(spark, sf_dir), "admm").metrics.select(*STABLE)
+    """Split, profile, fit, evaluate: one metrics row."""
+    data = _pair_split(spark, sf_dir)
+    result = runs.run_experiment(data, "admm", lam=PAIR_LAM, max_iter=200, **SETTLED)
+    return result.metrics.select(*RUN_COLUMNS, r("model_norm", 4).alias("model_norm"))
 
 
-@query()
+def _lbfgs_sql(source):
+    """Newton CTEs of the baseline on one standardised feature with a free intercept;
+    ``best`` has the weight of the raw feature and the intercept."""
+    steps = newton_sql("spread", "one", "0.01", ("0", "q")).replace("(hbb + c)", "hbb")
+    return f"""base AS (SELECT y, a, 1.0::DOUBLE AS b, 0 AS one FROM {source}),
+    spread AS (SELECT y, a / d AS a, b, one FROM base, (SELECT stddev_samp(a) AS d FROM base)),
+    {steps},
+    best AS (SELECT p / (SELECT stddev_samp(a) FROM base) AS p, q FROM w10)"""
+
+
+def _first_feature(data):
+    cut = lambda df: df.withColumn("x", F.slice("x", 1, 1))
+    return runs.ExampleSet(data.dataset, cut(data.train), cut(data.test))
+
+
+@query(
+    f"""WITH {SPLIT_SQL}, {_lbfgs_sql('train')},
+    scored AS (SELECT {sql_r('abs(p)', 4)} AS norm,
+                      CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * p + q))) > 0.5 THEN 1 ELSE -1 END
+                           THEN 1 ELSE 0 END AS hit FROM test, best)
+    {_run_sql('lbfgs', 1)}"""
+)
 def run_lbfgs(spark, sf_dir):
-    return runs.run_experiment(_split(spark, sf_dir), "lbfgs").metrics.select(*STABLE)
+    data = _first_feature(_pair_split(spark, sf_dir))
+    result = runs.run_experiment(data, "lbfgs", tol=1e-12)
+    return result.metrics.select(*RUN_COLUMNS, r("model_norm", 4).alias("model_norm"))
 
 
-@query()
+@query(
+    f"""WITH {X.EX_PAIR}, {_lbfgs_sql('pair')}
+    SELECT {sql_r('p', 4)} AS weight, {sql_r('q', 4)} AS intercept FROM best"""
+)
+def lbfgs_fit(spark, sf_dir):
+    """The L-BFGS baseline on one feature: standardised, free intercept."""
+    rows = X.ex_pair(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    model = fit_lbfgs(rows, tol=1e-12)
+    return model.weights_df(spark).select(
+        r("weight", 4).alias("weight"), r(F.lit(model.intercept), 4).alias("intercept")
+    )
+
+
+@query(
+    f"""WITH {X.EX_PAIR}, {_lbfgs_sql('pair')}
+    SELECT id, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+           CASE WHEN 1 / (1 + exp(-(a * p + q))) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS predicted
+    FROM pair, best"""
+)
+def lbfgs_scores(spark, sf_dir):
+    """Baseline classes in 0/1."""
+    rows = X.ex_pair(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    return fit_lbfgs(rows, tol=1e-12).transform(rows).select("id", "label", "predicted")
+
+
+@query(
+    f"""WITH {X.EX_PAIR}, rows AS (SELECT y, a, b, 0 AS one FROM pair),
+    {newton_sql('rows', 'one', '0.2', ('0', '0'))}
+    SELECT CAST(j AS INTEGER) AS j, {sql_r('CASE WHEN j = 0 THEN p ELSE q END', 4)} AS weight
+    FROM w10, range(2) t(j)"""
+)
 def fit_and_save(spark, sf_dir):
-    """Fit a LibSVM file and save its weights."""
-    rows = X.ex_emb(spark, sf_dir)
+    """Fit a LibSVM file with the batch defaults (lambda 0.1) and save its weights."""
     source, out = fresh_path(spark, "libsvm"), fresh_path(spark, "model")
-    libsvm.write_libsvm(X.as_sparse(rows), source, base=1)
-    runs.fit_and_save(spark, source, X.N_BLOCKS, out, num_features=X.width(rows))
-    return runs.read_weights(spark, out)
+    libsvm.write_libsvm(X.as_sparse(X.ex_pair(spark, sf_dir)), source, base=1)
+    runs.fit_and_save(spark, source, X.N_BLOCKS, out, num_features=2, max_iter=200, **SETTLED)
+    return runs.read_weights(spark, out).select("j", r("weight", 4).alias("weight"))
 
 
 @query()
 def partition_sweep(spark, sf_dir):
-    """Both algorithms at every partition count."""
+    """Both algorithms, default rules, at every partition count."""
     return runs.run_grid([_split(spark, sf_dir)]).select(*STABLE)
 
 
 @query()
 def dataset_sweep(spark, sf_dir):
-    """Both algorithms on a dense and on a sparse dataset."""
+    """Both algorithms, default rules, on a dense and on a sparse dataset."""
     sparse = X.ex_sparse(spark, sf_dir).drop("part_id")
     train, test = B.hash_split(sparse, "id", 0.8)
     sets = [_split(spark, sf_dir, "dense"), runs.ExampleSet("sparse", train, test)]

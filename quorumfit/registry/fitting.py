@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quorumfit.functions import vectors as V
 from quorumfit.operators import blocks as B
 from quorumfit.operators import local_solve as LS
 from quorumfit.operators import steps
-from quorumfit.plans.baseline import fit_lbfgs
 from quorumfit.plans.estimator import ConsensusLogisticRegression
 from quorumfit.registry import fixtures as X
 from quorumfit.registry.catalog import query
@@ -145,12 +145,23 @@ def initial_state(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""WITH {X.EX} SELECT part_id, count(DISTINCT j) AS coordinates, count(DISTINCT j) AS in_range,
+    count(DISTINCT j) AS different FROM exj GROUP BY part_id"""
+)
 def initial_state_seeded(spark, sf_dir):
+    """Random start: every coordinate of every block drawn from [0, 0.01), no two alike."""
     rows = X.ex_emb(spark, sf_dir)
     sizes = B.block_sizes(B.pack_chunks(rows))
-    return steps.initial_state(sizes, X.width(rows), seed=42).select(
-        "part_id", F.posexplode("w").alias("j", "w")
+    return (
+        steps.initial_state(sizes, X.width(rows), seed=42)
+        .select("part_id", F.explode("w").alias("w"))
+        .groupBy("part_id")
+        .agg(
+            F.count("*").alias("coordinates"),
+            F.count_if((F.col("w") >= 0) & (F.col("w") < steps.START_SCALE)).alias("in_range"),
+            F.countDistinct("w").alias("different"),
+        )
     )
 
 
@@ -291,7 +302,7 @@ def _local_problem(spark, sf_dir):
     return chunks, state, problem, spark.sparkContext.broadcast(_Z)
 
 
-_Z = __import__("numpy").array([0.1, -0.2])
+_Z = np.array([0.1, -0.2])
 LOCAL_SQL = f"""WITH {X.EX_PAIR},
     {newton_sql('pair', 'part_id', '0.5', ('0.1 - part_id / 10.0', '-0.2 + part_id / 20.0'))}
     SELECT part_id, {sql_r('p', 5)} AS w0, {sql_r('q', 5)} AS w1 FROM w10"""
@@ -373,25 +384,3 @@ def consensus_state(spark, sf_dir):
     return model.state.select("part_id", "n", F.posexplode(F.arrays_zip("w", "u")).alias("j", "e")).select(
         "part_id", "n", "j", "e.w", "e.u"
     )
-
-
-@query(
-    f"""WITH {X.EX_PAIR}, base AS (SELECT y, a, 1.0::DOUBLE AS b, 0 AS one FROM pair),
-    spread AS (SELECT y, a / d AS a, b, one FROM base, (SELECT stddev_samp(a) AS d FROM base)),
-    {newton_sql('spread', 'one', '0.01', ('0', 'q')).replace('(hbb + c)', 'hbb')}
-    SELECT {sql_r('p / (SELECT stddev_samp(a) FROM base)', 4)} AS weight, {sql_r('q', 4)} AS intercept
-    FROM w10"""
-)
-def lbfgs_fit(spark, sf_dir):
-    """The L-BFGS baseline on one feature: standardised, free intercept."""
-    rows = X.ex_pair(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
-    model = fit_lbfgs(rows, tol=1e-12)
-    return model.weights_df(spark).select(
-        r("weight", 4).alias("weight"), r(F.lit(model.intercept), 4).alias("intercept")
-    )
-
-
-@query()
-def lbfgs_scores(spark, sf_dir):
-    rows = X.ex_emb(spark, sf_dir)
-    return fit_lbfgs(rows).transform(rows).select("id", "label", "predicted")
