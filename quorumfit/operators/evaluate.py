@@ -11,7 +11,7 @@ from quorumfit.functions import logistic as L
 from quorumfit.functions import vectors as V
 
 # Largest weight vector that is placed into the plan as a constant.
-CONSTANT_WEIGHTS_BYTES = 32 << 20
+CONSTANT_WEIGHTS_BYTES = 8 << 20
 
 
 def score(df: DataFrame, weights: Sequence[float], intercept: float = 0.0) -> DataFrame:

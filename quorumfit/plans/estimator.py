@@ -153,6 +153,8 @@ class ConsensusLogisticRegression:
 
             z_prev, w_avg = z, np.array(total["w_avg"])
             z = updater.z_update(w_avg, np.array(total["u_avg"]), rho, n_blocks)
+            if not np.isfinite(z).all():
+                raise ValueError("the fit left the finite numbers; check the features for NaN")
             gap, move = w_avg - z, z - z_prev
             primal = steps.primal_residual(total["w_spread"], gap @ gap, n_blocks)
             dual = steps.dual_residual(rho, n_blocks, move @ move)

@@ -257,11 +257,11 @@ def run_grid(
     datasets: Iterable[ExampleSet],
     algorithms: Iterable[str] = (ADMM, LBFGS),
     partitions: Iterable[int] = SWEEP_PARTITIONS,
-    max_iter: Mapping[str, int] | None = None,
-    **options,
+    options: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """Every dataset x partition count x algorithm, one metrics row per run. Examples
-    are cached once per dataset and shared by its runs."""
+    are cached once per dataset and shared by its runs. ``options`` holds, by
+    algorithm, what :func:`run_experiment` takes."""
     rows, spark = [], None
     algorithms, partitions = list(algorithms), list(partitions)
     for data in datasets:
@@ -270,11 +270,8 @@ def run_grid(
         data.test.persist()
         for count in partitions:
             for algorithm in algorithms:
-                limit = (max_iter or DEFAULT_MAX_ITER)[algorithm]
-                extra = options if algorithm == ADMM else {}
-                rows.append(
-                    run_experiment(data, algorithm, count, max_iter=limit, **extra).row
-                )
+                own = (options or {}).get(algorithm, {})
+                rows.append(run_experiment(data, algorithm, count, **own).row)
         data.train.unpersist()
         data.test.unpersist()
     return spark.createDataFrame(rows, METRICS)

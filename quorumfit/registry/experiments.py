@@ -140,10 +140,34 @@ def fit_and_save(spark, sf_dir):
     return runs.read_weights(spark, out).select("j", r("weight", 4).alias("weight"))
 
 
-@query()
+def _sweep_sql(algorithm, weight, bias):
+    """Runs of one algorithm at every partition count; the optimum is the same at each."""
+    return f"""SELECT 'pair' AS dataset, '{algorithm}' AS algorithm, any_value(train_samples) AS train_samples,
+    any_value(test_samples) AS test_samples, 1::INTEGER AS features, CAST(n AS INTEGER) AS partitions,
+    1::INTEGER AS non_zero_weights, 1::INTEGER AS total_weights,
+    {sql_r('100.0::DOUBLE * avg(hit)', 2)} AS accuracy_percent, {sql_r('any_value(abs(w))', 3)} AS model_norm
+    FROM (SELECT {weight} AS w,
+                 CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * {weight} + {bias}))) > 0.5 THEN 1 ELSE -1 END
+                      THEN 1 ELSE 0 END AS hit FROM test, best, settled), counts,
+         (VALUES (5), (8), (10), (15)) grid(n)
+    GROUP BY n"""
+
+
+@query(
+    f"""WITH {SPLIT_SQL}, {_lbfgs_sql('train')},
+    single AS (SELECT y, a, 0.0::DOUBLE AS b, 0 AS one FROM train),
+    {newton_sql('single', 'one', f'{2 * PAIR_LAM}', ('0', '0'), prefix='s')},
+    settled AS (SELECT p AS sp FROM sw10)
+    {_sweep_sql('admm', 'sp', '0')} UNION ALL {_sweep_sql('lbfgs', 'p', 'q')}"""
+)
 def partition_sweep(spark, sf_dir):
-    """Both algorithms, default rules, at every partition count."""
-    return runs.run_grid([_split(spark, sf_dir)]).select(*STABLE)
+    """Both algorithms at every partition count."""
+    options = {
+        "admm": SETTLED | dict(lam=PAIR_LAM, max_iter=200, eps_abs=1e-5, eps_rel=1e-5),
+        "lbfgs": dict(tol=1e-12),
+    }
+    grid = runs.run_grid([_first_feature(_pair_split(spark, sf_dir))], options=options)
+    return grid.select(*RUN_COLUMNS, r("model_norm", 3).alias("model_norm"))
 
 
 @query()

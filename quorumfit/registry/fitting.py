@@ -267,27 +267,30 @@ def penalty_update(spark, sf_dir):
 # --- fits -----------------------------------------------------------------------
 
 
-def newton_sql(source: str, keys: str, penalty: str, gap: tuple[str, str], steps_: int = 10) -> str:
+def newton_sql(
+    source: str, keys: str, penalty: str, gap: tuple[str, str], rounds: int = 10, prefix: str = ""
+) -> str:
     """CTEs of Newton's method for two weights (p, q), one solution per ``keys`` group of
     ``source`` (y, a, b and the columns used in ``gap``): mean logistic loss plus
     penalty/2 * (gap_p^2 + gap_q^2), where ``gap`` gives each weight's offset."""
-    out = [f"w0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM {source})"]
-    for k in range(steps_):
+    w, d = f"{prefix}w", f"{prefix}d"
+    out = [f"{w}0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM {source})"]
+    for k in range(rounds):
         out.append(
-            f"""d{k} AS (SELECT {keys}, p, q, any_value(p - ({gap[0]})) AS gp,
+            f"""{d}{k} AS (SELECT {keys}, p, q, any_value(p - ({gap[0]})) AS gp,
               any_value(q - ({gap[1]})) AS gq, {penalty} AS c,
               avg(-y * a / (1 + exp(y * (a * p + b * q)))) AS ga,
               avg(-y * b / (1 + exp(y * (a * p + b * q)))) AS gb,
               avg(a * a * h) AS haa, avg(a * b * h) AS hab, avg(b * b * h) AS hbb
             FROM (SELECT s.*, p, q, 1 / (1 + exp(-(a * p + b * q))) / (1 + exp(a * p + b * q)) AS h
-                  FROM {source} s JOIN w{k} USING ({keys}))
+                  FROM {source} s JOIN {w}{k} USING ({keys}))
             GROUP BY {keys}, p, q),
-            w{k + 1} AS (SELECT {keys},
+            {w}{k + 1} AS (SELECT {keys},
               p - ((hbb + c) * (ga + c * gp) - hab * (gb + c * gq))
                   / ((haa + c) * (hbb + c) - hab * hab) AS p,
               q - ((haa + c) * (gb + c * gq) - hab * (ga + c * gp))
                   / ((haa + c) * (hbb + c) - hab * hab) AS q
-            FROM d{k})"""
+            FROM {d}{k})"""
         )
     return ",\n".join(out)
 

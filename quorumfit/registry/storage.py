@@ -134,19 +134,12 @@ def scan_metrics_csv(spark, sf_dir):
 
 
 @query(
-    f"""WITH {X.METRICS} SELECT algorithm || '_metrics.csv' AS source_file,
-    CAST(dense_rank() OVER (ORDER BY algorithm) AS INTEGER) AS place FROM metrics
-    GROUP BY algorithm"""
+    f"""WITH {X.METRICS} SELECT algorithm || '_metrics.csv' AS source_file, count(*) AS n FROM metrics
+    GROUP BY algorithm ORDER BY source_file"""
 )
 def metrics_files_in_order(spark, sf_dir):
-    """File names in order, with their place; a handful of names, not rows."""
-    names = read_metrics_csv(spark, _metrics_folder(spark, sf_dir)).select("source_file").distinct()
-    ranked = F.array_sort(F.collect_set("source_file"))
-    return (
-        names.agg(ranked.alias("names"))
-        .select(F.posexplode("names").alias("k", "source_file"))
-        .select("source_file", (F.col("k") + 1).alias("place"))
-    )
+    rows = read_metrics_csv(spark, _metrics_folder(spark, sf_dir))
+    return rows.groupBy("source_file").agg(F.count("*").alias("n")).orderBy("source_file")
 
 
 @query(

@@ -53,8 +53,11 @@ def from_ml_vectors(df: DataFrame, label: str, features: str) -> DataFrame:
 
 
 def to_ml_vectors(df: DataFrame) -> DataFrame:
-    """(label 0/1, features) for Spark ML; sparse rows stay sparse."""
+    """(label 0/1, features) for Spark ML; sparse rows stay sparse, and a ``features``
+    column that is there already is kept."""
     labelled = df.withColumn("label", to_binary_label(F.col("y")))
+    if "features" in df.columns:
+        return labelled
     vector = array_to_vector("x") if "x" in df.columns else _sparse_vector()
     return labelled.withColumn("features", vector)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumfit.functions import vectors as V
 from quorumfit.operators import blocks as B
+from quorumfit.operators import evaluate
 from quorumfit.operators import local_solve as LS
 from quorumfit.operators import steps
 from quorumfit.plans.estimator import ConsensusLogisticRegression
@@ -222,6 +223,22 @@ def test_data_side_is_not_shuffled_again(spark, rows):
     located.unpersist()
 
 
+def test_scoring_reads_its_columns_only(spark, sf_dir):
+    pred = evaluate.predict(X.ex_line(spark, sf_dir), X.LINE_WEIGHTS).filter("id < 100")
+    plan = evaluate.accuracy(pred)._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema:")[1]
+    assert "l_partkey" not in schema and "l_shipdate" not in schema
+    assert "PushedFilters: [IsNotNull(l_orderkey), LessThan(l_orderkey,100)]" in plan
+    assert plan.count("Exchange") == 1  # the partial counts
+    assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_nan_is_reported(rows):
+    broken = rows.withColumn("x", F.when(F.col("id") == 3, F.transform("x", lambda v: v * float("nan"))).otherwise(F.col("x")))
+    with pytest.raises(ValueError, match="NaN"):
+        ConsensusLogisticRegression(max_iter=1).fit(broken)
+
+
 def test_blocks_get_partitions_of_their_own(rows):
     located = B.co_locate(B.pack_chunks(B.assign_blocks(rows, 8, "id")), 8)
     per_task = located.groupBy(F.spark_partition_id()).agg(F.countDistinct("part_id").alias("k"))

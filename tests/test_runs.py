@@ -73,7 +73,8 @@ def test_load_and_run_from_files(spark, sf_dir, tmp_path):
 
 
 def test_grid(data):
-    grid = runs.run_grid([data], partitions=[2, 3], max_iter={"admm": 2, "lbfgs": 5}).collect()
+    options = {"admm": {"max_iter": 2}, "lbfgs": {"max_iter": 5}}
+    grid = runs.run_grid([data], partitions=[2, 3], options=options).collect()
     assert [(r["partitions"], r["algorithm"]) for r in grid] == [
         (2, "admm"), (2, "lbfgs"), (3, "admm"), (3, "lbfgs"),
     ]
