@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Fits are timed as the reference times them: the fit call alone, after the examples
+Fits are timed by the fit call alone, as the published numbers are, after the examples
 were loaded and cached. The first, untimed fit starts the Python workers.
 """
 
