@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumfit.llm import exact_dedup, language_id, mixing, near_dup
+from quorumfit.llm import exact_dedup, language_id, mixing, near_dup, piece_lattice
 from quorumfit.llm.tables import table
 
 QUERIES: dict = {}
@@ -42,6 +42,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(marked, model, keep=["doc_id", "held_out"])
 
 
+@_query()
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_lattice.encode(table(spark, sf_dir, "documents"))
+    return piece_lattice.decode(encoded).select(
+        "doc_id", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip")
+    )
+
+
 @_query()
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
