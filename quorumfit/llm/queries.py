@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumfit.llm import exact_dedup, language_id, mixing, near_dup, piece_lattice
+from quorumfit.llm import (
+    exact_dedup, host_quality, html_text, language_id, licenses, mixing, near_dup, pii,
+    piece_lattice, secrets,
+)
 from quorumfit.llm.tables import table
 
 QUERIES: dict = {}
@@ -34,6 +37,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
 @_query()
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +51,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(marked, model, keep=["doc_id", "held_out"])
 
 
+@_query()
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query()
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_lattice.encode(table(spark, sf_dir, "documents"))
@@ -55,8 +74,19 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality.judge(table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies"
     )
+
+
+@_query()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.train(docs))

@@ -40,3 +40,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: C
     """
     joined = salted(rows, spread).join(repeated(groups), [*keys, "_salt"], "left")
     return joined.drop("_salt")
+
+
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, chosen by hash of doc_id; all of them when there are fewer."""
+    count = docs.count()
+    if count <= rows:
+        return docs
+    share = int(rows / count * 1_000_000)
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
