@@ -70,8 +70,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "http://mozilla.org/MPL/2.0/.",
     ),
     "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
 }
 # End of fixed values.
 
@@ -180,7 +184,7 @@ def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
     return sorted(chosen, key=lambda h: (h[1], h[0]))
 
 
-def scan_licenses(docs: DataFrame, coverage: float = 0.8,
+def scan_licenses(docs: DataFrame, coverage: float = 0.85,
                   templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """License notices of every row: doc_id, n_licenses, licenses, best_coverage, spans.
 
