@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _checked(y: Column, low: float, low_label: float, domain: str) -> Column:
+    wrong = F.raise_error(
+        F.concat(F.lit(f"label must be {domain}: "), F.coalesce(y.cast("string"), F.lit("null")))
+    )
+    return (
+        F.when(y == low, F.lit(low_label)).when(y == 1.0, F.lit(1.0)).otherwise(wrong.cast("double"))
+    )
+
+
 def to_binary_label(y: Column) -> Column:
-    """-1 becomes 0, everything else 1."""
-    return F.when(y == -1.0, F.lit(0.0)).otherwise(F.lit(1.0))
+    """-1/+1 to 0/1. Any other label, null included, is an error."""
+    return _checked(y, -1.0, 0.0, "-1 or +1")
 
 
 def to_signed_label(y: Column) -> Column:
-    """0 becomes -1, everything else +1."""
-    return F.when(y == 0.0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    """0/1 to -1/+1. Any other label, null included, is an error."""
+    return _checked(y, 0.0, -1.0, "0 or 1")
 
 
 def sigmoid(score: Column) -> Column:
@@ -21,8 +30,8 @@ def sigmoid(score: Column) -> Column:
 
 
 def predicted_class(probability: Column) -> Column:
-    """+1 above one half, else -1; a tie goes to -1."""
-    return F.when(probability > 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))
+    """+1 above one half, else -1; a tie goes to -1. Without a probability no class."""
+    return F.when(probability > 0.5, F.lit(1.0)).when(probability.isNotNull(), F.lit(-1.0))
 
 
 def logistic_loss(y: Column, score: Column) -> Column:

@@ -57,21 +57,32 @@ def nonzero_count(a: Column, eps: float = NEAR_ZERO) -> Column:
 
 
 def dot(x: Column, w: Column | Sequence[float]) -> Column:
-    """Inner product of dense vectors; constant weights of small width are unrolled."""
+    """Inner product of dense vectors; constant weights of small width are unrolled.
+
+    One rule at every width: what only one side has counts as zero; a null vector or a null
+    within the common width gives null.
+    """
     if isinstance(w, Column):
-        return total(F.zip_with(x, w, lambda p, q: p * q))
+        common = F.least(F.size(x), F.size(w))
+        cut = lambda v: F.slice(v, F.lit(1), common)
+        return F.when(
+            x.isNotNull() & w.isNotNull(), total(F.zip_with(cut(x), cut(w), lambda p, q: p * q))
+        )
     if len(w) > UNROLL_LIMIT:
         return dot(x, vector_literal(w))
     terms = F.lit(0.0)
     for j, weight in enumerate(w):
-        terms = terms + F.get(x, F.lit(j)) * F.lit(float(weight))
-    return terms
+        value = F.when(F.size(x) > j, F.get(x, F.lit(j))).otherwise(F.lit(0.0))
+        terms = terms + value * F.lit(float(weight))
+    return F.when(x.isNotNull(), terms)
 
 
 def sparse_dot(idx: Column, val: Column, w: Column | Sequence[float]) -> Column:
-    """Inner product of a sparse row (0-based ascending indices) with dense weights."""
+    """Inner product of a sparse row (0-based ascending indices) with dense weights. A
+    feature that the weights do not have counts as zero."""
     weights = w if isinstance(w, Column) else vector_literal(w)
-    return total(F.zip_with(idx, val, lambda i, v: v * F.get(weights, i)))
+    term = lambda i, v: v * F.coalesce(F.get(weights, i), F.lit(0.0))
+    return total(F.zip_with(idx, val, term))
 
 
 def scatter(idx: Column, val: Column, size: Column | int) -> Column:

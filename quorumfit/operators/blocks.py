@@ -1,8 +1,8 @@
 """Splitting rows into blocks, and packing blocks into chunks for vectorised work.
 
 A block is a logical group named by ``part_id``; where its rows lie is a separate
-matter. Packing turns every Arrow batch of a scan task into one chunk per block
-without a shuffle, so a block may span any number of chunks and tasks.
+matter. Packing turns the rows of a scan task into one chunk per block without a
+shuffle, so a block may span any number of chunks and tasks.
 """
 
 from __future__ import annotations
@@ -24,14 +24,19 @@ SPLIT_MODULUS = 2147483647
 SPLIT_MULTIPLIER = 2654435761
 SPLIT_BUCKETS = 1000
 
+# Bytes of rows that a task holds before it packs them.
+GATHER_BYTES = 64 << 20
+
 
 def assign_blocks(df: DataFrame, n_blocks: int, key: str | None = None) -> DataFrame:
-    """Add ``part_id`` in 0..n_blocks-1: by an integer key, by the hash of any other
-    key, or row by row when there is no key."""
+    """Add ``part_id`` in 0..n_blocks-1: by the hash of the key, or row by row when there
+    is no key. Integer keys are mixed by the multiplier of the split, so that keys in steps
+    of n_blocks spread like any others; rows without a key form block 0."""
     if key is None:
         slot = F.pmod(F.monotonically_increasing_id(), F.lit(n_blocks))
     elif isinstance(df.schema[key].dataType, T.IntegralType):
-        slot = F.pmod(F.col(key), F.lit(n_blocks))
+        mixed = F.pmod(F.col(key), F.lit(SPLIT_MODULUS)) * F.lit(SPLIT_MULTIPLIER)
+        slot = F.coalesce(F.pmod(F.shiftright(mixed, 20), F.lit(n_blocks)), F.lit(0))
     else:
         slot = F.pmod(F.xxhash64(key), F.lit(n_blocks))
     return df.withColumn("part_id", slot.cast("int"))
@@ -43,29 +48,47 @@ def random_split(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> list[Data
 
 def hash_split(df: DataFrame, key: str, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Train/test split that depends on the integer key alone, so it is the same on
-    every run, layout and retry."""
+    every run, layout and retry. Rows without a key are training rows."""
     bucket = F.pmod(
         F.pmod(F.col(key), F.lit(SPLIT_MODULUS)) * F.lit(SPLIT_MULTIPLIER), F.lit(SPLIT_BUCKETS)
     )
-    inside = bucket < int(round(ratio * SPLIT_BUCKETS))
+    inside = F.coalesce(bucket < int(round(ratio * SPLIT_BUCKETS)), F.lit(True))
     return df.filter(inside), df.filter(~inside)
 
 
 def cap_rows(df: DataFrame, cap: int, order: str, salts: int = 1024) -> DataFrame:
     """First ``cap`` rows of every block by ``order`` (a unique column).
 
-    Two ranking rounds: the first ranks salted slices of a block, so no task sorts a
-    whole block; the second ranks at most ``salts * cap`` survivors.
+    Ranking rounds over ever fewer slices of a block (``salts``, then a 32nd of them, down
+    to one): the first leaves no task a whole block, the others rank 32 * ``cap`` rows.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
-    for keys in (["part_id", "_salt"], ["part_id"]):
-        window = Window.partitionBy(*keys).orderBy(order)
+    while True:
+        window = Window.partitionBy("part_id", "_salt").orderBy(order)
         salted = (
             salted.withColumn("_rank", F.row_number().over(window))
             .filter(F.col("_rank") <= cap)
             .drop("_rank")
         )
-    return salted.drop("_salt")
+        if salts == 1:
+            return salted.drop("_salt")
+        salts = -(-salts // 32)
+        salted = salted.withColumn("_salt", F.pmod("_salt", F.lit(salts)).cast("int"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a task joined up to ``GATHER_BYTES``, so that a chunk has what a task holds
+    of its block, however many blocks there are."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +109,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def lists(bounds: np.ndarray, values) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in _gathered(batches):
         part = batch.column("part_id").to_numpy(zero_copy_only=False)
         order = np.argsort(part, kind="stable")
         batch = batch.take(pa.array(order))
@@ -139,8 +160,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack_chunks(examples: DataFrame) -> DataFrame:
     """Pack ``(part_id, y, x)`` or ``(part_id, y, idx, val)`` into chunk rows.
 
-    Narrow: no shuffle, and a chunk is no larger than an Arrow batch
-    (``spark.sql.execution.arrow.maxRecordsPerBatch`` / ``maxBytesPerBatch``).
+    Narrow: no shuffle. A task gathers rows up to ``GATHER_BYTES`` before it packs them, so a
+    chunk is no larger than that and, in a task with less, holds all rows of its block.
     """
     y = F.col("y").cast("double").alias("y")
     if "x" in examples.columns:

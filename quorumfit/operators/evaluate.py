@@ -4,49 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumfit.functions import logistic as L
 from quorumfit.functions import vectors as V
 
-# Largest weight vector that is placed into the plan as a constant.
-CONSTANT_WEIGHTS_BYTES = 8 << 20
+# Largest weight vector that is placed into the plan as a constant; larger ones are
+# broadcast to the tasks.
+CONSTANT_WEIGHTS_BYTES = 64 << 10
 
 
-def score(df: DataFrame, weights: Sequence[float], intercept: float = 0.0) -> DataFrame:
+def score(
+    df: DataFrame, weights: Sequence[float], intercept: float = 0.0,
+    constant_bytes: int = CONSTANT_WEIGHTS_BYTES,
+) -> DataFrame:
     """Add ``score`` = x . w + intercept to dense (``x``) or sparse (``idx``, ``val``)
-    examples. Narrow: the weights are a constant of the plan while their size is below
-    a bound; larger models are joined by feature index instead."""
+    examples. Narrow at every width: small weights are a constant of the plan, larger ones
+    are broadcast and looked up in Arrow batches.
+
+    The result does not depend on the way: features that only the row or only the model has
+    count as zero, and a row with null features has no score.
+    """
+    small = len(weights) * 8 <= constant_bytes
     if "x" in df.columns:
-        value = V.dot(F.col("x"), list(weights))
-    elif len(weights) * 8 <= CONSTANT_WEIGHTS_BYTES:
+        value = V.dot(F.col("x"), list(weights)) if small else _gather(df, weights)("x")
+    elif small:
         value = V.sparse_dot(F.col("idx"), F.col("val"), list(weights))
     else:
-        return score_by_join(df, weights_table(df.sparkSession, weights), intercept)
+        value = _gather(df, weights)("idx", "val")
     return df.withColumn("score", value + F.lit(float(intercept)))
 
 
-def score_by_join(df: DataFrame, model: DataFrame, intercept: float = 0.0) -> DataFrame:
-    """Score sparse examples with unique ``id`` against a ``(j, weight)`` table of any
-    size: one row per non-zero, joined on the feature, summed per example."""
-    terms = (
-        df.select("id", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .select("id", F.col("e.idx").alias("j"), F.col("e.val").alias("v"))
-        .join(model, "j")
-        .groupBy("id")
-        .agg(F.sum(F.col("v") * F.col("weight")).alias("score"))
-    )
-    return df.join(terms, "id", "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0)) + F.lit(float(intercept))
-    )
+def _gather(df: DataFrame, weights: Sequence[float]):
+    """Arrow function of the inner product with broadcast weights: of a dense row, or of
+    the indices and values of a sparse one."""
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
+
+    def dot(*columns: pa.Array) -> pa.Array:
+        w, rows = shared.value, columns[-1]
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(columns) == 2:
+            at = columns[0].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            at = np.arange(len(values)) - np.repeat(starts[:-1], lengths)
+        known = (at >= 0) & (at < len(w))
+        terms = np.zeros(len(values))
+        terms[known] = values[known] * w[at[known]]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        sums = np.bincount(owner, weights=terms, minlength=len(lengths)).astype(np.float64)
+        missing = np.zeros(len(lengths), bool)
+        for column in columns:
+            missing |= pc.is_null(column).to_numpy(zero_copy_only=False)
+        return pa.array(sums, mask=missing)
+
+    if "x" in df.columns:
+        @F.arrow_udf("double")
+        def dense(x: pa.Array) -> pa.Array:
+            return dot(x)
+
+        return dense
+
+    @F.arrow_udf("double")
+    def sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
+        return dot(idx, val)
+
+    return sparse
 
 
 def weights_table(spark, weights: Sequence[float]) -> DataFrame:
     """Model as ``(j, weight)`` rows."""
-    import numpy as np
-    import pyarrow as pa
-
     values = np.asarray(weights, dtype=np.float64)
     table = pa.table({"j": pa.array(np.arange(len(values)), pa.int32()), "weight": values})
     return spark.createDataFrame(table)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumfit.operators.blocks import salt_count
@@ -388,11 +388,10 @@ def solve_across_tasks(
         open_blocks = search.filter(~F.col("done")).select("part_id", "n", trial.alias("w"))
         sums = block_loss_gradient(chunks, open_blocks, problem, n_blocks, tasks)
         step = search.join(sums.select("part_id", "loss", "grad"), "part_id", "left")
-        following, seen = fresh_path(spark, "search"), Observation()
-        # The write itself counts the open blocks; no job of its own looks for them.
-        advanced = step.mapInArrow(advance, SEARCH)
-        advanced.observe(seen, F.count_if(~F.col("done")).alias("open")).write.parquet(following)
-        unfinished = seen.get["open"] > 0
+        following = fresh_path(spark, "search")
+        step.mapInArrow(advance, SEARCH).write.parquet(following)
+        written = spark.read.schema(SEARCH).parquet(following)
+        unfinished = not written.filter(~F.col("done")).isEmpty()
         drop_path(spark, path)
         path = following
     return path

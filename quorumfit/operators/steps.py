@@ -1,7 +1,7 @@
 """The steps of consensus fitting as DataFrame expressions.
 
 ``state`` has one row per block: (part_id, n, w, u). The global steps work on the
-one-row summary that :func:`state_summary` computes in a single aggregation.
+summary that :func:`state_summary` computes in a single aggregation.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quorumfit.functions import vectors as V
 
 START_SCALE = 0.01
+# Coordinates that one task adds up over all blocks.
+SLICE = 4096
 _HASH_RANGE = 1 << 30
 
 
@@ -47,39 +49,44 @@ def with_consensus(df: DataFrame, z: Sequence[float], rho: float) -> DataFrame:
 
 
 def state_summary(state: DataFrame) -> DataFrame:
-    """One row over all blocks, in one aggregation with partial sums per task:
+    """Sums over all blocks, by slices of ``SLICE`` coordinates, in one aggregation.
 
-    n_blocks, w_avg, u_avg, w_sq = sum of ||w_i||^2 and w_spread = sum of
-    ||w_i - w_avg||^2. The spread makes the primal residual available without a
-    second pass: sum ||w_i - z||^2 = w_spread + n_blocks * ||w_avg - z||^2.
+    (slice, n_blocks, w_avg, u_avg, w_sq, w_spread): per coordinate the means of w and u,
+    the sum of w_i^2 and of (w_i - w_avg)^2. Tasks combine their blocks first and slices are
+    reduced by different tasks, so none merges whole vectors of all others. The spread makes
+    the primal residual available without a second pass:
+    sum ||w_i - z||^2 = sum(w_spread) + n_blocks * ||w_avg - z||^2.
     """
+    last = F.floor((F.size("w") - 1) / SLICE).cast("int")
+    cut = lambda k, c: F.slice(c, k * SLICE + 1, F.lit(SLICE))
+    pieces = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.struct(k.alias("slice"), cut(k, "w").alias("w"), cut(k, "u").alias("u")),
+    )
+    sliced = state.select(F.explode(pieces).alias("e")).select("e.*")
     w_stats = Summarizer.metrics("mean", "variance", "normL2", "count").summary(
         array_to_vector("w")
     )
-    return (
-        state.agg(w_stats.alias("ws"), Summarizer.mean(array_to_vector("u")).alias("um"))
-        .select(
-            F.col("ws.count").alias("n_blocks"),
-            vector_to_array("ws.mean").alias("w_avg"),
-            vector_to_array("um").alias("u_avg"),
-            vector_to_array("ws.normL2").alias("col_norm"),
-            vector_to_array("ws.variance").alias("col_var"),
-        )
-        .selectExpr(
-            "n_blocks",
-            "w_avg",
-            "u_avg",
-            "aggregate(col_norm, 0D, (s, v) -> s + v * v) AS w_sq",
-            "aggregate(col_var, 0D, (s, v) -> s + v) * (n_blocks - 1) AS w_spread",
-        )
+    found = sliced.groupBy("slice").agg(
+        w_stats.alias("ws"), Summarizer.mean(array_to_vector("u")).alias("um")
+    )
+    n = F.col("ws.count")
+    return found.select(
+        "slice",
+        n.alias("n_blocks"),
+        vector_to_array("ws.mean").alias("w_avg"),
+        vector_to_array("um").alias("u_avg"),
+        F.transform(vector_to_array("ws.normL2"), lambda v: v * v).alias("w_sq"),
+        F.transform(vector_to_array("ws.variance"), lambda v: v * (n - 1)).alias("w_spread"),
     )
 
 
 def summary_by_feature(summary: DataFrame) -> DataFrame:
     """The summary as one row per feature: (j, w_avg, u_avg, n_blocks, w_sq, w_spread)."""
+    columns = ["w_avg", "u_avg", "w_sq", "w_spread"]
     return summary.select(
-        "n_blocks", "w_sq", "w_spread", F.posexplode(F.arrays_zip("w_avg", "u_avg")).alias("j", "e")
-    ).select("j", "e.w_avg", "e.u_avg", "n_blocks", "w_sq", "w_spread")
+        "slice", "n_blocks", F.posexplode(F.arrays_zip(*columns)).alias("k", "e")
+    ).select((F.col("slice") * SLICE + F.col("k")).alias("j"), "n_blocks", *[f"e.{c}" for c in columns])
 
 
 # The functions below hold for columns and for plain numbers or arrays alike.

@@ -6,16 +6,17 @@ import time
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quorumfit.functions.logistic import sigmoid, to_binary_label
 from quorumfit.operators import evaluate
 from quorumfit.sources.libsvm import to_ml_vectors
 
 
 @dataclass
 class BaselineModel:
-    fitted: LogisticRegressionModel
     weights: np.ndarray
     intercept: float
     iterations: int
@@ -28,9 +29,11 @@ class BaselineModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``label`` and ``predicted``, both in 0/1, next to the input columns."""
-        scored = self.fitted.transform(to_ml_vectors(df))
-        return scored.withColumnRenamed("prediction", "predicted").drop(
-            "features", "rawPrediction", "probability"
+        scored = evaluate.score(df, self.weights, self.intercept)
+        positive = sigmoid(F.col("score")) > 0.5
+        return (
+            scored.withColumn("label", to_binary_label(F.col("y")))
+            .withColumn("predicted", positive.cast("double")).drop("score")
         )
 
 
@@ -56,7 +59,6 @@ def fit_lbfgs(
     ).fit(ready)
     iterations = model.summary.totalIterations
     return BaselineModel(
-        fitted=model,
         weights=model.coefficients.toArray(),
         intercept=float(model.intercept),
         iterations=iterations,

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumfit.schemas import RUN_KEY
 from quorumfit.functions.text import nonzero_percent, series_label
 
 # Margins around the accuracy range.
@@ -16,9 +17,17 @@ HIGH_MARGIN = 1.01
 
 
 def union_metrics(frames: Iterable[DataFrame]) -> DataFrame:
-    """One table of all runs; a run that occurs in several inputs is kept once."""
+    """One table of all runs; a run that occurs in several inputs is kept once.
+
+    A run is its time and its run key. Of rows of one run the one with the most values
+    stays, so an older export that lacks columns adds none.
+    """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return stacked.distinct()
+    columns = stacked.columns
+    filled = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    key = ["timestamp", *RUN_KEY]
+    best = F.max_by(F.struct(*columns), F.struct(filled, F.to_json(F.struct(*columns))))
+    return stacked.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(best.alias("run")).select("run.*")
 
 
 def comparison_view(metrics: DataFrame) -> DataFrame:

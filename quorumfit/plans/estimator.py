@@ -54,7 +54,8 @@ class ConsensusLogisticRegression:
     The default stop rule is the primal residual alone after ``min_iter`` iterations;
     ``criterion="both"`` also waits for z to settle. ``rescale_dual`` keeps rho*u fixed
     when rho adapts. ``placement`` is ``auto`` (by the measured size of the largest
-    block against ``block_budget``), ``task`` or ``across``.
+    block against ``block_budget``), ``task`` or ``across``. A strategy with a
+    ``local_update`` needs ``task`` to be asked for, whatever the size of the data.
     """
 
     lam: float = 0.01
@@ -89,6 +90,8 @@ class ConsensusLogisticRegression:
         updater = self.updater or SquaredL2(
             self.lam, self.eps_abs, self.eps_rel, self.criterion, self.fit_intercept
         )
+        if updater.local_update is not None and self.placement != "task":
+            raise ValueError("a custom local_update works on whole blocks: set placement='task'")
         scratch: list[str] = []
 
         chunks = self._chunks(df, key, scratch)
@@ -107,9 +110,6 @@ class ConsensusLogisticRegression:
         in_task = self.placement == "task" or (
             self.placement == "auto" and largest <= self.block_budget
         )
-        if updater.local_update is not None and not in_task:
-            raise ValueError("a custom local_update needs blocks that fit one task")
-
         if found["first_id"] < 0:
             raise ValueError("part_id must not be negative")
         n_ids = found["last_id"] + 1
@@ -144,21 +144,25 @@ class ConsensusLogisticRegression:
                     data, state, problem, z_bc, rho, n_blocks, dual_scale, iteration == 1, tasks,
                 )
             state = self._read_state(spark, next_path)
-            total = steps.state_summary(state).first()
+            slices = sorted(steps.state_summary(state).collect(), key=lambda s: s["slice"])
+            w_avg, u_avg, w_sq, w_spread = (
+                np.concatenate([s[c] for s in slices])
+                for c in ("w_avg", "u_avg", "w_sq", "w_spread")
+            )
             drop_path(spark, state_path)
             state_path = next_path
             z_bc.destroy()
             if iteration == 1 and data is not chunks:
                 chunks.unpersist()
 
-            z_prev, w_avg = z, np.array(total["w_avg"])
-            z = updater.z_update(w_avg, np.array(total["u_avg"]), rho, n_blocks)
+            z_prev = z
+            z = updater.z_update(w_avg, u_avg, rho, n_blocks)
             if not np.isfinite(z).all():
                 raise ValueError("the fit left the finite numbers; check the features for NaN")
             gap, move = w_avg - z, z - z_prev
-            primal = steps.primal_residual(total["w_spread"], gap @ gap, n_blocks)
+            primal = steps.primal_residual(w_spread.sum(), gap @ gap, n_blocks)
             dual = steps.dual_residual(rho, n_blocks, move @ move)
-            w_norm, z_norm = total["w_sq"] ** 0.5, float(np.linalg.norm(z))
+            w_norm, z_norm = w_sq.sum() ** 0.5, float(np.linalg.norm(z))
             tolerance = updater.tolerance(n_blocks, w_norm, z_norm)
             converged = iteration >= self.min_iter and bool(
                 updater.converged(primal, dual, tolerance, rho)

@@ -7,15 +7,17 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumfit.operators import evaluate
 from quorumfit.plans.baseline import fit_lbfgs
 from quorumfit.plans.estimator import ConsensusLogisticRegression
+from quorumfit.functions.text import sample_size_tag
 from quorumfit.schemas import METRICS, MODEL, RUN_KEY, RUN_LOG
-from quorumfit.sources.libsvm import read_libsvm
-from quorumfit.sources.registry import load_dataset, resolve
+from quorumfit.sources.csv import write_metrics_csv
+from quorumfit.sources.libsvm import read_libsvm, shared_layout
+from quorumfit.sources.registry import DATASETS, load_dataset, reader_of, resolve
 
 # Defaults of the two algorithms and the partition counts of the sweep.
 ADMM, LBFGS = "admm", "lbfgs"
@@ -47,7 +49,16 @@ class ExampleSet:
         cls, spark: SparkSession, dataset: str, base_dir: str, train_file: str = "",
         test_file: str = "", **options,
     ) -> ExampleSet:
+        """Load both files; ``options`` go to ``load_dataset``. The index base and the
+        dimension are found once over both, so a feature has one place in either."""
         train, test = resolve(dataset, base_dir, train_file, test_file)
+        reader = reader_of(dataset, options.get("reader"))
+        known = DATASETS.get(dataset.lower())
+        width = options.get("num_features") or (known.num_features if known else None)
+        if reader in ("tolerant", "libsvm"):
+            base = options.get("index_base", "auto") if reader == "tolerant" else 1
+            base, width = shared_layout(spark, [train, test], base, width)
+            options |= {"index_base": base, "num_features": width}
         return cls(
             dataset,
             load_dataset(spark, train, dataset, **options),
@@ -214,17 +225,27 @@ def next_run_ids(log: DataFrame) -> DataFrame:
 
 def append_run(metrics: DataFrame, path: str) -> int:
     """Append one run to the log table and return its number, counted per run key."""
-    spark = metrics.sparkSession
     row = metrics.first()
-    run_id = 1
+    append_runs(metrics, path)
+    log = metrics.sparkSession.read.schema(RUN_LOG).parquet(path)
+    for column in RUN_KEY:
+        log = log.filter(F.col(column) == row[column])
+    return log.agg(F.max("run_id")).first()[0]
+
+
+def append_runs(metrics: DataFrame, path: str) -> None:
+    """Append runs to the log table, numbered on from the last number of their run key by
+    time."""
+    spark = metrics.sparkSession
+    turn = F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy("timestamp"))
+    numbered = metrics.select(*METRICS.fieldNames(), turn.alias("run_id"))
     if _exists(spark, path):
         log = spark.read.schema(RUN_LOG).parquet(path)
-        for column in RUN_KEY:
-            log = log.filter(F.col(column) == row[column])
-        run_id = log.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
-    numbered = metrics.withColumn("run_id", F.lit(run_id))
+        last = log.groupBy(*RUN_KEY).agg(F.max("run_id").alias("_last"))
+        run_id = F.col("run_id") + F.coalesce("_last", F.lit(0))
+        numbered = numbered.join(last, RUN_KEY, "left").withColumn("run_id", run_id)
+    numbered = numbered.select(*RUN_LOG.fieldNames())
     numbered.write.mode("append").partitionBy("dataset", "algorithm").parquet(path)
-    return run_id
 
 
 def run_name(row: Mapping, run_id: int, train_tag: str, test_tag: str) -> str:
@@ -235,6 +256,21 @@ def run_name(row: Mapping, run_id: int, train_tag: str, test_tag: str) -> str:
     )
 
 
+def save_run(result: RunResult, folder: str) -> str:
+    """Write a run below ``folder``: its row is appended to the log and numbered, and
+    ``<name>_report``, ``<name>_metrics.csv`` and ``<name>_weights`` carry that number.
+    Returns the name."""
+    run_id = append_run(result.metrics, f"{folder}/log")
+    tags = result.metrics.select(
+        sample_size_tag(F.col("train_file"), "train"), sample_size_tag(F.col("test_file"), "test")
+    ).first()
+    name = run_name(result.row, run_id, *tags)
+    write_report(result.report, f"{folder}/{name}_report")
+    write_metrics_csv(result.metrics, f"{folder}/{name}_metrics.csv")
+    write_weights(result.weights, f"{folder}/{name}_weights")
+    return name
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

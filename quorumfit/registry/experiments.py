@@ -73,56 +73,69 @@ def run_consensus(spark, sf_dir):
     return result.metrics.select(*RUN_COLUMNS, r("model_norm", 4).alias("model_norm"))
 
 
-def _lbfgs_sql(source):
-    """Newton CTEs of the baseline on one standardised feature with a free intercept;
-    ``best`` has the weight of the raw feature and the intercept."""
-    steps = newton_sql("spread", "one", "0.01", ("0", "q")).replace("(hbb + c)", "hbb")
-    return f"""base AS (SELECT y, a, 1.0::DOUBLE AS b, 0 AS one FROM {source}),
-    spread AS (SELECT y, a / d AS a, b, one FROM base, (SELECT stddev_samp(a) AS d FROM base)),
-    {steps},
-    best AS (SELECT p / (SELECT stddev_samp(a) FROM base) AS p, q FROM w10)"""
-
-
-def _first_feature(data):
-    cut = lambda df: df.withColumn("x", F.slice("x", 1, 1))
-    return runs.ExampleSet(data.dataset, cut(data.train), cut(data.test))
+def _lbfgs_sql(source, rounds=10):
+    """Newton CTEs of the baseline on two standardised features with a free intercept;
+    ``best`` has the weights p, q of the raw features and the intercept r."""
+    out = [
+        f"""base AS (SELECT y, a, b FROM {source}),
+        scale AS (SELECT stddev_samp(a) AS da, stddev_samp(b) AS db FROM base),
+        spread AS (SELECT y, a / da AS a, b / db AS b FROM base, scale),
+        v0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r)"""
+    ]
+    for k in range(rounds):
+        out.append(
+            f"""m{k} AS (
+              SELECT p, q, r, avg(e * a) + 0.01 * p AS g0, avg(e * b) + 0.01 * q AS g1, avg(e) AS g2,
+                     avg(h * a * a) + 0.01 AS aa, avg(h * a * b) AS ab, avg(h * a) AS ac,
+                     avg(h * b * b) + 0.01 AS bb, avg(h * b) AS bc, avg(h) AS cc
+              FROM (SELECT *, -y / (1 + exp(y * s)) AS e, 1 / (1 + exp(-s)) / (1 + exp(s)) AS h
+                    FROM (SELECT spread.*, v.*, a * p + b * q + r AS s FROM spread, v{k} v))
+              GROUP BY p, q, r),
+            v{k + 1} AS (
+              SELECT p - (g0 * (bb * cc - bc * bc) - ab * (g1 * cc - bc * g2) + ac * (g1 * bc - bb * g2)) / det AS p,
+                     q - (aa * (g1 * cc - bc * g2) - g0 * (ab * cc - bc * ac) + ac * (ab * g2 - g1 * ac)) / det AS q,
+                     r - (aa * (bb * g2 - g1 * bc) - ab * (ab * g2 - g1 * ac) + g0 * (ab * bc - bb * ac)) / det AS r
+              FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)
+                           AS det FROM m{k}))"""
+        )
+    out.append(f"best AS (SELECT p / da AS p, q / db AS q, r FROM v{rounds}, scale)")
+    return ",\n".join(out)
 
 
 @query(
     f"""WITH {SPLIT_SQL}, {_lbfgs_sql('train')},
-    scored AS (SELECT {sql_r('abs(p)', 4)} AS norm,
-                      CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * p + q))) > 0.5 THEN 1 ELSE -1 END
+    scored AS (SELECT {sql_r('sqrt(p * p + q * q)', 4)} AS norm,
+                      CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * p + b * q + r))) > 0.5 THEN 1 ELSE -1 END
                            THEN 1 ELSE 0 END AS hit FROM test, best)
-    {_run_sql('lbfgs', 1)}"""
+    {_run_sql('lbfgs', 2)}"""
 )
 def run_lbfgs(spark, sf_dir):
-    data = _first_feature(_pair_split(spark, sf_dir))
-    result = runs.run_experiment(data, "lbfgs", tol=1e-12)
+    result = runs.run_experiment(_pair_split(spark, sf_dir), "lbfgs", tol=1e-12)
     return result.metrics.select(*RUN_COLUMNS, r("model_norm", 4).alias("model_norm"))
 
 
 @query(
     f"""WITH {X.EX_PAIR}, {_lbfgs_sql('pair')}
-    SELECT {sql_r('p', 4)} AS weight, {sql_r('q', 4)} AS intercept FROM best"""
+    SELECT CAST(j AS INTEGER) AS j, {sql_r('CASE WHEN j = 0 THEN p ELSE q END', 4)} AS weight,
+           {sql_r('r', 4)} AS intercept FROM best, range(2) t(j)"""
 )
 def lbfgs_fit(spark, sf_dir):
-    """The L-BFGS baseline on one feature: standardised, free intercept."""
-    rows = X.ex_pair(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
-    model = fit_lbfgs(rows, tol=1e-12)
+    """The L-BFGS baseline on both features: standardised, free intercept."""
+    model = fit_lbfgs(X.ex_pair(spark, sf_dir), tol=1e-12)
     return model.weights_df(spark).select(
-        r("weight", 4).alias("weight"), r(F.lit(model.intercept), 4).alias("intercept")
+        "j", r("weight", 4).alias("weight"), r(F.lit(model.intercept), 4).alias("intercept")
     )
 
 
 @query(
     f"""WITH {X.EX_PAIR}, {_lbfgs_sql('pair')}
     SELECT id, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
-           CASE WHEN 1 / (1 + exp(-(a * p + q))) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS predicted
+           CASE WHEN 1 / (1 + exp(-(a * p + b * q + r))) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS predicted
     FROM pair, best"""
 )
 def lbfgs_scores(spark, sf_dir):
     """Baseline classes in 0/1."""
-    rows = X.ex_pair(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    rows = X.ex_pair(spark, sf_dir)
     return fit_lbfgs(rows, tol=1e-12).transform(rows).select("id", "label", "predicted")
 
 
@@ -140,14 +153,15 @@ def fit_and_save(spark, sf_dir):
     return runs.read_weights(spark, out).select("j", r("weight", 4).alias("weight"))
 
 
-def _sweep_sql(algorithm, weight, bias):
+def _sweep_sql(algorithm, p, q, bias):
     """Runs of one algorithm at every partition count; the optimum is the same at each."""
+    score = f"a * {p} + b * {q} + {bias}"
     return f"""SELECT 'pair' AS dataset, '{algorithm}' AS algorithm, any_value(train_samples) AS train_samples,
-    any_value(test_samples) AS test_samples, 1::INTEGER AS features, CAST(n AS INTEGER) AS partitions,
-    1::INTEGER AS non_zero_weights, 1::INTEGER AS total_weights,
-    {sql_r('100.0::DOUBLE * avg(hit)', 2)} AS accuracy_percent, {sql_r('any_value(abs(w))', 3)} AS model_norm
-    FROM (SELECT {weight} AS w,
-                 CASE WHEN y = CASE WHEN 1 / (1 + exp(-(a * {weight} + {bias}))) > 0.5 THEN 1 ELSE -1 END
+    any_value(test_samples) AS test_samples, 2::INTEGER AS features, CAST(n AS INTEGER) AS partitions,
+    2::INTEGER AS non_zero_weights, 2::INTEGER AS total_weights,
+    {sql_r('100.0::DOUBLE * avg(hit)', 2)} AS accuracy_percent, {sql_r('any_value(norm)', 3)} AS model_norm
+    FROM (SELECT sqrt({p} * {p} + {q} * {q}) AS norm,
+                 CASE WHEN y = CASE WHEN 1 / (1 + exp(-({score}))) > 0.5 THEN 1 ELSE -1 END
                       THEN 1 ELSE 0 END AS hit FROM test, best, settled), counts,
          (VALUES (5), (8), (10), (15)) grid(n)
     GROUP BY n"""
@@ -155,10 +169,9 @@ def _sweep_sql(algorithm, weight, bias):
 
 @query(
     f"""WITH {SPLIT_SQL}, {_lbfgs_sql('train')},
-    single AS (SELECT y, a, 0.0::DOUBLE AS b, 0 AS one FROM train),
-    {newton_sql('single', 'one', f'{2 * PAIR_LAM}', ('0', '0'), prefix='s')},
-    settled AS (SELECT p AS sp FROM sw10)
-    {_sweep_sql('admm', 'sp', '0')} UNION ALL {_sweep_sql('lbfgs', 'p', 'q')}"""
+    {newton_sql('train', 'one', f'{2 * PAIR_LAM}', ('0', '0'), prefix='s')},
+    settled AS (SELECT p AS sp, q AS sq FROM sw10)
+    {_sweep_sql('admm', 'sp', 'sq', '0')} UNION ALL {_sweep_sql('lbfgs', 'p', 'q', 'r')}"""
 )
 def partition_sweep(spark, sf_dir):
     """Both algorithms at every partition count."""
@@ -166,7 +179,7 @@ def partition_sweep(spark, sf_dir):
         "admm": SETTLED | dict(lam=PAIR_LAM, max_iter=200, eps_abs=1e-5, eps_rel=1e-5),
         "lbfgs": dict(tol=1e-12),
     }
-    grid = runs.run_grid([_first_feature(_pair_split(spark, sf_dir))], options=options)
+    grid = runs.run_grid([_pair_split(spark, sf_dir)], options=options)
     return grid.select(*RUN_COLUMNS, r("model_norm", 3).alias("model_norm"))
 
 

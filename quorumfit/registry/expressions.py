@@ -15,6 +15,7 @@ from quorumfit.registry.catalog import query
 from quorumfit.sources import libsvm
 
 r, sql_r = X.r, X.sql_r
+MIXED_SQL = "(((o_orderkey % 2147483647) * 2654435761) >> 20)"
 
 
 @query(f"WITH {X.EX} SELECT id, y, j, {sql_r('v')} AS v FROM exj")
@@ -49,18 +50,33 @@ def linear_score(spark, sf_dir):
 
 @query(
     f"""WITH {X.EX_SPARSE} SELECT id, {sql_r(f'sum(v * {X.SQL_WEIGHT})')} AS score,
-    {sql_r(f'sum(v * {X.SQL_WEIGHT})')} AS joined_score FROM sp GROUP BY id"""
+    {sql_r(f'sum(v * {X.SQL_WEIGHT})')} AS looked_up FROM sp GROUP BY id"""
 )
 def sparse_score(spark, sf_dir):
-    """Both ways to score sparse rows: constant weights and a join with the model."""
+    """Both ways to score sparse rows: constant weights and a broadcast that is looked up."""
     rows = X.ex_sparse(spark, sf_dir)
-    weights = X.rule_weights(rows.agg(F.max("size")).first()[0])
-    joined = evaluate.score_by_join(rows, evaluate.weights_table(spark, weights))
-    return (
-        evaluate.score(rows, weights)
-        .select("id", r("score").alias("score"))
-        .join(joined.select("id", r("score").alias("joined_score")), "id")
-    )
+    return _both_ways(rows, X.rule_weights(rows.agg(F.max("size")).first()[0]))
+
+
+def _both_ways(rows, weights):
+    constant = evaluate.score(rows, weights)
+    both = evaluate.score(constant.withColumnRenamed("score", "constant"), weights, constant_bytes=0)
+    return both.select("id", r("constant").alias("score"), r("score").alias("looked_up"))
+
+
+@query(
+    f"""WITH {X.EX_SPARSE}, kinds AS (
+      SELECT id, sum(v * {X.SQL_WEIGHT}) FILTER (WHERE j < 100) AS s FROM sp GROUP BY id
+      UNION ALL
+      SELECT -1 - id, sum(v * {X.SQL_WEIGHT}) FILTER (WHERE j < 100) FROM exj GROUP BY id)
+    SELECT id, {sql_r('coalesce(s, 0)')} AS score, {sql_r('coalesce(s, 0)')} AS looked_up FROM kinds"""
+)
+def score_out_of_range(spark, sf_dir):
+    """Rows with features that the model lacks, and models wider than the rows: the same
+    scores in all four ways, sparse (as ids) and dense (as -1 - id)."""
+    weights = X.rule_weights(100)
+    dense = X.ex_emb(spark, sf_dir).withColumn("id", -1 - F.col("id"))
+    return _both_ways(X.ex_sparse(spark, sf_dir), weights).unionByName(_both_ways(dense, weights))
 
 
 @query(f"WITH {X.SCORED} SELECT id, {sql_r('1 / (1 + exp(-s))')} AS probability FROM scored")
@@ -124,9 +140,10 @@ def index_base_shift(spark, sf_dir):
 
 
 @query(
-    f"""WITH {X.EX_SPARSE} SELECT e.id, e.j, {sql_r('coalesce(sp.v, 0) * CASE WHEN e.j % 3 = e.id % 3 '
-    'AND e.j = m.first THEN 2 ELSE 1 END')} AS v
-    FROM exj e LEFT JOIN sp ON e.id = sp.id AND e.j = sp.j
+    f"""WITH {X.EX_SPARSE},
+    places AS (SELECT id, CAST(unnest(range(3 * len(x))) AS INTEGER) AS j FROM ex)
+    SELECT e.id, e.j, {sql_r('coalesce(sp.v, 0) * CASE WHEN e.j = m.first THEN 2 ELSE 1 END')} AS v
+    FROM places e LEFT JOIN sp ON e.id = sp.id AND e.j = sp.j
     JOIN (SELECT id, min(j) AS first FROM sp GROUP BY id) m ON e.id = m.id"""
 )
 def dense_scatter(spark, sf_dir):
@@ -376,7 +393,7 @@ def sorted_features(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(o_orderkey % 8 AS INTEGER) AS part_id, count(*) AS n, min(o_orderkey) AS low
+    f"""SELECT CAST({MIXED_SQL} % 8 AS INTEGER) AS part_id, count(*) AS n, min(o_orderkey) AS low
     FROM orders GROUP BY ALL"""
 )
 def block_assignment(spark, sf_dir):
@@ -385,11 +402,17 @@ def block_assignment(spark, sf_dir):
 
 
 @query(
-    """SELECT CASE WHEN (o_orderkey % 2147483647) * 2654435761 % 1000 < 800 THEN 'train' ELSE 'test' END
-    AS side, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY ALL"""
+    """SELECT CASE WHEN coalesce((key % 2147483647) * 2654435761 % 1000 < 800, true) THEN 'train'
+      ELSE 'test' END AS side, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+    FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 > 0 THEN o_orderkey END AS key FROM orders)
+    GROUP BY ALL"""
 )
 def hash_split(spark, sf_dir):
-    sides = B.hash_split(X.table(spark, sf_dir, "orders"), "o_orderkey", 0.8)
+    """Both sides of a split by a key that a tenth of the rows lack: no row is lost."""
+    keyed = X.table(spark, sf_dir, "orders").withColumn(
+        "key", F.when(F.col("o_custkey") % 10 > 0, F.col("o_orderkey"))
+    )
+    sides = B.hash_split(keyed, "key", 0.8)
     train, test = [s.select(F.lit(k).alias("side"), "o_orderkey") for k, s in zip(("train", "test"), sides)]
     return (
         train.unionByName(test)
@@ -406,8 +429,8 @@ def random_split(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(o_orderkey % 8 AS INTEGER) AS part_id, o_orderkey FROM orders
-    QUALIFY row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) <= 100"""
+    f"""SELECT CAST({MIXED_SQL} % 8 AS INTEGER) AS part_id, o_orderkey FROM orders
+    QUALIFY row_number() OVER (PARTITION BY {MIXED_SQL} % 8 ORDER BY o_orderkey) <= 100"""
 )
 def row_cap(spark, sf_dir):
     """First rows of every block, the optional training cap."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorumfit.functions import vectors as V
@@ -58,11 +59,12 @@ def state_sums(spark, sf_dir):
     """Sum of w, of u and of ||w||^2 over the blocks in one aggregation."""
     summary = steps.summary_by_feature(steps.state_summary(X.block_state(spark, sf_dir)))
     n = F.col("n_blocks")
+    total = F.sum("w_sq").over(Window.partitionBy("n_blocks"))
     return summary.select(
         "j",
         r(F.col("w_avg") * n).alias("w_sum"),
         r(F.col("u_avg") * n).alias("u_sum"),
-        r("w_sq").alias("w_sq"),
+        r(total).alias("w_sq"),
         "n_blocks",
     )
 
@@ -196,8 +198,8 @@ def _residuals(spark, sf_dir):
     gap, move = F.col("w_avg") - F.col("z"), F.col("z") - F.get(previous, F.col("j"))
     totals = _stepped(spark, sf_dir).agg(
         F.first("n_blocks").alias("n_blocks"),
-        F.first("w_sq").alias("w_sq"),
-        F.first("w_spread").alias("w_spread"),
+        F.sum("w_sq").alias("w_sq"),
+        F.sum("w_spread").alias("w_spread"),
         F.sum(gap * gap).alias("gap_sq"),
         F.sum(move * move).alias("step_sq"),
         F.sum(F.col("z") * F.col("z")).alias("z_sq"),

@@ -104,22 +104,22 @@ pair AS (SELECT id, part_id, y, sum(CASE WHEN j % 2 = 0 THEN v ELSE 0 END) AS a,
 
 
 def ex_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, y, size, idx, val, part_id): every third coordinate, starting at id % 3."""
+    """(id, y, size, idx, val, part_id): all coordinates, coordinate j at place
+    3 * j + id % 3, so that a third of the places of a row is filled."""
     dense = ex_emb(spark, sf_dir)
-    places = F.transform("x", lambda v, j: F.struct(j.alias("j"), v.alias("v")))
-    kept = F.filter(places, lambda e: e["j"] % 3 == F.col("id") % 3)
-    return dense.withColumn("kept", kept).select(
+    place = lambda v, j: (3 * j + F.col("id") % 3).cast("int")
+    return dense.select(
         "id",
         "y",
-        F.size("x").alias("size"),
-        F.transform("kept", lambda e: e["j"]).alias("idx"),
-        F.transform("kept", lambda e: e["v"]).alias("val"),
+        (3 * F.size("x")).alias("size"),
+        F.transform("x", place).alias("idx"),
+        F.col("x").alias("val"),
         "part_id",
     )
 
 
 EX_SPARSE = EX + """,
-sp AS (SELECT id, y, part_id, j, v FROM exj WHERE j % 3 = id % 3)"""
+sp AS (SELECT id, y, part_id, CAST(3 * j + id % 3 AS INTEGER) AS j, v FROM exj)"""
 
 
 def as_sparse(dense: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = (10 + key % 41).cast("int")
     dataset = F.when(higgs, "higgs").otherwise("rcv1")
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.timestamp_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp")) + key).alias("timestamp"),
         dataset.alias("dataset"),
         F.when(admm, "admm").otherwise("lbfgs").alias("algorithm"),
         F.when(key % 3 == 0, "2_4").otherwise("4_0").alias("spark_version"),
@@ -221,7 +221,7 @@ metrics AS (
          CASE WHEN o_orderkey % 5 = 0 THEN dataset || '_holdout.binary'
               ELSE '/data/' || dataset || '_test10k.binary' END AS test_file
   FROM (
-    SELECT o_orderkey, o_orderdate AS "timestamp",
+    SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_milliseconds(o_orderkey) AS "timestamp",
            CASE WHEN o_orderkey % 2 = 1 THEN 'higgs' ELSE 'rcv1' END AS dataset,
            CASE WHEN o_custkey % 2 = 0 THEN 'admm' ELSE 'lbfgs' END AS algorithm,
            CASE WHEN o_orderkey % 3 = 0 THEN '2_4' ELSE '4_0' END AS spark_version,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumfit.operators import evaluate
@@ -11,8 +14,8 @@ from quorumfit.registry.catalog import query
 from quorumfit.schemas import METRICS, RUN_KEY, RUN_LOG
 from quorumfit.session import fresh_path
 from quorumfit.sources import libsvm
+from quorumfit.plans.runs import ExampleSet
 from quorumfit.sources.csv import read_dense_csv, read_metrics_csv, write_metrics_csv
-from quorumfit.sources.registry import load_dataset
 
 r, sql_r = X.r, X.sql_r
 
@@ -65,20 +68,29 @@ def parse_libsvm_lines(spark, sf_dir):
 
 
 @query(
-    f"""WITH {X.EX_SPARSE} SELECT 'higgs' AS dataset, * FROM ({BY_FEATURE} sp GROUP BY y, j)
-    UNION ALL SELECT 'rcv1', * FROM ({BY_FEATURE} sp GROUP BY y, j)"""
+    f"""WITH {X.EX_SPARSE}, later AS (SELECT * FROM sp WHERE id % 3 > 0)
+    SELECT 'higgs' AS dataset, 'train' AS side, * FROM ({BY_FEATURE} sp GROUP BY y, j)
+    UNION ALL SELECT 'higgs', 'test', * FROM ({BY_FEATURE} later GROUP BY y, j)
+    UNION ALL SELECT 'rcv1', 'train', * FROM ({BY_FEATURE} sp GROUP BY y, j)
+    UNION ALL SELECT 'rcv1', 'test', * FROM ({BY_FEATURE} later GROUP BY y, j)"""
 )
 def load_by_dataset(spark, sf_dir):
-    """The dataset name picks the reader: tolerant for one, standard for the other."""
+    """The dataset name picks the reader: tolerant for one, standard for the other. No test
+    row has the first feature; the index base found over both files keeps its places."""
     rows = X.ex_sparse(spark, sf_dir)
     width = rows.agg(F.max("size")).first()[0]
     loaded = []
     for name, base in (("higgs", 0), ("rcv1", 1)):
-        path = fresh_path(spark, name)
-        libsvm.write_libsvm(rows, path, base)
-        examples = load_dataset(spark, path, name, num_features=width)
-        loaded.append(_by_feature(examples).withColumn("dataset", F.lit(name)))
-    return loaded[0].unionByName(loaded[1])
+        folder = fresh_path(spark, name)
+        libsvm.write_libsvm(rows, f"{folder}/train", base)
+        libsvm.write_libsvm(rows.filter(F.col("id") % 3 > 0), f"{folder}/test", base)
+        data = ExampleSet.load(spark, name, folder, "train", "test", num_features=width)
+        for side, examples in (("train", data.train), ("test", data.test)):
+            loaded.append(
+                _by_feature(examples)
+                .withColumn("dataset", F.lit(name)).withColumn("side", F.lit(side))
+            )
+    return reduce(DataFrame.unionByName, loaded)
 
 
 @query(
@@ -223,18 +235,15 @@ def report_sink(spark, sf_dir):
 
 
 @query(
-    f"""WITH {X.METRICS}, log AS (SELECT *, CAST(o_orderkey % 100 + 1 AS INTEGER) AS run_id FROM metrics)
-    SELECT spark_version, dataset, algorithm, partitions, max(run_id) + 1 AS next_run_id
-    FROM log GROUP BY spark_version, dataset, algorithm, partitions"""
+    f"""WITH {X.METRICS}
+    SELECT spark_version, dataset, algorithm, partitions, CAST(count(*) + 1 AS INTEGER) AS next_run_id
+    FROM metrics GROUP BY spark_version, dataset, algorithm, partitions"""
 )
 def run_log(spark, sf_dir):
-    """Runs appended in two batches to the partitioned log; next number of every key."""
-    run_id = (F.pmod(F.col("train_samples") - 15000, F.lit(100)) + 1).cast("int")
-    rows = X.metrics(spark, sf_dir).withColumn("run_id", run_id)
-    path = fresh_path(spark, "log")
+    """Runs appended to the partitioned log in two batches; next number of every key."""
+    rows, path = X.metrics(spark, sf_dir), fresh_path(spark, "log")
     for half in (0, 1):
-        batch = rows.filter(F.col("train_samples") % 2 == half)
-        batch.write.mode("append").partitionBy("dataset", "algorithm").parquet(path)
+        runs.append_runs(rows.filter(F.col("test_samples") % 2 == half), path)
     return runs.next_run_ids(spark.read.schema(RUN_LOG).parquet(path))
 
 

@@ -15,7 +15,8 @@ HIGGS_FEATURES = 28
 def read_dense_csv(spark: SparkSession, path: str, width: int = HIGGS_FEATURES) -> DataFrame:
     """Headerless rows of a 0/1 label and ``width`` doubles -> (id, y in -1/+1, x).
 
-    The label is read as text because a file may start with a byte-order mark.
+    The label is read as text because a file may start with a byte-order mark. An empty
+    label, or one that is not 0 or 1, is an error.
     """
     names = [f"c{j}" for j in range(1, width + 1)]
     schema = T.StructType(
@@ -38,11 +39,14 @@ def read_dense_csv(spark: SparkSession, path: str, width: int = HIGGS_FEATURES)
 def read_metrics_csv(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*_metrics.csv`` below ``folder`` (files, or folders Spark wrote), each with
     a header row, plus the name they came from. Combined exports are left out so that
-    combining twice does not double the rows."""
+    combining twice does not double the rows. A header that does not name the metric columns
+    in their order, or a cell of another type, is an error."""
     entry = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*_metrics\.csv)(/[^/]*)?$", 1)
     return (
         spark.read.schema(METRICS)
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .csv(f"{folder.rstrip('/')}/*_metrics.csv")
         .withColumn("source_file", entry)
         .filter(~F.col("source_file").startswith("combined"))

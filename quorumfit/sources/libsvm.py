@@ -40,7 +40,8 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None)
 
 
 def from_ml_vectors(df: DataFrame, label: str, features: str) -> DataFrame:
-    """Open ML vectors, sparse or dense, without leaving the JVM."""
+    """Open ML vectors, sparse or dense, without leaving the JVM. The vectors stay as
+    ``features``, for Spark ML."""
     raw = F.unwrap_udt(F.col(features))
     dense_idx = F.sequence(F.lit(0), F.size(raw["values"]) - 1)
     return df.select(
@@ -49,6 +50,7 @@ def from_ml_vectors(df: DataFrame, label: str, features: str) -> DataFrame:
         F.coalesce(raw["size"], F.size(raw["values"])).alias("size"),
         F.coalesce(raw["indices"], dense_idx).alias("idx"),
         raw["values"].alias("val"),
+        F.col(features).alias("features"),
     )
 
 
@@ -134,6 +136,18 @@ def parse_lines(
     return ParsedLines(examples, rejected, base, size)
 
 
+def shared_layout(
+    spark: SparkSession, paths: list[str], index_base: int | str = "auto",
+    num_features: int | None = None,
+) -> tuple[int, int]:
+    """Index base and dimension that hold for all files together; one pass at most."""
+    if index_base != "auto" and num_features is not None:
+        return int(index_base), num_features
+    lines = spark.read.text(paths).select(F.lit(0).alias("id"), F.col("value").alias("line"))
+    parsed = parse_lines(lines, index_base, num_features)
+    return parsed.index_base, parsed.num_features
+
+
 def write_libsvm(df: DataFrame, path: str, base: int = 1) -> None:
     """Write ``(y, idx, val)`` rows as LibSVM text."""
     line = text.libsvm_line(F.col("y"), F.col("idx"), F.col("val"), base)

@@ -42,6 +42,14 @@ def resolve(
     return full(train_file or known.train), full(test_file or known.test)
 
 
+def reader_of(dataset: str, reader: str | None = None) -> str:
+    """The given reader, or that of a known dataset."""
+    known = DATASETS.get(dataset.lower())
+    if reader is None and known is None:
+        raise ValueError(f"unknown dataset {dataset!r}; name a reader")
+    return reader or known.reader
+
+
 def load_dataset(
     spark: SparkSession,
     path: str,
@@ -49,20 +57,28 @@ def load_dataset(
     reader: str | None = None,
     index_base: int | str = "auto",
     num_features: int | None = None,
+    on_refused: str = "raise",
 ) -> DataFrame:
     """Load one file with the reader of its dataset, or with ``reader``. A dimension
-    that is not given comes from the dataset, or from the data for other datasets."""
+    that is not given comes from the dataset, or from the data for other datasets.
+
+    Lines that the tolerant reader refuses are an error that gives their number; with
+    ``on_refused="accept"`` the other lines are loaded.
+    """
+    if on_refused not in ("raise", "accept"):
+        raise ValueError("on_refused is 'raise' or 'accept'")
     known = DATASETS.get(dataset.lower())
-    if reader is None:
-        if known is None:
-            raise ValueError(f"unknown dataset {dataset!r}; name a reader")
-        reader = known.reader
+    reader = reader_of(dataset, reader)
     if num_features is None and known is not None:
         num_features = known.num_features
     if reader == "csv":
         return read_dense_csv(spark, path, num_features or 28)
     if reader == "tolerant":
-        return read_libsvm_tolerant(spark, path, index_base, num_features).examples
+        parsed = read_libsvm_tolerant(spark, path, index_base, num_features)
+        refused = parsed.rejected.count() if on_refused == "raise" else 0
+        if refused:
+            raise ValueError(f"{refused} lines of {path} were refused")
+        return parsed.examples
     if reader == "libsvm":
         return read_libsvm(spark, path, num_features)
     raise ValueError(f"unknown reader {reader!r}")

@@ -10,8 +10,6 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import check_oracles  # noqa: E402
 from quorumfit.registry import ORACLES, QUERIES  # noqa: E402
 
-# Sweeps repeat the single runs many times; they have tests of their own.
-SLOW = {"partition_sweep", "dataset_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +17,7 @@ def con(sf_dir):
     return check_oracles.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
     good, note = check_oracles.compare(spark, con, name, sf_dir)
     assert good, note
