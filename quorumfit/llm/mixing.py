@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumfit.llm.tables import attach_groups, written
 
-BLOCK = 20_000
+BLOCK = 2_000
 FAN_IN = 64
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, limit: fl
 
     A source's documents are due target/source_size copies each. The whole part is given;
     the fractions are rounded by pivotal sampling: documents of a source are dealt by hash
-    into blocks of about 20,000, fractions in a block move between pairs of documents until
+    into blocks of about 2,000, fractions in a block move between pairs of documents until
     all but one are whole, and the open ones meet 64 blocks at a time in a tree of rounds,
     each a table in the shared folder. The last one of a source is drawn. The words of a
     source keep their sum in every move, so they miss the target by one document at most.

@@ -11,6 +11,8 @@ from quorumfit.llm import (
 )
 from quorumfit.llm.tables import table
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -69,12 +71,75 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws
+  FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, ws[i:least(i + 4, len(ws))] AS s FROM places),
+sizes AS (SELECT w.doc_id, count(s.doc_id) AS n FROM words w LEFT JOIN shingles s USING (doc_id) GROUP BY w.doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN classes USING (doc_id)
+""")
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@_query()
+def _quality_sql() -> str:
+    rules, limit = host_quality.RULES, 0.9
+    fails = ", ".join(f"sum(CASE WHEN {r} THEN 1 ELSE 0 END)::DOUBLE AS {n}" for n, r in rules.items())
+    moments = ", ".join(
+        f"sum({n}) / sum(docs) AS {n}_m, sum({n} * {n} / docs) / sum(docs) - (sum({n}) / sum(docs)) ** 2 AS {n}_v"
+        for n in rules
+    )
+    weights = ", ".join(
+        f"CASE WHEN {n}_v > 1e-12 THEN least(greatest({n}_m * (1 - {n}_m) / {n}_v - 1, 1), 1000) "
+        f"ELSE 1000 END AS {n}_w" for n in rules
+    )
+    worst = ", ".join(f"({n} + {n}_w * {n}_m) / (docs + {n}_w)" for n in rules)
+    failed = f"({rules['short']} OR {rules['repeated']})"
+    return f"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+listed AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM texts),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM listed),
+counts AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, i, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS w2,
+         lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w3 FROM words),
+often AS (
+  SELECT doc_id, i FROM windows WHERE w3 IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, range(3) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts),
+twice AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
+  WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, t.source, coalesce(c.n_words, 0) AS n_words,
+         CAST(coalesce(c.word_chars, 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(t.t, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN counts c USING (doc_id) LEFT JOIN twice d USING (doc_id)
+  LEFT JOIN covered r USING (doc_id)),
+hosts AS (SELECT source, count(*) AS docs, {fails} FROM m GROUP BY source),
+moments AS (SELECT {moments} FROM hosts),
+rated AS (SELECT source, greatest({worst}) > {limit} AS host_failed
+          FROM hosts, (SELECT *, {weights} FROM moments))
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       {failed} AS base_failed, host_failed, NOT {failed} AND NOT host_failed AS kept
+FROM m JOIN rated ON m.source IS NOT DISTINCT FROM rated.source"""
+
+
+@_query(_quality_sql())
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents"))
 
