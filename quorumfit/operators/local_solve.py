@@ -225,11 +225,11 @@ def block_loss_gradient(
     """(part_id, n, loss, grad): summed loss and gradient of every block at its weights
     ``(part_id, n, w)``.
 
-    Every task adds up its own chunks first. The weights are broadcast while their
-    size, blocks x dimension, is below a bound; beyond it the chunks come from
-    ``salt_chunks`` and the weights are copied once per slice of their block and joined
-    there, so the data side stays where it is. ``tasks`` is the number of tasks over the
-    chunks.
+    Every task adds up its own chunks first. While blocks x dimension is below a bound the
+    weights are broadcast as arrays and looked up, so they are not copied into chunk rows;
+    beyond it the chunks must come from ``salt_chunks``, and the weights are copied once per
+    slice of their block and joined there, so the data side stays where it is. Chunks of
+    blocks without weights are left out. ``tasks`` is the number of tasks over the chunks.
     """
     dim, intercept, loss = problem.dim, problem.intercept, problem.loss
     if "salt" in chunks.columns:
@@ -237,12 +237,13 @@ def block_loss_gradient(
         copies = weights.select(
             "part_id", "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt")
         )
-        joined = chunks.join(copies, ["part_id", "salt"]).drop("salt")
+        joined, shared = chunks.join(copies, ["part_id", "salt"]).drop("salt"), None
     elif n_blocks * dim * 8 <= BROADCAST_BYTES:
-        joined = chunks.join(F.broadcast(weights.select("part_id", "w")), "part_id")
+        known = {row["part_id"]: np.array(row["w"]) for row in weights.select("part_id", "w").collect()}
+        joined, shared = chunks, chunks.sparkSession.sparkContext.broadcast(known)
     else:
-        joined = chunks.join(weights.select("part_id", "w"), "part_id")
-    columns = ["part_id", "n", "y", "lens", "idx", "val", "w"]
+        raise ValueError("weights of this size need chunks from salt_chunks")
+    columns = ["part_id", "n", "y", "lens", "idx", "val", *(["w"] if shared is None else [])]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -264,10 +265,14 @@ def block_loss_gradient(
         for batch in batches:
             part = batch.column("part_id").to_pylist()
             for k in range(batch.num_rows):
+                if shared is not None and part[k] not in shared.value:
+                    continue
                 cells = {
                     c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)
-                    for c in ("y", "lens", "idx", "val", "w")
+                    for c in columns[2:]
                 }
+                if shared is not None:
+                    cells["w"] = shared.value[part[k]]
                 rows = Rows(
                     cells["y"], cells["lens"], cells["idx"], cells["val"], dim, intercept
                 )
@@ -346,7 +351,8 @@ def solve_across_tasks(
     n_blocks: int, dual_scale: float = 1.0, first: bool = False, tasks: int = 1,
 ) -> str:
     """All blocks advance together, one distributed evaluation per round, until every
-    block's search is done. Returns the path of the solved state table."""
+    block's search is done. Blocks that are done stay in the table of their last round and
+    are not written again. Returns the path of the solved state table."""
     spark = chunks.sparkSession
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,23 +381,28 @@ def solve_across_tasks(
             if records:
                 yield _search_batch(records)
 
-    path = fresh_path(spark, "search")
-    state.select("part_id", "n", "slot", "w", "u").mapInArrow(begin, SEARCH).write.parquet(path)
-    unfinished = True
-    while unfinished:
-        search = spark.read.schema(SEARCH).parquet(path)
+    def write(rows: DataFrame) -> DataFrame:
+        """Write a round, split by done, and read its open blocks."""
+        rounds.append(f"{base}/round={len(rounds)}")
+        rows.write.partitionBy("done").parquet(rounds[-1])
+        return spark.read.schema(SEARCH).parquet(rounds[-1]).filter(~F.col("done"))
+
+    base, rounds = fresh_path(spark, "search"), []
+    search = write(state.select("part_id", "n", "slot", "w", "u").mapInArrow(begin, SEARCH))
+    while not search.isEmpty():
         trial = F.when(F.col("f").isNull(), F.col("w")).otherwise(
             F.zip_with(
                 "w", F.transform("d", lambda v: v * F.col("t")), lambda a, b: a + b
             )
         )
-        open_blocks = search.filter(~F.col("done")).select("part_id", "n", trial.alias("w"))
+        open_blocks = search.select("part_id", "n", trial.alias("w"))
         sums = block_loss_gradient(chunks, open_blocks, problem, n_blocks, tasks)
         step = search.join(sums.select("part_id", "loss", "grad"), "part_id", "left")
-        following = fresh_path(spark, "search")
-        step.mapInArrow(advance, SEARCH).write.parquet(following)
-        written = spark.read.schema(SEARCH).parquet(following)
-        unfinished = not written.filter(~F.col("done")).isEmpty()
-        drop_path(spark, path)
-        path = following
-    return path
+        search = write(step.select(*search.columns, "loss", "grad").mapInArrow(advance, SEARCH))
+        drop_path(spark, f"{rounds[-2]}/done=false")
+    solved = fresh_path(spark, "state")
+    spark.read.schema(SEARCH).parquet(base).select(
+        "part_id", "n", "w", "u", "slot", "evaluations"
+    ).write.parquet(solved)
+    drop_path(spark, base)
+    return solved

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import time
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumfit.functions import vectors as V
 from quorumfit.operators import blocks as B
 from quorumfit.operators import evaluate, local_solve, steps
 from quorumfit.plans.updater import SquaredL2
-from quorumfit.schemas import CHUNK, TRACE
+from quorumfit.schemas import CHUNK, STATE, TRACE
 from quorumfit.session import drop_path, fresh_path
 
 # Bytes of task memory per stored value: a dense value once, a sparse one with its
@@ -33,6 +34,11 @@ class ConsensusModel:
     placement: str
     trace: DataFrame
     state: DataFrame
+    state_path: str
+
+    def release(self) -> None:
+        """Delete the table behind ``state``; the weights stay."""
+        drop_path(self.state.sparkSession, self.state_path)
 
     @property
     def weights_df(self) -> DataFrame:
@@ -43,6 +49,28 @@ class ConsensusModel:
         return evaluate.predict(df, self.weights, self.intercept)
 
 
+def _with_last_dual_step(state: DataFrame, z: np.ndarray) -> DataFrame:
+    """(part_id, n, w, u) with the pending u + w - z applied; z is broadcast, as it may be
+    too wide for a constant of the plan."""
+    shared = state.sparkSession.sparkContext.broadcast(z)
+
+    def step(batches):
+        for batch in batches:
+            w, u = (
+                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for c in ("w", "u")
+            )
+            moved = (u + w - shared.value).ravel()
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * w.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("part_id", "n", "w")),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(moved))],
+                ["part_id", "n", "w", "u"],
+            )
+
+    return state.select("part_id", "n", "w", "u").mapInArrow(step, STATE)
+
+
 @dataclass
 class ConsensusLogisticRegression:
     """argmin_z sum over blocks of (mean loss of the block) + lam * ||z||^2.
@@ -83,7 +111,14 @@ class ConsensusLogisticRegression:
         self, df: DataFrame, key: str | None = None, num_features: int | None = None
     ) -> ConsensusModel:
         """Fit on ``(y, x)`` or ``(y, idx, val)``. Rows go to blocks by an existing
-        ``part_id``, by ``key`` or ``id``, or row by row."""
+        ``part_id``, by ``key`` or ``id``, or row by row. Caches and scratch tables are gone
+        when it returns or fails, but for the state table of the model."""
+        with ExitStack() as cleanup:
+            return self._fit(df, key, num_features, cleanup)
+
+    def _fit(
+        self, df: DataFrame, key: str | None, num_features: int | None, cleanup: ExitStack
+    ) -> ConsensusModel:
         started = time.time()
         spark = df.sparkSession
         sc = spark.sparkContext
@@ -92,9 +127,7 @@ class ConsensusLogisticRegression:
         )
         if updater.local_update is not None and self.placement != "task":
             raise ValueError("a custom local_update works on whole blocks: set placement='task'")
-        scratch: list[str] = []
-
-        chunks = self._chunks(df, key, scratch)
+        chunks = self._chunks(df, key, cleanup)
         found = B.chunk_profile(chunks).first()
         if not found["rows"]:
             raise ValueError("no training rows")
@@ -114,7 +147,10 @@ class ConsensusLogisticRegression:
             raise ValueError("part_id must not be negative")
         n_ids = found["last_id"] + 1
         sizes = B.spread_slots(B.block_sizes(chunks).select("part_id", "n"), n_ids)
+        tables: set[str] = set()
+        cleanup.callback(lambda: [drop_path(spark, path) for path in tables])
         state_path = fresh_path(spark, "state")
+        tables.add(state_path)
         start = steps.initial_state(sizes, dim, self.seed)
         start.withColumn("evaluations", F.lit(0)).write.parquet(state_path)
 
@@ -122,10 +158,12 @@ class ConsensusLogisticRegression:
         data = chunks
         if in_task:
             data = B.co_locate(chunks, n_ids, n_blocks).persist(self.storage)
+            cleanup.callback(data.unpersist)
         elif n_blocks * dim * 8 > local_solve.BROADCAST_BYTES:
             counts = spark.read.parquet(state_path).select("part_id", "n")
             data = B.salt_chunks(chunks, counts, n_blocks, found["rows"], tasks)
             data = data.persist(self.storage)
+            cleanup.callback(data.unpersist)
 
         z, rho, dual_scale = np.zeros(dim), self.rho, 1.0
         state = self._read_state(spark, state_path)
@@ -135,6 +173,7 @@ class ConsensusLogisticRegression:
             z_bc = sc.broadcast(z)
             if in_task:
                 next_path = fresh_path(spark, "state")
+                tables.add(next_path)
                 local_solve.solve_in_task(
                     data, state, problem, z_bc, rho, dual_scale, iteration == 1,
                     updater.local_update,
@@ -143,6 +182,7 @@ class ConsensusLogisticRegression:
                 next_path = local_solve.solve_across_tasks(
                     data, state, problem, z_bc, rho, n_blocks, dual_scale, iteration == 1, tasks,
                 )
+            tables.add(next_path)
             state = self._read_state(spark, next_path)
             slices = sorted(steps.state_summary(state).collect(), key=lambda s: s["slice"])
             w_avg, u_avg, w_sq, w_spread = (
@@ -150,6 +190,7 @@ class ConsensusLogisticRegression:
                 for c in ("w_avg", "u_avg", "w_sq", "w_spread")
             )
             drop_path(spark, state_path)
+            tables.discard(state_path)
             state_path = next_path
             z_bc.destroy()
             if iteration == 1 and data is not chunks:
@@ -177,10 +218,7 @@ class ConsensusLogisticRegression:
             dual_scale = rho / following if self.rescale_dual else 1.0
             rho = following
 
-        data.unpersist()
-        chunks.unpersist()
-        for path in scratch:
-            drop_path(spark, path)
+        tables.discard(state_path)
         return ConsensusModel(
             weights=z[:width],
             intercept=float(z[-1]) if self.fit_intercept else 0.0,
@@ -189,10 +227,11 @@ class ConsensusLogisticRegression:
             runtime_sec=time.time() - started,
             placement="task" if in_task else "across",
             trace=spark.createDataFrame(trace, TRACE),
-            state=steps.dual_step(state, V.vector_literal(z)).select("part_id", "n", "w", "u"),
+            state=_with_last_dual_step(state, z),
+            state_path=state_path,
         )
 
-    def _chunks(self, df: DataFrame, key: str | None, scratch: list[str]) -> DataFrame:
+    def _chunks(self, df: DataFrame, key: str | None, cleanup: ExitStack) -> DataFrame:
         key = key or ("id" if "id" in df.columns else None)
         if "part_id" not in df.columns:
             placed = B.assign_blocks(df, self.n_blocks, key)
@@ -205,12 +244,13 @@ class ConsensusLogisticRegression:
             placed = B.cap_rows(placed, self.row_cap, key)
         chunks = B.pack_chunks(placed)
         if not by_position:
+            cleanup.callback(chunks.unpersist)
             return chunks.persist(self.storage)
         # Positions are stable only within one run of a task, so they are fixed in a
         # table rather than recomputed after a lost executor.
         path = fresh_path(df.sparkSession, "chunks")
+        cleanup.callback(drop_path, df.sparkSession, path)
         chunks.write.parquet(path)
-        scratch.append(path)
         return df.sparkSession.read.schema(CHUNK).parquet(path)
 
     @staticmethod

@@ -193,11 +193,12 @@ def test_own_update_strategy(rows):
 
     updater = FixedPenalty(0.01)
     updater.local_update = gradient_step
-    model = ConsensusLogisticRegression(updater=updater, max_iter=3).fit(rows)
+    model = ConsensusLogisticRegression(updater=updater, placement="task", max_iter=3).fit(rows)
     assert {t["rho"] for t in model.trace.collect()} == {1.0}
     assert model.weights.any()
-    with pytest.raises(ValueError, match="local_update"):
-        ConsensusLogisticRegression(updater=updater, placement="across").fit(rows)
+    for placement in ("across", "auto"):
+        with pytest.raises(ValueError, match="local_update"):
+            ConsensusLogisticRegression(updater=updater, placement=placement).fit(rows)
 
 
 def test_state_invariant(default_fit):

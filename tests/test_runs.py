@@ -8,6 +8,7 @@ from quorumfit.plans import compare, runs
 from quorumfit.registry import fixtures as X
 from quorumfit.session import drop_path, fresh_path
 from quorumfit.sources import libsvm
+from quorumfit.sources.csv import read_metrics_csv
 
 
 @pytest.fixture(scope="module")
@@ -81,8 +82,17 @@ def test_grid(data):
 
 
 def test_union_keeps_repeated_rows_once(result):
-    both = compare.union_metrics([result.metrics, result.metrics.drop("test_file"), result.metrics])
-    assert both.count() == 2
+    both = compare.union_metrics([result.metrics.drop("test_file"), result.metrics, result.metrics])
+    assert [r["test_file"] for r in both.collect()] == ["higgs_test10k.binary"]
+
+
+def test_saved_runs_are_numbered(spark, result, tmp_path):
+    names = [runs.save_run(result, str(tmp_path)) for _ in range(2)]
+    stem = "15k_10k_%s" % result.row["algorithm"]
+    assert [n.split(stem)[1] for n in names] == ["_1_8part", "_2_8part"]
+    assert len(spark.read.text(f"{tmp_path}/{names[1]}_report").collect()) == 26
+    assert runs.read_weights(spark, f"{tmp_path}/{names[1]}_weights").count() == 64
+    assert read_metrics_csv(spark, str(tmp_path)).count() == 2
 
 
 def test_scratch_paths_only(spark, tmp_path):
