@@ -17,10 +17,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     row has a lang there is nothing to judge by and all rows with letters stay.
     """
     model = language_id.train(docs)
-    judged = language_id.identify(docs, model, keep=docs.columns)
+    judged = language_id.identify(docs, model, keep=docs.columns, prefix="_language_")
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return judged.where("NOT rejected").select(docs.columns)
+    return judged.where("NOT _language_rejected").select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

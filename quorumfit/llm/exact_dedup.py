@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumfit.llm.tables import attach_groups, written
@@ -86,7 +86,20 @@ def exact_groups(docs: DataFrame, identify=chunk_id) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows that repeat a doc_id and its text one stays. Rows without doc_id stay.
+    """
+    groups = written(exact_groups(docs), "groups")
     gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    many = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
+    again = written(many.where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return stay
+    same = Window.partitionBy("doc_id", F.sha2(normal_text(F.col("text")), 256)).orderBy(F.lit(1))
+    first = stay.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(same))
+    return (
+        stay.join(again, "doc_id", "left_anti").select(docs.columns)
+        .unionByName(first.where("_turn = 1").select(docs.columns))
+    )

@@ -298,8 +298,8 @@ def _calibrate(model: LanguageModels, rows: DataFrame) -> None:
 
 
 def identify(docs: DataFrame, model: LanguageModels, z: float = 6.0, keep: list[str] | None = None,
-             slack: float = 0.25) -> DataFrame:
-    """Columns ``keep`` of every row and lang_pred, score, entropy, rejected.
+             slack: float = 0.25, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` of every row and lang_pred, score, entropy, rejected, after ``prefix``.
 
     lang_pred has the lowest cross-entropy a character; score (0 to 1) weighs it against
     the other languages over at most 40 characters. A text is rejected when its entropy lies
@@ -311,12 +311,17 @@ def identify(docs: DataFrame, model: LanguageModels, z: float = 6.0, keep: list[
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     fields = docs.select(*keep).schema
+    found = [prefix + c for c in ("lang_pred", "score", "entropy", "rejected")]
+    source, read = "text", list(keep)
+    if "text" not in keep:
+        source = "_text"
+        read.append(F.col("text").alias(source))
 
     def predict(batches):
         known = LanguageModels.of(shared.value)
         langs = known.languages
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(source).to_pylist()
             names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             entropy = np.full(len(texts), np.nan)
             rejected = np.ones(len(texts), bool)
@@ -334,13 +339,12 @@ def identify(docs: DataFrame, model: LanguageModels, z: float = 6.0, keep: list[
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(names, pa.string()), pa.array(score),
                  pa.array(entropy, from_pandas=True), pa.array(rejected)],
-                [*keep, "lang_pred", "score", "entropy", "rejected"],
+                [*keep, *found],
             )
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
-        predict, f"{shape}, lang_pred string, score double, entropy double, rejected boolean"
-    )
+    kinds = [(f.name, f.dataType.simpleString()) for f in fields]
+    kinds += zip(found, ("string", "double", "double", "boolean"))
+    return docs.select(*read).mapInArrow(predict, ", ".join(f"`{c}` {kind}" for c, kind in kinds))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text whose words form one pack.
-PACK = 16_000_000
+PACK = 32_000_000
+#: Groups by hash in which the distinct units of all packs meet.
+BUCKETS = 4096
 #: Longest unit; see :func:`encode`.
 LONGEST = 256
 MOST_PIECES = 1_000_000
@@ -77,76 +82,141 @@ class Pieces:
 
 
 def _units(pieces: Pieces):
-    """Function that cuts escaped text where no piece can reach across."""
+    """Function that cuts escaped text where no piece can reach across, and the characters
+    that stand alone, such as line ends.
+
+    Cuts are before spaces, around those characters, before signs that no piece has after a
+    letter or digit, and, in what is still longer than 32 characters, between characters that
+    no piece has side by side.
+    """
     alphabet = {c for i in pieces.normal for c in pieces.names[i]}
     pairs = {n[k : k + 2] for n in (pieces.names[i] for i in pieces.normal) for k in range(len(n) - 1)}
     alone = "".join(c for c in "\n\t\r\x00\x0b\x0c" if c not in alphabet)
-    pattern = re.compile(f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]")
+    joined = {p[1] for p in pairs if p[0].isalnum()}
+    signs = "".join(sorted(c for c in alphabet if not c.isalnum() and c not in joined and c != SPACE))
+    part = re.compile(f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]")
+    sign = re.compile(f"(?<=[^\\W_])(?=[{re.escape(signs)}])") if signs else re.compile(r"\Z\A.")
 
     def cut(text: str) -> list[str]:
-        units = pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        if max(map(len, units), default=0) <= 32:
-            return units
         out = []
-        for unit in units:
-            start = 0
-            if len(unit) > 32:
-                for k in range(1, len(unit)):
-                    if unit[k - 1 : k + 1] not in pairs or k - start >= LONGEST:
-                        out.append(unit[start:k])
-                        start = k
-            out.append(unit[start:])
+        for found in part.findall(text):
+            for unit in sign.split(found):
+                start = 0
+                if len(unit) > 32:
+                    for k in range(1, len(unit)):
+                        if unit[k - 1 : k + 1] not in pairs or k - start >= LONGEST:
+                            out.append(unit[start:k])
+                            start = k
+                out.append(unit[start:])
         return out
 
     return cut, frozenset(alone)
 
 
+def escaped(text: str) -> str:
+    """Text as SentencePiece sees it: a space before, spaces as U+2581."""
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Non-negative 32-bit numbers as one plane for each byte, which compresses better."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes, count: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, 4 * count, at).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _pack(pieces: Pieces):
-    """Texts to packs: the distinct units of many texts, and the texts as unit numbers."""
+    """Texts to packs of (pack, body).
+
+    A body has twelve digits, the length of the next part; the distinct units of the pack in
+    ``BUCKETS`` groups by hash (groups end with NUL, units in them with a line end, sorted);
+    then, compressed, the texts as ranks of units by frequency and the place of each rank
+    among the units. Negative ranks stand for single characters outside all pieces.
+    """
     cut, alone = _units(pieces)
 
-    def flush(ids, hashes, lengths, codes, index) -> pa.RecordBatch:
-        units = "\n".join(index).encode()
-        plain = b"".join(
-            np.ascontiguousarray(a).tobytes() for a in (
-                np.array([len(ids), len(codes)], np.int64),
-                np.array([i is not None for i in ids], np.int64),
-                np.array([i or 0 for i in ids], np.int64),
-                np.array(hashes, np.uint64), np.array(lengths, np.int64),
-                np.array(codes, np.int32),
+    class Numbers(dict):
+        """Unit numbers of what lies between two spaces, found when it is first met."""
+
+        def __init__(self):
+            self.units: dict[str, int] = {}
+
+        def of(self, text: str) -> tuple[int, ...]:
+            units = self.units
+            return tuple(
+                -1 - ord(u) if u in alone else units.setdefault(u, len(units)) for u in cut(text)
             )
-        )
-        packed = zstandard.ZstdCompressor(level=5).compress(plain)
-        key = xxhash.xxh64_intdigest(units + packed) - (1 << 63)
-        body = b"%012d" % len(units) + units + packed
+
+        def __missing__(self, word: str) -> tuple[int, ...]:
+            found = self[word] = self.of(SPACE + word)
+            return found
+
+    def flush(ids, hashes, lengths, codes, index) -> pa.RecordBatch:
+        codes = np.frombuffer(codes, np.int32)
+        n_units = len(index)
+        often = np.bincount(codes[codes >= 0], minlength=n_units)
+        by_rank = np.argsort(-often, kind="stable")
+        rank = np.empty(n_units, np.int32)
+        rank[by_rank] = np.arange(n_units, dtype=np.int32)
+        groups: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
+        for unit, code in index.items():
+            groups[xxhash.xxh32_intdigest(unit) % BUCKETS].append((unit, code))
+        place, words = np.empty(n_units, np.int64), []
+        at = 0
+        for group in groups:
+            group.sort()
+            words.append("\n".join(u for u, _ in group))
+            for _, code in group:
+                place[rank[code]] = at
+                at += 1
+        text = "\x00".join(words).encode()
+        special = np.unique(codes[codes < 0])
+        shown = codes.copy()
+        for k, code in enumerate(special):
+            shown[codes == code] = k
+        shown[codes >= 0] = rank[codes[codes >= 0]] + len(special)
+        head = np.array([len(ids), len(codes), n_units, len(special)], np.int64)
+        plain = b"".join([
+            head.tobytes(), np.array([i is not None for i in ids], np.int64).tobytes(),
+            np.array([i or 0 for i in ids], np.int64).tobytes(),
+            np.array(hashes, np.uint64).tobytes(), np.array(lengths, np.int64).tobytes(),
+            special.astype(np.int64).tobytes(), _planes(place), _planes(shown),
+        ])
+        packed = zstandard.ZstdCompressor(level=4).compress(plain)
+        key = xxhash.xxh64_intdigest(text + packed) - (1 << 63)
+        body = b"%012d" % len(text) + text + packed
         return pa.RecordBatch.from_arrays(
             [pa.array([key], pa.int64()), pa.array([body], pa.binary())], ["pack", "body"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, lengths, codes, index, size = [], [], [], [], {}, 0
+        ids, hashes, lengths, codes, numbers, size = [], [], [], array("i"), Numbers(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                units = cut(text)
+                before = len(codes)
+                if "  " in text or text[:1] == " " or text[-1:] in ("", " "):
+                    codes.extend(numbers.of(escaped(text)))
+                else:
+                    codes.extend(chain.from_iterable(map(numbers.__getitem__, text.split(" "))))
                 ids.append(doc_id)
                 hashes.append(xxhash.xxh64_intdigest(text, seed=42))
-                lengths.append(len(units))
-                codes += [
-                    -1 - ord(u) if u in alone else index.setdefault(u, len(index)) for u in units
-                ]
+                lengths.append(len(codes) - before)
                 size += len(text)
                 if size >= PACK:
-                    yield flush(ids, hashes, lengths, codes, index)
-                    ids, hashes, lengths, codes, index, size = [], [], [], [], {}, 0
+                    yield flush(ids, hashes, lengths, codes, numbers.units)
+                    ids, hashes, lengths, codes, numbers, size = [], [], [], array("i"), Numbers(), 0
         if ids:
-            yield flush(ids, hashes, lengths, codes, index)
+            yield flush(ids, hashes, lengths, codes, numbers.units)
 
     return run
 
 
 def edges(words: DataFrame, pieces: Pieces, key: str = "word") -> DataFrame:
-    """Lattice of every word: the word's columns and start, width, id, score of each edge.
+    """Lattice of every word: the word's columns and end, start, id, score of each edge.
 
     All substrings up to the longest piece are joined to the piece table. A character that
     is no piece of its own has an edge with id -1 - code point and the unknown score.
@@ -160,78 +230,80 @@ def edges(words: DataFrame, pieces: Pieces, key: str = "word") -> DataFrame:
     ).withColumn("piece", F.substring(F.col(key), F.col("start") + 1, F.col("width")))
     joined = spans.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR width = 1")
     return joined.select(
-        *words.columns, "start", "width",
+        *words.columns, (F.col("start") + F.col("width")).alias("end"), "start",
         F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
     )
 
 
-def best_path(lattice: Column, length: Column) -> Column:
-    """Ids of the best-scoring path through edges (start, width, id, score): Viterbi.
+def best_path(lattice: Column) -> Column:
+    """Ids of the best-scoring path through an array of edges (end, start, id, score): Viterbi.
 
-    The fold keeps the best (score, -start, ids) of every position reached; of equal scores
-    the longer last piece wins.
+    The fold takes edges by end, then start. It holds the best score and ids of every place
+    passed and of the place it is at; of equal scores the longer last piece stays. Every
+    place must have an edge that ends there.
     """
     nothing = F.array().cast("array<int>")
     origin = F.struct(
-        F.lit(0.0).alias("score"), F.lit(0).alias("from"), nothing.alias("ids")
+        F.array().cast("array<struct<score:double,ids:array<int>>>").alias("passed"),
+        F.lit(0).alias("at"), F.lit(0.0).alias("score"), nothing.alias("ids"),
     )
 
-    def step(reached: Column, end: Column) -> Column:
-        arriving = F.filter(lattice, lambda e: e["start"] + e["width"] == end)
-        options = F.transform(
-            arriving,
-            lambda e: F.struct(
-                (reached[e["start"]]["score"] + e["score"]).alias("score"),
-                (-e["start"]).alias("from"),
-                F.concat(reached[e["start"]]["ids"], F.array(e["id"])).alias("ids"),
-            ),
+    def step(held: Column, e: Column) -> Column:
+        here = F.struct(held["score"].alias("score"), held["ids"].alias("ids"))
+        onward = e["end"] > held["at"]
+        before = F.when(e["start"] == held["at"], here).otherwise(held["passed"][e["start"]])
+        score = before["score"] + e["score"]
+        better = onward | (score > held["score"])
+        return F.struct(
+            F.when(onward, F.concat(held["passed"], F.array(here))).otherwise(held["passed"]).alias("passed"),
+            e["end"].alias("at"),
+            F.when(better, score).otherwise(held["score"]).alias("score"),
+            F.when(better, F.concat(before["ids"], F.array(e["id"]))).otherwise(held["ids"]).alias("ids"),
         )
-        return F.concat(reached, F.array(F.array_max(options)))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), length), F.array(origin), step,
-        lambda reached: F.element_at(reached, -1)["ids"],
-    )
+    return F.aggregate(F.array_sort(lattice), origin, step, lambda held: held["ids"])
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_words(words: DataFrame, pieces: Pieces, by: list[str] | None = None) -> DataFrame:
     """Columns of ``words`` (one row for each ``word``) with the ids of its best path.
 
-    Further columns ride on one edge of each word only.
+    ``by`` names further grouping columns that depend on the word, by which the rows lie.
+    Other columns ride on one edge of each word only.
     """
-    rest = F.struct(*[c for c in words.columns if c != "word"], F.lit(True).alias("_one"))
-    rides = F.when((F.col("start") == 0) & (F.col("width") == 1), F.col("rest"))
+    keys = [*(by or []), "word"]
+    others = [c for c in words.columns if c not in keys]
+    rest = F.struct(*others, F.lit(True).alias("_one"))
+    rides = F.when((F.col("start") == 0) & (F.col("end") == 1), F.col("rest"))
     grouped = (
-        edges(words.select("word", rest.alias("rest")), pieces)
-        .withColumn("rest", rides).groupBy("word")
+        edges(words.select(*keys, rest.alias("rest")), pieces)
+        .withColumn("rest", rides).groupBy(*keys)
         .agg(
             F.first("rest", ignorenulls=True).alias("rest"),
-            F.collect_list(F.struct("start", "width", "id", "score")).alias("lattice"),
+            F.collect_list(F.struct("end", "start", "id", "score")).alias("lattice"),
         )
     )
-    path = best_path(F.col("lattice"), F.length("word")).alias("ids")
-    return grouped.select("word", "rest.*", path).drop("_one")
+    path = best_path(F.col("lattice")).alias("ids")
+    return grouped.select(*keys, "rest.*", path).drop("_one")
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids, text_hash of every row of ``docs`` (doc_id, text).
+    """doc_id, n_tokens, ids, text_hash, round_trip of every row of ``docs`` (doc_id, text).
 
     Text is escaped as SentencePiece does it (a space before, spaces as U+2581) and cut into
     units where no piece can reach across: before spaces, around characters such as line
-    ends, and, in units above 32 characters, between characters that no piece has side by
-    side. Tasks turn stretches of about ``PACK`` characters into packs of unit numbers. The
-    distinct units of all packs become lattices (substrings joined to the piece table,
-    edges grouped by unit, best path by a fold), once each, and return to their packs as
-    dictionaries. So texts move once, as numbers.
+    ends, and between characters that no piece has side by side. Tasks turn stretches of about ``PACK`` characters into packs of unit numbers. The
+    distinct units of all packs meet by hash and become lattices (substrings joined to the
+    piece table, edges grouped by unit, best path by a fold), once each, and return to their
+    packs as dictionaries. So texts move once, as compressed numbers.
 
-    The piece scores are the model's, summed along a path; ids equal those of SentencePiece
-    in unigram mode over the same table. A unit of more than ``LONGEST`` characters with no
-    such cut is cut there, and each part has its best path. Characters without a piece
-    become byte pieces, or the unknown piece when the model has no bytes.
+    The piece scores are the model's, summed along a path. A unit of more than ``LONGEST``
+    characters with no such cut is cut there, and each part has its best path. Characters
+    without a piece become byte pieces, or the unknown piece when the model has no bytes.
 
     Null text is empty text and has no ids; repeated rows and null doc_ids stay rows; other
-    columns are ignored. text_hash is the 64-bit hash of the text, to check decoding.
+    columns are ignored. text_hash is the 64-bit hash of the text; round_trip says whether
+    the decoded ids have it.
     """
     pieces = pieces or Pieces.load()
     packs = (
@@ -239,51 +311,79 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         .mapInArrow(_pack(pieces), "pack long, body binary")
         .repartition("pack")
     )
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     length = F.substring("body", 1, 12).cast("string").cast("int")
-    units = F.split(F.substring("body", F.lit(13), length).cast("string"), "\n", -1)
-    placed = packs.select("pack", F.posexplode(units).alias("number", "word")).where("word <> ''")
-    words = placed.groupBy("word").agg(F.collect_list(F.struct("pack", "number")).alias("at"))
-    entry = F.concat_ws(" ", F.col("at.number"), F.array_join("ids", " "))
-    named = (
-        encode_words(words, pieces).select(F.explode("at").alias("at"), "ids")
-        .select(F.col("at.pack").alias("pack"), entry.alias("entry"))
-        .groupBy("pack").agg(F.array_join(F.collect_list("entry"), "\n").alias("entries"))
+    groups = F.split(F.substring("body", F.lit(13), length).cast("string"), "\\x00", -1)
+    placed = (
+        packs.select("pack", F.posexplode(groups).alias("bucket", "units")).where("units <> ''")
+        .repartition(tasks, "bucket")
+        .select("bucket", "pack", F.posexplode(F.split("units", "\n", -1)).alias("number", "word"))
+    )
+    words = placed.groupBy("bucket", "word").agg(
+        F.collect_list(F.struct("pack", "number")).alias("at")
+    )
+    found = (
+        encode_words(words, pieces, ["bucket"])
+        .select("bucket", F.explode("at").alias("at"), F.array_join("ids", " ").alias("ids"))
+        .groupBy("bucket", "at.pack")
+        .agg(F.array_sort(F.collect_list(F.struct("at.number", "ids"))).alias("found"))
+        .select("bucket", "pack", F.array_join(F.transform("found", lambda e: e["ids"]), "\n").alias("found"))
+    )
+    named = found.groupBy("pack").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
+    joined = packs.join(named, "pack", "left").select(
+        "body", F.array_join(F.transform(F.array_sort("found"), lambda e: e["found"]), "\n").alias("entries")
     )
-    joined = packs.join(named, "pack", "left").select("body", "entries")
     return joined.mapInArrow(
-        _unpack(pieces), "doc_id long, n_tokens long, ids array<int>, text_hash long"
+        _unpack(pieces),
+        "doc_id long, n_tokens long, ids array<int>, text_hash long, round_trip boolean",
     )
 
 
+def _without_fallbacks(ids: np.ndarray, sizes: np.ndarray, pieces: Pieces):
+    """Ids and sizes of rows with characters without a piece (-1 - code point) as bytes."""
+    fallbacks = {i: pieces.fallback(chr(-1 - i)) for i in np.unique(ids[ids < 0]).tolist()}
+    each = np.ones(len(ids), np.int64)
+    for i, codes in fallbacks.items():
+        each[ids == i] = len(codes)
+    out = np.repeat(ids, each)
+    starts = np.cumsum(each) - each
+    for i, codes in fallbacks.items():
+        for k, code in enumerate(codes):
+            out[starts[ids == i] + k] = code
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return out, np.bincount(row, weights=each, minlength=len(sizes)).astype(np.int64)
+
+
 def _unpack(pieces: Pieces):
-    def flat(row: list[int]) -> list[int]:
-        if min(row) >= 0:
-            return row
-        return [j for i in row for j in ([i] if i >= 0 else pieces.fallback(chr(-1 - i)))]
+    decoded = _decoder(pieces)
 
     def texts(body: bytes, entries: str | None) -> Iterator[pa.RecordBatch]:
-        skip = 12 + int(body[:12])
-        n_units = body[12:skip].count(b"\n") + 1 if skip > 12 else 0
-        known: list = [None] * n_units
-        for line in (entries or "").split("\n") if entries else []:
-            number, *row = map(int, line.split(" "))
-            known[number] = np.array(flat(row), np.int32)
-        if any(k is None for k in known):
+        plain = zstandard.ZstdDecompressor().decompress(body[12 + int(body[:12]) :])
+        n, m, n_units, n_special = np.frombuffer(plain, np.int64, 4).tolist()
+        at = 32 + 32 * n
+        has, ids, hashes, lengths = np.frombuffer(plain, np.int64, 4 * n, 32).reshape(4, n)
+        special = np.frombuffer(plain, np.int64, n_special, at)
+        place = _from_planes(plain, n_units, at + 8 * n_special)
+        codes = _from_planes(plain, m, at + 8 * n_special + 4 * n_units)
+        data = np.frombuffer((entries or "").encode(), np.uint8)
+        line_ends = np.flatnonzero(data == 10)
+        if len(line_ends) + bool(len(data)) != n_units:
             raise ValueError("a pack met units of another pack; the input must not change between reads")
-        plain = zstandard.ZstdDecompressor().decompress(body[skip:])
-        n, m = np.frombuffer(plain, np.int64, 2)
-        has, ids, hashes, lengths = np.frombuffer(plain, np.int64, 4 * n, 16).reshape(4, n)
-        codes = np.frombuffer(plain, np.int32, m, 16 + 32 * n).copy()
-        special = sorted(set(codes[codes < 0].tolist()))
-        for k, code in enumerate(special):
-            codes[codes == code] = n_units + k
-            known.append(np.array(pieces.fallback(chr(-1 - code)), np.int32))
-        sizes = np.array([k.size for k in known], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        flat_ids = np.concatenate(known) if known else np.empty(0, np.int32)
+        found = np.array((entries or "").split(), np.int32)
+        spaces = np.cumsum(data == 32)
+        sizes = np.diff(np.concatenate([[0], spaces[line_ends], spaces[-1:]])) + 1
+        if (found < 0).any():
+            found, sizes = _without_fallbacks(found, sizes, pieces)
+        alone = [np.array(pieces.fallback(chr(-1 - code)), np.int32) for code in special.tolist()]
+        begins = np.cumsum(sizes) - sizes
+        ahead = sum(map(len, alone))
+        alone_sizes = np.array([len(a) for a in alone], np.int64)
+        begins = np.concatenate([np.cumsum(alone_sizes) - alone_sizes, begins[place] + ahead])
+        sizes = np.concatenate([alone_sizes, sizes[place]])
+        flat_ids = np.concatenate([*alone, found])
         ends = np.cumsum(lengths)
-        for low in range(0, n, 2000):
-            high = min(low + 2000, n)
+        for low in range(0, n, 500):
+            high = min(low + 500, n)
             part = codes[ends[low] - lengths[low] : ends[high - 1]]
             size = sizes[part]
             to = np.cumsum(size)
@@ -291,16 +391,18 @@ def _unpack(pieces: Pieces):
             per_unit = np.concatenate([[0], to])
             cuts = np.concatenate([[0], np.cumsum(lengths[low:high])])
             offsets = per_unit[cuts]
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets.astype(np.int32)), pa.array(flat_ids[take])
+            )
+            back = np.array(
+                [xxhash.xxh64_intdigest(t, seed=42) for t in decoded(lists)], np.uint64
+            ).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[low:high], mask=has[low:high] == 0),
-                    pa.array(np.diff(offsets)),
-                    pa.ListArray.from_arrays(
-                        pa.array(offsets.astype(np.int32)), pa.array(flat_ids[take])
-                    ),
-                    pa.array(hashes[low:high].copy().view(np.int64)),
+                    pa.array(ids[low:high], mask=has[low:high] == 0), pa.array(np.diff(offsets)),
+                    lists, pa.array(hashes[low:high]), pa.array(back == hashes[low:high]),
                 ],
-                ["doc_id", "n_tokens", "ids", "text_hash"],
+                ["doc_id", "n_tokens", "ids", "text_hash", "round_trip"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +413,33 @@ def _unpack(pieces: Pieces):
     return run
 
 
+def _decoder(pieces: Pieces):
+    """Function from an array of id lists to their texts, by the bytes of the pieces."""
+    raw: list[bytes] = [n.encode() for n in pieces.names]
+    for value, i in pieces.bytes.items():
+        raw[i] = bytes([value])
+    letters = np.frombuffer(b"".join(raw), np.uint8)
+    widths = np.array([len(r) for r in raw], np.int64)
+    begins, mark = np.cumsum(widths) - widths, SPACE.encode()
+
+    def texts(column: pa.Array) -> Iterator[str | None]:
+        for low in range(0, len(column), 500):
+            part = column.slice(low, 500)
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            size = widths[flat]
+            ends = np.cumsum(size)
+            take = np.repeat(begins[flat] - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)
+            data = letters[take].tobytes()
+            bounds = np.concatenate([[0], ends])
+            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            cuts = bounds[np.concatenate([[0], np.cumsum(lengths)])]
+            for k, known in enumerate(part.is_valid().to_pylist()):
+                text = data[cuts[k] : cuts[k + 1]].replace(mark, b" ")[1:]
+                yield text.decode("utf-8", "replace") if known else None
+
+    return texts
+
+
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> DataFrame:
     """``encoded`` with the text of its ids; a null array gives null text.
 
@@ -319,24 +448,12 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -
     replacement characters.
     """
     pieces = pieces or Pieces.load()
-    raw: list[bytes] = [n.encode() for n in pieces.names]
-    for value, i in pieces.bytes.items():
-        raw[i] = bytes([value])
-    mark = SPACE.encode()
-    fields = encoded.schema
+    decoded, fields = _decoder(pieces), encoded.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.column(ids).to_pylist():
-                if row is None:
-                    out.append(None)
-                    continue
-                data = b"".join([raw[i] for i in row]).replace(mark, b" ")
-                out.append(data[1:].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"]
-            )
+            out = pa.array(decoded(batch.column(ids)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return encoded.mapInArrow(run, f"{shape}, decoded string")

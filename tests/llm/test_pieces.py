@@ -3,6 +3,7 @@
 import math
 
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from quorumfit.llm import piece_lattice as P
@@ -57,7 +58,11 @@ def test_round_trip_of_odd_rows(spark, odd, none):
     assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted(
         (str(r.doc_id), r.text or "") for r in odd.collect()
     )
-    assert all(len(r.ids) == r.n_tokens for r in got)
+    assert all(len(r.ids) == r.n_tokens and r.round_trip for r in got)
+    assert all(
+        r.same for r in P.encode(odd).join(odd, "doc_id").select(
+            (F.col("text_hash") == F.xxhash64(F.coalesce("text", F.lit("")))).alias("same")).collect()
+    )
     assert P.encode(none).count() == 0
     texts = [" ", "  a", "a  b ", "\n", "a\n\nb\t c", "☃☃x", "日本語テキスト" * 200, "1234 5678", "x" * 1000]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -71,9 +76,8 @@ def test_many_small_packs_give_the_same(docs, monkeypatch):
 
 
 def test_cuts_are_where_no_piece_reaches():
-    pieces = P.Pieces.load()
-    cut, alone = P._units(pieces)
-    text = "ab" * 40 + "\n" + "☃é" * 50 + " tail"
-    units = cut(text)
+    cut, alone = P._units(P.Pieces.load())
+    text = "ab" * 40 + "\n" + "☃é" * 50 + " tail, end."
+    units = cut(P.escaped(text))
     assert "".join(units) == P.SPACE + text.replace(" ", P.SPACE)
-    assert "\n" in alone and "\n" in units
+    assert "\n" in alone and "\n" in units and "▁tail" in units and "," in units
