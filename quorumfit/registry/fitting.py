@@ -352,27 +352,48 @@ FIT_SQL = f"""WITH {X.EX_PAIR}, sized AS (
     FROM w10, range(2) t(j)"""
 
 
-@query(FIT_SQL)
-def consensus_fit(spark, sf_dir):
-    """The whole loop, run until z settles, against the minimiser of the joint objective
-    sum over blocks of mean loss + lambda * ||z||^2."""
-    model = ConsensusLogisticRegression(
+FIT_CTES = FIT_SQL[: FIT_SQL.rindex("SELECT CAST(j AS INTEGER)")]
+
+
+def _settled_fit(spark, sf_dir):
+    return ConsensusLogisticRegression(
         lam=FIT_LAM, rho=0.25, eps_abs=1e-6, eps_rel=1e-6, criterion="both", max_iter=200,
         local_tol=1e-10,
     ).fit(X.ex_pair(spark, sf_dir))
-    return model.weights_df.select("j", r("weight", 4).alias("weight"))
 
 
-def _fit(spark, sf_dir, **options):
-    return ConsensusLogisticRegression(**options).fit(X.ex_emb(spark, sf_dir))
+@query(FIT_SQL)
+def consensus_fit(spark, sf_dir):
+    """The whole loop, run until z settles, against the minimiser of the joint objective
+    sum over blocks of mean loss + lambda * ||z||^2."""
+    return _settled_fit(spark, sf_dir).weights_df.select("j", r("weight", 4).alias("weight"))
 
 
-@query()
+@query(
+    f"""{FIT_CTES} SELECT id, y, CASE WHEN 1 / (1 + exp(-(a * p + b * q))) > 0.5 THEN 1.0::DOUBLE
+    ELSE -1.0::DOUBLE END AS predicted FROM pair, w10"""
+)
 def consensus_predictions(spark, sf_dir):
-    """Fit with the default rules and score every row."""
-    model = _fit(spark, sf_dir)
-    return model.transform(X.ex_emb(spark, sf_dir)).select(
-        "id", "y", "score", "probability", "predicted"
+    """Fit until z settles and classify every row."""
+    model = _settled_fit(spark, sf_dir)
+    return model.transform(X.ex_pair(spark, sf_dir)).select("id", "y", "predicted")
+
+
+@query(
+    f"""{FIT_CTES}, pulls AS (
+      SELECT part_id, count(*) AS n, avg(y * a / (1 + exp(y * (a * p + b * q)))) AS pa,
+             avg(y * b / (1 + exp(y * (a * p + b * q)))) AS pb FROM pair, w10 GROUP BY part_id)
+    SELECT part_id, n, CAST(j AS INTEGER) AS j, {sql_r('CASE WHEN j = 0 THEN p ELSE q END', 3)} AS w,
+           {sql_r('CASE WHEN j = 0 THEN pa ELSE pb END', 3)} AS pull
+    FROM pulls, w10, range(2) t(j)"""
+)
+def consensus_state(spark, sf_dir):
+    """Final block states: every w is the consensus, and rho * u is the pull of the block,
+    minus the gradient of its mean loss there, whatever path rho took."""
+    model = _settled_fit(spark, sf_dir)
+    rho = model.trace.agg(F.max_by("rho", "iteration")).first()[0]
+    return model.state.select("part_id", "n", F.posexplode(F.arrays_zip("w", "u")).alias("j", "e")).select(
+        "part_id", "n", "j", r("e.w", 3).alias("w"), r(F.col("e.u") * rho, 3).alias("pull")
     )
 
 
@@ -380,12 +401,3 @@ def consensus_predictions(spark, sf_dir):
 def consensus_trace(spark, sf_dir):
     """Residuals, tolerance and penalty of every iteration."""
     return _fit(spark, sf_dir).trace
-
-
-@query()
-def consensus_state(spark, sf_dir):
-    """Final block states, blocks solved across tasks."""
-    model = _fit(spark, sf_dir, max_iter=3, placement="across")
-    return model.state.select("part_id", "n", F.posexplode(F.arrays_zip("w", "u")).alias("j", "e")).select(
-        "part_id", "n", "j", "e.w", "e.u"
-    )

@@ -44,7 +44,7 @@ def pairs(spark, sf_dir):
 
 
 def test_equal_blocks_solve_ridge(pairs):
-    even = pairs
+    even = pairs.withColumn("part_id", (F.col("id") % 8).cast("int"))
     model = ConsensusLogisticRegression(**TIGHT).fit(even)
     expected = ridge(even, 2 * 0.5 / 8).coefficients.toArray()
     assert model.converged
@@ -113,7 +113,7 @@ def test_empty_blocks_do_not_count(rows):
 
 def test_block_ids_beyond_the_block_count(rows, short_fit):
     """Given block ids need not be 0..n_blocks-1."""
-    far = rows.withColumn("part_id", (F.col("id") % 8 * 1000 + 7).cast("int"))
+    far = B.assign_blocks(rows, 8, "id").withColumn("part_id", F.col("part_id") * 1000 + 7)
     model = ConsensusLogisticRegression(max_iter=2).fit(far)
     assert np.abs(model.weights - short_fit.weights).max() < 1e-9
 
