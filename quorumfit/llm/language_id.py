@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quorumfit.llm.tables import written
 
 ORDER = 4
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 UNKNOWN = "und"
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text whose words form one pack.
-PACK = 32_000_000
+PACK = 16_000_000
 #: Groups by hash in which the distinct units of all packs meet.
 BUCKETS = 4096
 #: Longest unit; see :func:`encode`.

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 
 
 @dataclass
