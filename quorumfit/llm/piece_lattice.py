@@ -85,29 +85,23 @@ def _units(pieces: Pieces):
     """Function that cuts escaped text where no piece can reach across, and the characters
     that stand alone, such as line ends.
 
-    Cuts are before spaces, around those characters, before signs that no piece has after a
-    letter or digit, and, in what is still longer than 32 characters, between characters that
-    no piece has side by side.
+    Cuts are before spaces, around those characters, and between characters that no piece has
+    side by side.
     """
     alphabet = {c for i in pieces.normal for c in pieces.names[i]}
     pairs = {n[k : k + 2] for n in (pieces.names[i] for i in pieces.normal) for k in range(len(n) - 1)}
     alone = "".join(c for c in "\n\t\r\x00\x0b\x0c" if c not in alphabet)
-    joined = {p[1] for p in pairs if p[0].isalnum()}
-    signs = "".join(sorted(c for c in alphabet if not c.isalnum() and c not in joined and c != SPACE))
     part = re.compile(f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]")
-    sign = re.compile(f"(?<=[^\\W_])(?=[{re.escape(signs)}])") if signs else re.compile(r"\Z\A.")
 
     def cut(text: str) -> list[str]:
         out = []
-        for found in part.findall(text):
-            for unit in sign.split(found):
-                start = 0
-                if len(unit) > 32:
-                    for k in range(1, len(unit)):
-                        if unit[k - 1 : k + 1] not in pairs or k - start >= LONGEST:
-                            out.append(unit[start:k])
-                            start = k
-                out.append(unit[start:])
+        for unit in part.findall(text):
+            start = 0
+            for k in range(1, len(unit)):
+                if unit[k - 1 : k + 1] not in pairs or k - start >= LONGEST:
+                    out.append(unit[start:k])
+                    start = k
+            out.append(unit[start:])
         return out
 
     return cut, frozenset(alone)
