@@ -55,9 +55,18 @@ FURNITURE_WORDS = frozenset(
     "disqus discussion related recommended share sharing social widget pagination copyright "
     "complementary contentinfo dialog".split()
 )
+#: Those of them that may hold more text than a short article.
+LONG_WORDS = frozenset(
+    "nav navbar navigation menu comment comments reply replies disqus discussion related recommended".split()
+)
 MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("article post entry story main content".split())
 
+#: Elements that pages of one template have or lack.
+CONTENT = frozenset(
+    "p h1 h2 h3 h4 h5 h6 hr ul ol dl table blockquote pre figure address details picture video audio".split()
+)
+
 LONGEST_GROUP = 12
 #: Elements nested deeper leave no tags in the stream.
 DEEPEST = 100
@@ -229,35 +238,93 @@ def places(nested: list, path: tuple = ()) -> Iterator[tuple]:
             yield from places(item[1], (*path, item[0]))
 
 
-def furniture(path: tuple) -> bool:
-    """Whether a slot lies in a region that is no main text."""
+def _names_furniture(name: str) -> bool:
+    tag, *words = name.split(".")
+    return tag in FURNITURE or bool(FURNITURE_WORDS.intersection(words))
+
+
+def holders(found: list[tuple[tuple, str]]) -> frozenset[tuple]:
+    """Paths of elements that hold the page's article or most of its text.
+
+    Words of class, id or role say nothing about them ("has-sidebar", "no-comments"), and a
+    form around the page is no form. Menus and comments may hold most of a page, so what is
+    named like them must be named as content, too, or hold nine tenths. Text in furniture
+    elements does not count.
+    """
+    sizes: dict[tuple, int] = {}
+    whole, out = 0, set()
+    for path, text in found:
+        tags = [name.split(".", 1)[0] for name in path[:-1]]
+        if any(t in FURNITURE and t != "form" for t in tags):
+            continue
+        whole += len(text)
+        for k in range(1, len(path)):
+            sizes[path[:k]] = sizes.get(path[:k], 0) + len(text)
+        for k, tag in enumerate(tags):
+            if tag in MAIN and not _names_furniture(path[k]):
+                out.update(path[:n] for n in range(1, k + 1))
+    for path, size in sizes.items():
+        words = set(path[-1].split("."))
+        named = not words & LONG_WORDS or words & (MAIN_WORDS - {"main"})
+        if 10 * size > 9 * whole or (named and 2 * size > whole):
+            out.add(path)
+    return frozenset(out)
+
+
+def furniture(path: tuple, held: frozenset[tuple] = frozenset(), words: bool = True) -> bool:
+    """Whether a slot lies in a region that is no main text.
+
+    Words of ``html``, ``body`` and of the elements ``held`` do not count; with ``words``
+    false, no words do.
+    """
     inside = False
-    for name in path[:-1]:
-        tag, *words = name.split(".")
-        if tag in FURNITURE or FURNITURE_WORDS.intersection(words):
-            if not (tag in MAIN and not FURNITURE_WORDS.intersection(words)):
-                return True
+    for k, name in enumerate(path[:-1]):
+        tag = name.split(".", 1)[0]
+        plain = not words or tag in ("html", "body") or path[: k + 1] in held
+        if (tag in FURNITURE and not (plain and tag == "form")) if plain else _names_furniture(name):
+            return True
         if tag == "header" and not inside:
             return True
         inside |= tag in MAIN
     return False
 
 
-def main_slots(wrapper: list, facts: dict[tuple, list]) -> list[tuple]:
-    """Slots of the main text of a host.
+def rank(slot: tuple) -> int:
+    """0 for slots inside ``article`` or ``main``, 1 inside what is named as content, else 2."""
+    names = [p.split(".") for p in slot]
+    if any(n[0] in MAIN for n in names):
+        return 0
+    return 1 if any(MAIN_WORDS.intersection(n[1:]) for n in names if n[0] not in ("html", "body")) else 2
 
-    Regions that furniture names are out. If slots inside ``article`` or ``main`` remain, it
-    is those. Else it is those inside an element named as content, or all, without slots whose
-    text is the same on every page (three pages or more), unless nothing else is left.
+
+def main_parts(nested: list, texts: list[str]) -> list[tuple[tuple, str]]:
+    """(slot, text) of the best ranked slots that a page has outside furniture, in page order.
+
+    Where the words of furniture leave nothing, elements alone decide.
     """
-    open_slots = [s for s in dict.fromkeys(slots(wrapper)) if not furniture(s)]
-    by_tag = [s for s in open_slots if any(p.split(".")[0] in MAIN for p in s)]
-    by_word = [s for s in open_slots if any(MAIN_WORDS.intersection(p.split(".")[1:]) for p in s)]
-    if by_tag:
-        return by_tag
-    chosen = by_word or open_slots
-    own = [s for s in chosen if not (facts.get(s, [0, ""])[0] >= 3 and facts[s][1])]
-    return own or chosen
+    found = list(zip(places(nested), texts))
+    held = holders(found)
+    clear = [f for f in found if not furniture(f[0], held)]
+    if not clear:
+        clear = [f for f in found if not furniture(f[0], held, words=False)]
+    ranks = [rank(slot) for slot, _ in clear]
+    return [f for f, r in zip(clear, ranks) if r == min(ranks)]
+
+
+def template(nested: list) -> str:
+    """Name of the page's template: body and the elements in it that are no furniture or text."""
+    items, path = nested, []
+    while True:
+        below = [i for i in items if i != "#" and i[0].split(".", 1)[0] in ("html", "body")]
+        if not below:
+            break
+        path.append(below[0][0])
+        items = [i for item in below for i in item[1]]
+    names = {
+        i[0] for i in items
+        if i != "#" and i[0].split(".", 1)[0] not in CONTENT and not _names_furniture(i[0])
+    }
+    return hashlib.md5("\n".join([*path, "", *sorted(names)]).encode()).hexdigest()
 
 
 def host_of(url: Column) -> Column:
@@ -268,124 +335,191 @@ def host_of(url: Column) -> Column:
     )
 
 
-def _merge_facts(a: dict, b: dict) -> dict:
-    """Facts by slot: pages that have it, and the digest of its text if it is always the same."""
-    out = dict(a)
-    for slot, (n, same) in b.items():
-        if slot in out:
-            out[slot] = [out[slot][0] + n, same if out[slot][1] == same else ""]
-        else:
-            out[slot] = [n, same]
-    return out
-
-
-def _dump(wrapper: list, facts: dict) -> str:
-    return json.dumps([wrapper, [[list(k), *v] for k, v in sorted(facts.items())]])
-
-
-def _load(text: str) -> tuple[list, dict]:
-    wrapper, facts = json.loads(text)
-    return wrapper, {tuple(k): [n, same] for k, n, same in facts}
-
-
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper a host for every task: pages with equal expressions align once."""
-    known: dict[str, list] = {}
+    """One wrapper a host and template for every task: pages with equal expressions align once."""
+    known: dict[tuple, list] = {}
     for batch in (part for whole in batches for part in slices(whole, "html")):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            tokens, texts = stream(page or "")
-            nested = tree(tokens)
-            seen: dict[tuple, list] = {}
-            for slot, text in zip(places(nested), texts):
-                seen.setdefault(slot, []).append(text)
-            facts = {
-                s: [1, hashlib.md5("\n".join(t).encode()).hexdigest()] for s, t in seen.items()
-            }
-            if host in known:
-                known[host][0] = align(known[host][0], expression(nested))
-                known[host][1] = _merge_facts(known[host][1], facts)
-            else:
-                known[host] = [expression(nested), facts]
+            nested = tree(stream(page or "")[0])
+            key = (host, template(nested))
+            found = expression(nested)
+            known[key] = align(known[key], found) if key in known else found
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(known), pa.string()), pa.array([_dump(*v) for v in known.values()], pa.string())],
-        ["host", "wrapper"],
+        [
+            pa.array([h for h, _ in known], pa.string()), pa.array([t for _, t in known], pa.string()),
+            pa.array([json.dumps(w) for w in known.values()], pa.string()),
+        ],
+        ["host", "template", "wrapper"],
     )
 
 
 def _join_wrappers(frame: pd.DataFrame) -> pd.DataFrame:
-    loaded = [_load(w) for w in sorted(frame["wrapper"])]
-    wrapper = reduce(align, (w for w, _ in loaded))
-    facts = reduce(_merge_facts, (f for _, f in loaded))
+    wrapper = reduce(align, (json.loads(w) for w in sorted(frame["wrapper"])))
+    first = frame.iloc[0]
     return pd.DataFrame({
-        "host": [frame["host"].iloc[0]], "part": [int(frame["part"].iloc[0])],
-        "wrapper": [_dump(wrapper, facts)],
+        "host": [first["host"]], "template": [first["template"]], "part": [int(first["part"])],
+        "wrapper": [json.dumps(wrapper)],
     })
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper of every host of ``pages`` (host, html).
+    """host, template, wrapper of every template of every host of ``pages`` (host, html).
 
-    Tasks align the pages they hold, host by host; the wrappers of a host meet in two rounds
-    (1,024 parts, then one), so a host of any size is never one task's work.
+    Tasks align the pages they hold, template by template; the wrappers of a template meet in
+    two rounds (1,024 parts, then one), so a host of any size is never one task's work.
     """
-    parts = pages.select("host", "html").mapInArrow(_infer, "host string, wrapper string")
+    parts = pages.select("host", "html").mapInArrow(_infer, "host string, template string, wrapper string")
     spread = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(1024)).cast("int"))
-    shape = "host string, part int, wrapper string"
-    first = spread.groupBy("host", "part").applyInPandas(_join_wrappers, shape)
-    return first.groupBy("host").applyInPandas(_join_wrappers, shape).select("host", "wrapper")
+    shape = "host string, template string, part int, wrapper string"
+    first = spread.groupBy("host", "template", "part").applyInPandas(_join_wrappers, shape)
+    return first.groupBy("host", "template").applyInPandas(_join_wrappers, shape).drop("part")
+
+
+PART = "array<struct<slot:string,text:string>>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, "html")):
-        rows = []
+        rows, templates = [], []
         for page in batch.column("html").to_pylist():
             tokens, texts = stream(page or "")
-            found = list(zip(map(" ".join, places(tree(tokens))), texts))
+            nested = tree(tokens)
+            templates.append(template(nested))
             rows.append([
                 {"slot": slot, "text": " ".join(t for _, t in run)}
-                for slot, run in groupby(found, key=lambda f: f[0])
-                if not furniture(tuple(slot.split(" ")))
+                for slot, run in groupby(
+                    ((" ".join(s), t) for s, t in main_parts(nested, texts)), key=lambda f: f[0]
+                )
             ])
         kind = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(rows, kind)],
-            ["page_id", "url", "host", "parts"],
+            [
+                batch.column("page_id"), batch.column("url"), batch.column("host"),
+                pa.array(templates, pa.string()), pa.array(rows, kind),
+            ],
+            ["page_id", "url", "host", "template", "parts"],
+        )
+
+
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each slot, as digests and sizes, of pages without an ``article`` or ``main`` slot."""
+    kind = pa.list_(pa.struct([
+        ("rank", pa.int32()), ("slot", pa.string()), ("whole", pa.string()), ("digest", pa.string()),
+        ("chars", pa.int64()),
+    ]))
+    for batch in (part for whole in batches for part in slices(whole, "html")):
+        hosts, templates, bodies, rows = [], [], [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            tokens, texts = stream(page or "")
+            nested = tree(tokens)
+            seen: dict[tuple, list] = {}
+            for slot, text in main_parts(nested, texts):
+                seen.setdefault(slot, []).append(text)
+            if not seen or rank(next(iter(seen))) == 0:
+                continue
+            whole = {s: _digest("\n".join(t)) for s, t in seen.items()}
+            facts = [
+                {
+                    "rank": rank(s), "slot": " ".join(s), "whole": whole[s], "digest": _digest(t),
+                    "chars": len(t),
+                }
+                for s, ts in seen.items() for t in dict.fromkeys(ts)
+            ]
+            hosts.append(host)
+            templates.append(template(nested))
+            bodies.append(_digest("".join(" ".join(s) + d for s, d in whole.items())))
+            rows.append(facts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(templates, pa.string()), pa.array(bodies, pa.string()),
+             pa.array(rows, kind)],
+            ["host", "template", "body", "facts"],
         )
 
 
+def constant_slots(pages: DataFrame) -> DataFrame:
+    """host, template, constant: the slots that hold boilerplate.
+
+    Such a slot is on three different pages of a template or more, always with the same text.
+    """
+    kind = "array<struct<rank:int,slot:string,whole:string,digest:string,chars:bigint>>"
+    facts = pages.select("host", "html").mapInArrow(
+        _facts, f"host string, template string, body string, facts {kind}"
+    )
+    key = ["host", "template", "rank"]
+    bodies = facts.groupBy("host", "template", "body").agg(F.first("facts").alias("facts"))
+    texts = bodies.select("host", "template", F.explode("facts").alias("f")).select(
+        "host", "template", "f.*"
+    )
+    sizes = bodies.withColumn("rank", F.col("facts")[0]["rank"]).groupBy(*key).agg(F.count("*").alias("pages"))
+    slots_of = (
+        texts.groupBy(*key, "slot", "digest").agg(
+            F.count("*").alias("n"), F.first("chars").alias("chars"),
+            F.min("whole").alias("low"), F.max("whole").alias("high"),
+        )
+        .groupBy(*key, "slot").agg(
+            F.max("n").alias("n"), F.sum("chars").alias("chars"),
+            (F.min("low") == F.max("high")).alias("one"),
+        )
+    )
+    marked = slots_of.join(sizes, key).withColumn(
+        "same", F.col("one") & (F.col("n") >= 3)
+    )
+    return (
+        marked.groupBy(*key, "pages").agg(
+            F.collect_list(F.when(F.col("same"), F.col("slot"))).alias("constant"),
+        )
+        .where(F.size("constant") > 0)
+        .groupBy("host", "template").agg(F.flatten(F.collect_list("constant")).alias("constant"))
+    )
+
+
 def _mains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [main_slots(*_load(w)) for w in batch.column("wrapper").to_pylist()]
+        found = [
+            list(dict.fromkeys(" ".join(s) for s in slots(json.loads(w))))
+            for w in batch.column("wrapper").to_pylist()
+        ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array([[" ".join(s) for s in f] for f in found], pa.list_(pa.string()))],
-            ["host", "mains"],
+            [batch.column("host"), batch.column("template"), pa.array(found, pa.list_(pa.string()))],
+            ["host", "template", "mains"],
         )
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
-    The pages of a host are aligned into its wrapper: a regular expression of elements
-    without alternatives, in which what some pages lack is optional, what repeats is a
-    repeated group, and texts are slots. The wrapper says which slots hold main text; a page
-    gives the texts of those slots in page order, joined by a space. Only texts outside
-    named furniture move, and hot hosts are split into salted parts.
+    The pages of a host that share a template are aligned into its wrapper: a regular
+    expression of elements without alternatives, in which what some pages lack is optional,
+    what repeats is a repeated group, and texts are slots. Each page gives the texts of its
+    best slots outside furniture (inside ``article`` or ``main``, else inside elements named
+    as content, else all) in page order, joined by a space; without ``article`` and ``main``
+    the wrapper's slots of boilerplate are left out, unless the page has nothing else. Only
+    these texts move, and hot hosts are split into salted parts.
 
     Null html is an empty page and has the empty text; pages without a host are one host;
     repeated rows stay rows; other columns are ignored. Unclosed and cut-off markup is read
     as browsers do where that is simple (implied ends), else dropped.
     """
     plain = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    key = ["host", "template"]
+    wrappers = infer_wrappers(plain).mapInArrow(_mains, "host string, template string, mains array<string>")
     mains = written(
-        infer_wrappers(plain).mapInArrow(_mains, "host string, mains array<string>"), "wrappers"
+        wrappers.join(constant_slots(plain), key, "left").select(
+            *key, F.array_except("mains", F.coalesce("constant", F.array().cast("array<string>"))).alias("mains")
+        ),
+        "wrappers",
     )
     kind = dict(plain.dtypes)["page_id"]
     parts = plain.mapInArrow(
-        _parts,
-        f"page_id {kind}, url string, host string, parts array<struct<slot:string,text:string>>",
+        _parts, f"page_id {kind}, url string, host string, template string, parts {PART}",
     )
-    joined = attach_groups(parts, mains, ["host"], F.hash("page_id", "url"))
-    wanted = F.filter("parts", lambda p: F.array_contains("mains", p["slot"]))
+    joined = attach_groups(parts, mains, key, F.hash("page_id", "url"))
+    own = F.filter("parts", lambda p: F.array_contains("mains", p["slot"]))
+    wanted = F.when(F.size(own) > 0, own).otherwise(F.col("parts"))
     text = F.array_join(F.transform(wanted, lambda p: p["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("long")

@@ -211,3 +211,33 @@ def test_wrappers_have_options_and_repeats():
 def test_empty_pages_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract_main_text(none).count() == 0
+
+
+def _main_texts(spark, pages):
+    rows = [(k, url, page) for k, (url, page) in enumerate(pages)]
+    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r.text for r in got.orderBy("page_id").collect()]
+
+
+def test_templates_of_one_host(spark):
+    """A page's main text does not hang on what other pages of its host have."""
+    bodies = [
+        "<article><p>new design one</p></article>", "<article><p>new design two</p></article>",
+        "<div class='post'><p>older design three</p></div>", "<table><tr><td>oldest design four</table>",
+    ]
+    for url in ("http://a.example/x", None):
+        got = _main_texts(spark, [(url, f"<html><body>{b}</body></html>") for b in bodies])
+        assert got == ["new design one", "new design two", "older design three", "oldest design four"]
+
+
+def test_words_of_what_holds_the_page_name_no_furniture(spark):
+    long = "all of the words of a long story " * 5
+    menu = "<ul class='main-menu'><li>Home<li>About us<li>Contact</ul>"
+    for page in (
+        f"<body class='has-sidebar'>{menu}<div><p>{long}</p></div></body>",
+        f"<body>{menu}<div class='post no-comments'><p>{long}</p></div></body>",
+        f"<body>{menu}<div class='with-sidebar'><article>{long}</article></div></body>",
+        f"<body>{menu}<form><div><p>{long}</p></div></form></body>",
+        f"<body><div class='post'><p>{long}</p></div><div class='comments'><p>{'yes ' * 90}</p></div></body>",
+    ):
+        assert _main_texts(spark, [("http://a.example/", page)]) == [long.strip()]
