@@ -443,7 +443,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def constant_slots(pages: DataFrame) -> DataFrame:
     """host, template, constant: the slots that hold boilerplate.
 
-    Such a slot is on three different pages of a template or more, always with the same text.
+    Copies of a page count once. Such a slot is on nine tenths of a template's different pages
+    and on three or more, always with the same text, and what differs on these pages, each
+    text counted once, is at least as long as what is the same. So neither a part that only
+    copies of one page have, nor the body of copies with another date is boilerplate.
     """
     kind = "array<struct<rank:int,slot:string,whole:string,digest:string,chars:bigint>>"
     facts = pages.select("host", "html").mapInArrow(
@@ -466,13 +469,15 @@ def constant_slots(pages: DataFrame) -> DataFrame:
         )
     )
     marked = slots_of.join(sizes, key).withColumn(
-        "same", F.col("one") & (F.col("n") >= 3)
+        "same", F.col("one") & (F.col("n") >= 3) & (10 * F.col("n") >= 9 * F.col("pages"))
     )
     return (
         marked.groupBy(*key, "pages").agg(
+            F.sum(F.when(~F.col("same"), F.col("chars")).otherwise(0)).alias("differs"),
+            F.sum(F.when(F.col("same"), F.col("chars")).otherwise(0)).alias("stays"),
             F.collect_list(F.when(F.col("same"), F.col("slot"))).alias("constant"),
         )
-        .where(F.size("constant") > 0)
+        .where((F.size("constant") > 0) & (F.col("differs") >= F.col("stays") * F.col("pages")))
         .groupBy("host", "template").agg(F.flatten(F.collect_list("constant")).alias("constant"))
     )
 

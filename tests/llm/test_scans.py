@@ -241,3 +241,15 @@ def test_words_of_what_holds_the_page_name_no_furniture(spark):
         f"<body><div class='post'><p>{long}</p></div><div class='comments'><p>{'yes ' * 90}</p></div></body>",
     ):
         assert _main_texts(spark, [("http://a.example/", page)]) == [long.strip()]
+
+
+def test_copies_keep_their_article(spark):
+    """Text is boilerplate where different pages share it, not where copies of one page do."""
+    line, body = "<p>Always the same line.</p>", "<h2>The title</h2>" + "<p>a long story of the one</p>" * 9
+    pages = [("http://a.example/", f"{line}<div>{k} is the text of its page, and of no other, {k}</div>") for k in range(20)]
+    pages += [("http://a.example/", f"{line}<div>a copy</div><blockquote>only copies quote this</blockquote>")] * 5
+    pages += [("http://b.example/", f"<p>day {k}</p>{body}") for k in range(6)]
+    got = _main_texts(spark, pages)
+    assert got[:20] == [f"{k} is the text of its page, and of no other, {k}" for k in range(20)]
+    assert got[20:25] == ["a copy only copies quote this"] * 5
+    assert all(t.startswith(f"day {k} The title a long story") for k, t in enumerate(got[25:]))
