@@ -41,6 +41,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of "
         "the GNU General Public License as published by the Free Software Foundation, either version "
         "3 of the License, or (at your option) any later version. This program is distributed in the "
@@ -73,17 +74,192 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU General Public License as published by the Free Software Foundation, either version "
+        "2 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+        "more details. You should have received a copy of the GNU General Public License along with "
+        "this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL-2.0": (
+        "This work is licensed under the GNU Library General Public License, version 2.",
+        "Licensed under the GNU Library General Public License, version 2.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Library General Public License as published by the Free Software Foundation, either version "
+        "2 of the License, or (at your option) any later version. This library is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Library General Public License for "
+        "more details. You should have received a copy of the GNU Library General Public License along with "
+        "this library. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either version "
+        "2.1 of the License, or (at your option) any later version. This library is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for "
+        "more details. You should have received a copy of the GNU Lesser General Public License along with "
+        "this library. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either version "
+        "3 of the License, or (at your option) any later version. This library is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for "
+        "more details. You should have received a copy of the GNU Lesser General Public License along with "
+        "this library. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either version "
+        "3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for "
+        "more details. You should have received a copy of the GNU Affero General Public License along with "
+        "this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution.",
+    ),
+    "BSD-4-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution. All advertising materials mentioning features or use of this "
+        "software must display the following acknowledgement: This product includes software developed "
+        "by the copyright holder. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission.",
+    ),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "This work is licensed under a Creative Commons CC0 1.0 Universal License.",
+        "To the extent possible under law, the author has waived all copyright and related or "
+        "neighboring rights to this work.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+        "neighboring rights to this software to the public domain worldwide. This software is "
+        "distributed without any warranty.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 }
+#: Words that tell sister licenses apart: those of a template must match, and the words of a
+#: notice may not have more of them. Versions must match, too.
+VARIANTS = (
+    ("CC-", frozenset(
+        "by by-sa by-nc by-nd by-nc-sa by-nc-nd cc0 attribution attribution-sharealike "
+        "attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike "
+        "attribution-noncommercial-noderivatives sharealike noncommercial noderivatives noderivs "
+        "share-alike non-commercial no-derivatives".split()
+    )),
+    ("GPL", frozenset("lesser library affero".split())),
+    ("BSD", frozenset("advertising endorse".split())),
+)
+#: Names of licenses, which must match as well.
+NAMES = frozenset("apache gnu mit mozilla creative commons cc".split())
+#: Longest way, in words, from the end of a notice to a word that makes it a sister's.
+AFTER = 60
 # End of fixed values.
 
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
+
+
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].lower(), *m.span()) for m in WORD.finditer(text)]
+    """Words of a text in lower case, versions without "v" and final zeros, and their places."""
+    out = []
+    for m in WORD.finditer(text):
+        word = m[0].lower()
+        version = VERSION.fullmatch(word)
+        out.append((version[1] if version else word, *m.span()))
+    return out
+
+
+def _variants(name: str) -> frozenset[str]:
+    return next((words for part, words in VARIANTS if part in name), frozenset())
+
+
+def marked(name: str, words: list[str]) -> list[int]:
+    """Places of the words of a template that must match: first of each version, name and variant."""
+    family = _variants(name)
+    first: dict[str, int] = {}
+    for k, word in enumerate(words):
+        sister = word in family and ("GPL" not in name or words[k + 1 : k + 2] == ["general"])
+        if sister or word in NAMES or VERSION.fullmatch(word):
+            first.setdefault(word, k)
+    return sorted(first.values())
+
+
+def refused(name: str, wanted: list[str], must: list[int], words: list[str], pairs: list) -> bool:
+    """Whether an alignment misses a marked word, or the notice has a sister's word.
+
+    A marked word may be anywhere between the words matched around it.
+    """
+    at = {j: i for i, j in pairs}
+    for j in must:
+        if j not in at:
+            low = max((i for i, k in pairs if k < j), default=pairs[0][0])
+            high = min((i for i, k in pairs if k > j), default=pairs[-1][0])
+            if wanted[j] not in words[low + 1 : high]:
+                return True
+    family = _variants(name) - {wanted[j] for j in must}
+    last = pairs[-1][0] + 1
+    # A clause of a sister may follow; a new notice ends the search.
+    if name.startswith("BSD"):
+        for k in range(last, min(last + AFTER, len(words))):
+            if words[k] == "redistribution" or words[k : k + 2] == ["permission", "is"]:
+                break
+            last = k + 1
+    for k in range(pairs[0][0], last):
+        word = words[k]
+        if word in family and word not in ("by", "attribution"):
+            if "GPL" not in name or words[k + 1 : k + 2] == ["general"]:
+                return True
+    return False
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,17 +318,20 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _seeds(templates: list[tuple[str, list[str]]]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
+def _seeds(templates: list[tuple[str, list[str], list[int]]]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
     """Where each run of three words is in the templates."""
     out: dict = {}
-    for t, (_, words) in enumerate(templates):
+    for t, (_, words, _) in enumerate(templates):
         for k in range(len(words) - 2):
             out.setdefault(tuple(words[k : k + 3]), []).append((t, k))
     return out
 
 
 def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
-    """(license, start, end, coverage) of the notices of a text, in order and apart."""
+    """(license, start, end, coverage) of the notices of a text, in order and apart.
+
+    ``templates`` are (name, words, places of marked words).
+    """
     found = tokens(text)
     words = [w for w, _, _ in found]
     starts: dict[int, list[int]] = {}
@@ -161,7 +340,7 @@ def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
             starts.setdefault(t, []).append(i - k)
     hits = []
     for t, where in starts.items():
-        name, wanted = templates[t]
+        name, wanted, must = templates[t]
         slack = max(3, len(wanted) // 4)
         groups: list[list[int]] = []
         for at in sorted(where):
@@ -174,7 +353,8 @@ def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
             high = min(len(words), group[-1] + len(wanted) + slack)
             pairs = patience(words[low:high], wanted)
             share = len(pairs) / len(wanted)
-            if share >= coverage:
+            whole = [(low + i, j) for i, j in pairs]
+            if share >= coverage and not refused(name, wanted, must, words, whole):
                 first, last = low + pairs[0][0], low + pairs[-1][0]
                 hits.append((-len(pairs) * share, name, found[first][1], found[last][2], share))
     chosen: list[tuple] = []
@@ -190,13 +370,14 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.85,
 
     Three-word runs shared with a template say where a notice may be; there the words of
     the text are aligned with the template's, and a notice is found where at least
-    ``coverage`` of the template's words match. Overlapping finds leave the one with the
-    most matched words. ``licenses`` are the distinct names, sorted and comma-joined;
+    ``coverage`` of the template's words match, all versions and words that tell sister
+    licenses apart among them. Overlapping finds leave the one with the most matched words. ``licenses`` are the distinct names, sorted and comma-joined;
     ``spans`` are name:start:end in code points, end exclusive. Whole texts are read, in
     one pass without a shuffle. Null text has no words; repeated rows and null doc_ids stay
     rows; other columns are ignored.
     """
-    texts = [(n, [w for w, _, _ in tokens(t)]) for n, ts in (templates or TEMPLATES).items() for t in ts]
+    split = [(n, [w for w, _, _ in tokens(t)]) for n, ts in (templates or TEMPLATES).items() for t in ts]
+    texts = [(n, words, marked(n, words)) for n, words in split]
     seeds = _seeds(texts)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):

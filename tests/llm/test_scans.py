@@ -253,3 +253,32 @@ def test_copies_keep_their_article(spark):
     assert got[:20] == [f"{k} is the text of its page, and of no other, {k}" for k in range(20)]
     assert got[20:25] == ["a copy only copies quote this"] * 5
     assert all(t.startswith(f"day {k} The title a long story") for k, t in enumerate(got[25:]))
+
+
+def test_sister_licenses():
+    """A notice is never reported under the name of a sister license."""
+    split = [(n, [w for w, _, _ in licenses.tokens(t)]) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [(n, words, licenses.marked(n, words)) for n, words in split]
+    seeds = licenses._seeds(texts)
+
+    def names(text):
+        return [h[0] for h in licenses.find_in(f"a b c {text} d e f", texts, seeds, 0.85)]
+
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            assert names(notice) == [name], notice
+    assert names("Licensed under the Apache License, Version 3.0") == []
+    assert names("licensed under the GNU General Public License, version 2") == ["GPL-2.0"]
+    assert names("This work is licensed under the GNU General Public License v3.0") == ["GPL-3.0"]
+    assert names("This work is licensed under a Creative Commons Attribution 3.0 International License") == []
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License"
+    assert names(cc.format("Attribution-ShareAlike")) == ["CC-BY-SA-4.0"]
+    assert names(cc.format("Attribution NonCommercial")) == []
+    long = licenses.TEMPLATES["GPL-3.0"][2]
+    assert names(long.replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert names(long.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0"]
+    assert names(long.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0"]
+    assert names(long.replace("This program", "This library").replace("this program", "this library")) == ["GPL-3.0"]
+    three = licenses.TEMPLATES["BSD-3-Clause"][0]
+    assert names(three[: three.index("Neither")]) == ["BSD-2-Clause"]
+    assert names(three + " " + three[: three.index("Neither")]) == ["BSD-3-Clause", "BSD-2-Clause"]
