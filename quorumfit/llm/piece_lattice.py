@@ -24,7 +24,7 @@ SPACE = "▁"
 PACK = 16_000_000
 #: Groups by hash in which the distinct units of all packs meet.
 BUCKETS = 4096
-#: Longest unit; see :func:`encode`.
+#: Longest unit with a lattice of its own; see :func:`encode`.
 LONGEST = 256
 MOST_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
@@ -86,22 +86,55 @@ def _units(pieces: Pieces):
     that stand alone, such as line ends.
 
     Cuts are before spaces, around those characters, and between characters that no piece has
-    side by side.
+    side by side. What is still longer than ``LONGEST`` is cut where its best path has a piece's
+    end, so the best paths of the parts make up that of the whole.
     """
     alphabet = {c for i in pieces.normal for c in pieces.names[i]}
     pairs = {n[k : k + 2] for n in (pieces.names[i] for i in pieces.normal) for k in range(len(n) - 1)}
     alone = "".join(c for c in "\n\t\r\x00\x0b\x0c" if c not in alphabet)
+    scores, longest = {pieces.names[i]: pieces.scores[i] for i in pieces.normal}, pieces.longest
+    unknown = pieces.unknown_score
+
+    def apart(unit: str) -> Iterator[str]:
+        """Viterbi with back pointers; the rule for ties is that of :func:`best_path`."""
+        best, back = array("d", [0.0]), array("q", [0])
+        for end in range(1, len(unit) + 1):
+            top, origin = float("-inf"), end - 1
+            for start in range(max(0, end - longest), end):
+                score = scores.get(unit[start:end], unknown if end - start == 1 else None)
+                if score is not None and best[start] + score > top:
+                    top, origin = best[start] + score, start
+            best.append(top)
+            back.append(origin)
+        ends = [len(unit)]
+        while ends[-1]:
+            ends.append(back[ends[-1]])
+        start = held = 0
+        for end in reversed(ends):
+            if end - start > LONGEST and held > start:
+                yield unit[start:held]
+                start = held
+            held = end
+        yield unit[start:]
+
     part = re.compile(f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]")
 
     def cut(text: str) -> list[str]:
-        out = []
+        out: list[str] = []
+
+        def add(unit: str) -> None:
+            if len(unit) > LONGEST:
+                out.extend(apart(unit))
+            else:
+                out.append(unit)
+
         for unit in part.findall(text):
             start = 0
             for k in range(1, len(unit)):
-                if unit[k - 1 : k + 1] not in pairs or k - start >= LONGEST:
-                    out.append(unit[start:k])
+                if unit[k - 1 : k + 1] not in pairs:
+                    add(unit[start:k])
                     start = k
-            out.append(unit[start:])
+            add(unit[start:])
         return out
 
     return cut, frozenset(alone)
@@ -292,7 +325,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     packs as dictionaries. So texts move once, as compressed numbers.
 
     The piece scores are the model's, summed along a path. A unit of more than ``LONGEST``
-    characters with no such cut is cut there, and each part has its best path. Characters
+    characters with no such cut has its best path found first, by back pointers in the task that
+    reads it, and is cut at ends of that path's pieces, so its parts lose nothing. Characters
     without a piece become byte pieces, or the unknown piece when the model has no bytes.
 
     Null text is empty text and has no ids; repeated rows and null doc_ids stay rows; other

@@ -1,6 +1,8 @@
 """Encoding: best paths by brute force, exact round trips, and the library's own lattice."""
 
 import math
+import random
+from types import SimpleNamespace
 
 import sentencepiece
 from pyspark.sql import functions as F
@@ -81,3 +83,19 @@ def test_cuts_are_where_no_piece_reaches():
     units = cut(P.escaped(text))
     assert "".join(units) == P.SPACE + text.replace(" ", P.SPACE)
     assert "\n" in alone and "\n" in units and "▁tail" in units and "," in units
+
+
+def test_long_units_have_the_best_path_of_the_whole():
+    """Parts of a unit above LONGEST add up to the score of the unit without cuts."""
+    pieces = P.Pieces.load()
+    by_name = {pieces.names[i]: i for i in pieces.normal}
+    cut, _ = P._units(pieces)
+    fixed = SimpleNamespace(
+        longest=pieces.longest, scores=pieces.scores, unknown_score=pieces.unknown_score
+    )
+    rng = random.Random(7)
+    texts = ["the" * 400, "e" * 3001, "-" * 999] + ["".join(rng.choices("abcdeinorst", k=2000)) for _ in range(5)]
+    for text in texts:
+        parts = cut(text)
+        assert "".join(parts) == text and max(map(len, parts)) <= P.LONGEST
+        assert math.isclose(sum(_best(u, fixed, by_name) for u in parts), _best(text, fixed, by_name))
