@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumfit.llm import (
     exact_dedup, host_quality, html_text, language_id, licenses, mixing, near_dup, pii,
-    piece_lattice, secrets,
+    piece_lattice, secrets, sharding,
 )
 from quorumfit.llm.tables import table
 
@@ -153,3 +153,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.train(docs))
+
+
+@_query()
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))

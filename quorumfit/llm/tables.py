@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumfit.session import fresh_path
+from quorumfit.session import drop_path, fresh_path
 
 SALTS = 32
 
@@ -18,7 +18,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here and reruns read files."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def salted(df: DataFrame, by: Column, salts: int = SALTS) -> DataFrame:

@@ -21,4 +21,4 @@ def test_query(spark, sf_dir, name):
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
