@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumfit.llm import (
-    exact_dedup, host_quality, html_text, language_id, licenses, mixing, near_dup, pii,
-    piece_lattice, secrets, sharding,
+    centroids, exact_dedup, hard_negatives, host_quality, html_text, language_id, licenses,
+    mixing, near_dup, pii, piece_lattice, secrets, sharding,
 )
 from quorumfit.llm.tables import table
 
@@ -158,3 +158,74 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+gaps{t} AS (
+  SELECT p.vec_id, c.c, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS distance
+  FROM parts p JOIN c{t} c ON p.j = c.j GROUP BY p.vec_id, c.c),
+near{t} AS (
+  SELECT * FROM gaps{t} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)""")
+        if t < rounds:
+            steps.append(f"""
+sums{t} AS (
+  SELECT n.c, p.j, sum(p.x)::BIGINT AS s, count(*) AS n
+  FROM near{t} n JOIN parts p USING (vec_id) GROUP BY n.c, p.j),
+c{t + 1} AS (
+  SELECT o.c, o.j, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, o.x)::BIGINT AS x
+  FROM c{t} o LEFT JOIN sums{t} s ON o.c = s.c AND o.j = s.j)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dims}
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {dims}),
+parts AS (
+  SELECT vec_id, unnest(range({dims})) AS j,
+         CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+starts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c
+  FROM kept QUALIFY c < {k}),
+c0 AS (SELECT c, j, x FROM starts JOIN parts USING (vec_id)),
+{",".join(steps)},
+hashed AS (SELECT c, sha256(string_agg(x, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
+       sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256,
+       count(*) OVER (PARTITION BY c) AS cluster_rows
+FROM near{rounds} JOIN hashed USING (c)"""
+
+
+@_query(_cluster_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@_query("""
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
+  FROM embeddings
+  WHERE label IS NOT NULL
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+parts AS (
+  SELECT vec_id, label, unnest(range(len(embedding))) AS j,
+         CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         sum(a.x * b.x)::BIGINT AS score
+  FROM parts a JOIN parts b ON a.j = b.j AND a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
