@@ -14,12 +14,15 @@ from quorumfit.llm.integer_vectors import check_range, integers, matrix, product
 from quorumfit.llm.tables import dropped, written
 
 #: Vectors of one tree, of one leaf, and nodes below one node.
-CELL, LEAF, FAN = 4_096, 64, 16
+CELL, LEAF, FAN = 2_048, 64, 16
 #: Vectors, chosen by hash, whose coordinates place the outer tiles. Every vector is indexed.
 SAMPLE = 65_536
 #: Anchors that search a tree together.
 ANCHORS = 2_048
 
+#: Below every score.
+NEVER = -(1 << 62)
+
 _TREE = (
     "cell int, vec_id array<long>, label array<int>, q array<long>, leaves array<int>, "
     "low array<long>, high array<long>"
@@ -102,13 +105,17 @@ def packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 class Tree:
-    """A packed tree and its search."""
+    """A packed tree and its search by a block of anchors."""
 
     def __init__(self, vec_id: list, label: np.ndarray, q: np.ndarray, leaves: np.ndarray,
                  low: np.ndarray, high: np.ndarray):
         self.vec_id, self.label, self.q, self.low, self.high = vec_id, label, q, low, high
         self.known = np.array([v is not None for v in vec_id])
         self.number = np.array([0 if v is None else v for v in vec_id], np.int64)
+        # Place of a vector in the order by which ties go: by id, without one last.
+        self.by_tie = np.lexsort((self.number, ~self.known))
+        self.tie = np.empty(len(q), np.int64)
+        self.tie[self.by_tie] = np.arange(len(q))
         self.starts = np.cumsum([0, *leaves])
         self.layers = _layers(len(leaves))
         self.first = np.cumsum([0, *self.layers])
@@ -121,50 +128,59 @@ class Tree:
         most = product(up, self.high.T) + product(down, self.low.T)
         return least, most
 
-    def search(self, a, wanted, windows: list, least, most, first: int) -> list[list[tuple]]:
-        """For each window (low, high) the first ``first`` wanted vectors with a score inside,
-        as (-score, no id, id): best score first, ties by smaller vec_id, null ids last.
+    def search(self, anchors: np.ndarray, wanted, floor: np.ndarray, roof: np.ndarray, first: int):
+        """For each anchor and window [floor, roof] (arrays of anchors by windows) the ``first``
+        wanted vectors with a score inside: scores and vectors, best first, ties by smaller
+        vec_id, null ids last; vector -1 where there are fewer. ``wanted(rows, span)`` says
+        which vectors of a span count for the anchors ``rows``.
 
-        The queue holds nodes by their greatest possible score. A node is left out when for
-        every window its interval misses the window or lies strictly below its last place.
+        One queue serves the block and holds nodes by the greatest score that any anchor may
+        find there. A node is left out for an anchor when for every window its interval misses
+        the window or lies strictly below the last place, and altogether when for all.
         """
-        best: list[list[tuple]] = [[] for _ in windows]
+        least, most = self.bounds(anchors)
+        shape = (*floor.shape, first)
+        scores, ties = np.full(shape, NEVER, np.int64), np.full(shape, len(self.q), np.int64)
+        lowest = floor.copy()
 
-        def useful(low, high) -> bool:
-            for found, (floor, roof) in zip(best, windows):
-                lowest = -found[-1][0] if len(found) == first else floor
-                if (lowest is None or high >= lowest) and (roof is None or low <= roof):
-                    return True
-            return False
+        def useful(node: int, rows: np.ndarray) -> np.ndarray:
+            high, low = most[rows, node, None], least[rows, node, None]
+            return rows[((high >= lowest[rows]) & (low <= roof[rows])).any(axis=1)]
 
         root = int(self.first[-1]) - 1
-        queue = [(-int(most[root]), root, len(self.layers) - 1)]
+        queue = [(0, root, len(self.layers) - 1, np.arange(len(anchors)))]
         while queue:
-            bound, node, layer = heapq.heappop(queue)
-            if not useful(least[node], -bound):
+            _, node, layer, rows = heapq.heappop(queue)
+            rows = useful(node, rows)
+            if not len(rows):
                 continue
             place = node - int(self.first[layer])
             if layer:
                 below = int(self.first[layer - 1])
                 for child in range(place * FAN, min((place + 1) * FAN, self.layers[layer - 1])):
-                    at = below + child
-                    if useful(least[at], most[at]):
-                        heapq.heappush(queue, (-int(most[at]), at, layer - 1))
+                    there = useful(below + child, rows)
+                    if len(there):
+                        bound = -int(most[there, below + child].max())
+                        heapq.heappush(queue, (bound, below + child, layer - 1, there))
                 continue
             span = slice(int(self.starts[place]), int(self.starts[place + 1]))
-            scores, fits = product(self.q[span], a), wanted[span]
-            for k, (floor, roof) in enumerate(windows):
-                found = best[k]
-                lowest = -found[-1][0] if len(found) == first else floor
-                inside = fits if lowest is None else fits & (scores >= lowest)
-                inside = inside if roof is None else inside & (scores <= roof)
-                at = np.flatnonzero(inside)
-                if len(at):
-                    at += span.start
-                    more = zip((-scores[at - span.start]).tolist(), (~self.known[at]).tolist(),
-                               self.number[at].tolist())
-                    best[k] = sorted([*found, *more])[:first]
-        return best
+            found = product(anchors[rows], self.q[span].T)
+            fits = wanted(rows, span)
+            for k in range(floor.shape[1]):
+                inside = fits & (found >= lowest[rows, k, None]) & (found <= roof[rows, k, None])
+                some = np.flatnonzero(inside.any(axis=1))
+                if not len(some):
+                    continue
+                at = rows[some]
+                more = np.where(inside[some], found[some], NEVER)
+                tie = np.where(inside[some], self.tie[span], len(self.q))
+                more, tie = np.hstack([scores[at, k], more]), np.hstack([ties[at, k], tie])
+                order = np.lexsort((tie, -more), axis=1)[:, :first]
+                scores[at, k] = np.take_along_axis(more, order, axis=1)
+                ties[at, k] = np.take_along_axis(tie, order, axis=1)
+                full = scores[at, k, -1] > NEVER
+                lowest[at[full], k] = scores[at[full], k, -1]
+        return scores, np.append(self.by_tie, -1)[ties]
 
 
 def _pack_cell(dims: int):
@@ -209,31 +225,34 @@ def _search_cell(dims: int, first: int, percent: tuple[int, int] | None):
             left.column("vec_id")[0].as_py(), flat(left, "label"), flat(left, "q").reshape(-1, dims),
             flat(left, "leaves"), flat(left, "low").reshape(-1, dims), flat(left, "high").reshape(-1, dims),
         )
-        rows, ids, labels = (right.column(c)[0].as_py() for c in ("row", "vec_id", "label"))
-        q, scores = flat(right, "q").reshape(-1, dims), right.column("scores")[0].as_py()
-        ends = np.cumsum([0, *flat(right, "windows")])
-        least, most = tree.bounds(q)
-        out: tuple[list, ...] = ([], [], [], [])
-        for k, row in enumerate(rows):
-            if percent is None:
-                windows = [(None, None)]
-                wanted = (tree.label == labels[k]) & ~(tree.known & (tree.number == ids[k]))
-            else:
-                windows = [
-                    (-(-percent[0] * s // 100), percent[1] * s // 100) for s in scores[ends[k] : ends[k + 1]]
-                ]
-                wanted = tree.label != labels[k]
-            if not windows or not wanted.any():
-                continue
-            found = tree.search(q[k], wanted, windows, least[k], most[k], first)
-            for turn, hits in enumerate(found):
-                for minus, unknown, number in hits:
-                    for column, value in zip(out, (row, turn, None if unknown else number, -minus)):
-                        column.append(value)
-        return pa.table(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-            ["row", "turn", "vec_id", "score"],
-        )
+        anchors, ids, labels = flat(right, "q").reshape(-1, dims), flat(right, "vec_id"), flat(right, "label")
+
+        def positives(rows, span):
+            other = ~tree.known[span] | (tree.number[span] != ids[rows, None])
+            return (tree.label[span] == labels[rows, None]) & other
+
+        def negatives(rows, span):
+            return tree.label[span] != labels[rows, None]
+
+        if percent is None:
+            floor, roof = np.full((len(ids), 1), NEVER + 1), np.full((len(ids), 1), -NEVER)
+        else:
+            ends = np.cumsum([0, *flat(right, "windows")])
+            given = right.column("scores")[0].as_py()
+            # A window that is not there is empty.
+            floor, roof = np.full((len(ids), first), -NEVER), np.full((len(ids), first), NEVER)
+            for k in range(len(ids)):
+                for turn, score in enumerate(given[ends[k] : ends[k + 1]]):
+                    floor[k, turn] = -(-percent[0] * score // 100)
+                    roof[k, turn] = percent[1] * score // 100
+        scores, found = tree.search(anchors, positives if percent is None else negatives, floor, roof, first)
+        row, turn, place = np.nonzero(found >= 0)
+        vectors = found[row, turn, place]
+        return pa.table({
+            "row": flat(right, "row")[row], "turn": turn.astype(np.int32),
+            "vec_id": pa.array(tree.number[vectors], mask=~tree.known[vectors]),
+            "score": scores[row, turn, place],
+        })
     return run
 
 
@@ -294,7 +313,7 @@ def mine(vectors: DataFrame, every: int = 100, first: int = 5, low: int = 80, hi
     of it, both included. With ``relabel`` (d, m) rows whose vec_id is divisible by d first
     take the label (label + 1) % m.
 
-    All rows are packed into R-trees of about 4,096 vectors by sort-tile-recursive
+    All rows are packed into R-trees of about 2,048 vectors by sort-tile-recursive
     packing, written to the shared folder. Blocks of anchors search every tree, best node
     first: boxes bound the inner product by intervals per coordinate, and boxes that miss
     the windows or are strictly below the last place are pruned. The best of each tree are

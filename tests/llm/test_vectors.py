@@ -140,15 +140,16 @@ def test_search_prunes_far_boxes():
                 reads.append(key.stop - key.start)
             return np.asarray(super().__getitem__(key))
     tree.q = full.view(Counted)
+    floor, roof = np.array([[hard_negatives.NEVER + 1, 0]]), np.array([[-hard_negatives.NEVER, 1000]])
+    wanted = lambda rows, span: np.ones((len(rows), span.stop - span.start), bool)
     for k in range(50):
         a = x[k]
-        least, most = tree.bounds(a[None, :])
-        got = tree.search(a, np.ones(4000, bool), [(None, None), (0, 1000)], least[0], most[0], 5)
+        found, vectors = tree.search(a[None, :], wanted, floor, roof, 5)
         scores = x @ a
-        for (floor, roof), hits in zip([(None, None), (0, 1000)], got):
-            fit = [(-int(s), False, i) for i, s in enumerate(scores)
-                   if (floor is None or s >= floor) and (roof is None or s <= roof)]
-            assert hits == sorted(fit)[:5]
+        for w in (0, 1):
+            fit = [(-int(s), i) for i, s in enumerate(scores) if w == 0 or 0 <= s <= 1000]
+            got = [(-int(s), int(order[v])) for s, v in zip(found[0, w], vectors[0, w]) if v >= 0]
+            assert got == sorted(fit)[:5]
     assert sum(reads) < 0.6 * 50 * 4000
 
 
