@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -81,23 +79,55 @@ class Pieces:
         return [self.bytes[b] for b in data] if len(self.bytes) == 256 else [self.unknown]
 
 
-def _units(pieces: Pieces):
-    """Function that cuts escaped text where no piece can reach across, and the characters
-    that stand alone, such as line ends.
+class Cutter:
+    """Cuts escaped text where no piece can reach across: between characters that no piece
+    has side by side, so also before spaces and around characters such as line ends.
 
-    Cuts are before spaces, around those characters, and between characters that no piece has
-    side by side. What is still longer than ``LONGEST`` is cut where its best path has a piece's
-    end, so the best paths of the parts make up that of the whole.
+    What is still longer than ``LONGEST`` is cut where its best path has a piece's end, so the
+    best paths of the parts make up that of the whole.
     """
-    alphabet = {c for i in pieces.normal for c in pieces.names[i]}
-    pairs = {n[k : k + 2] for n in (pieces.names[i] for i in pieces.normal) for k in range(len(n) - 1)}
-    alone = "".join(c for c in "\n\t\r\x00\x0b\x0c" if c not in alphabet)
-    scores, longest = {pieces.names[i]: pieces.scores[i] for i in pieces.normal}, pieces.longest
-    unknown = pieces.unknown_score
-
-    def apart(unit: str) -> Iterator[str]:
-        """Viterbi with back pointers; the rule for ties is that of :func:`best_path`."""
+
+    def __init__(self, pieces: Pieces):
+        names = [pieces.names[i] for i in pieces.normal]
+        alphabet = {c for n in names for c in n}
+        #: Line ends and the like, when no piece has them, stand alone and need no lattice.
+        self.alone = frozenset(c for c in "\n\t\r\x00\x0b\x0c" if c not in alphabet)
+        pairs = {(ord(n[k]) << 21) | ord(n[k + 1]) for n in names for k in range(len(n) - 1)}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.scores = {pieces.names[i]: pieces.scores[i] for i in pieces.normal}
+        self.longest, self.unknown = pieces.longest, pieces.unknown_score
+
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Units of all words, one after another, and the number of units of each word."""
+        joined = "".join(words.to_pylist())
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = pc.utf8_length(words).to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        begins = np.ones(len(chars), bool)
+        if len(self.pairs):
+            code = (chars[:-1] << 21) | chars[1:]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            begins[1:] = self.pairs[at] != code
+        begins[starts[lengths > 0]] = True
+        firsts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(firsts, len(chars)))
+        for k in np.flatnonzero(sizes > LONGEST):
+            begins[firsts[k] + self._ends(joined[firsts[k] : firsts[k] + sizes[k]])] = True
+        firsts = np.flatnonzero(begins)
+        counts = np.add.reduceat(np.append(begins, False), starts) if len(starts) else np.zeros(0, int)
+        counts = np.where(lengths > 0, counts, 0)
+        width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        place = np.append(0, np.cumsum(width))
+        offsets = np.append(place[firsts], place[-1]).astype(np.int32)
+        data = pa.py_buffer(joined.encode())
+        units = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets), data)
+        return units, counts.astype(np.int64)
+
+    def _ends(self, unit: str) -> list[int]:
+        """Where to cut a long unit: Viterbi with back pointers; the rule for ties is that of
+        :func:`best_path`."""
         best, back = array("d", [0.0]), array("q", [0])
+        scores, longest, unknown = self.scores, self.longest, self.unknown
         for end in range(1, len(unit) + 1):
             top, origin = float("-inf"), end - 1
             for start in range(max(0, end - longest), end):
@@ -109,36 +139,14 @@ def _units(pieces: Pieces):
         ends = [len(unit)]
         while ends[-1]:
             ends.append(back[ends[-1]])
-        start = held = 0
+        out, start, held = [], 0, 0
         for end in reversed(ends):
             if end - start > LONGEST and held > start:
-                yield unit[start:held]
+                out.append(held)
                 start = held
             held = end
-        yield unit[start:]
-
-    part = re.compile(f"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]")
-
-    def cut(text: str) -> list[str]:
-        out: list[str] = []
-
-        def add(unit: str) -> None:
-            if len(unit) > LONGEST:
-                out.extend(apart(unit))
-            else:
-                out.append(unit)
-
-        for unit in part.findall(text):
-            start = 0
-            for k in range(1, len(unit)):
-                if unit[k - 1 : k + 1] not in pairs:
-                    add(unit[start:k])
-                    start = k
-            add(unit[start:])
         return out
 
-    return cut, frozenset(alone)
-
 
 def escaped(text: str) -> str:
     """Text as SentencePiece sees it: a space before, spaces as U+2581."""
@@ -163,53 +171,66 @@ def _pack(pieces: Pieces):
     then, compressed, the texts as ranks of units by frequency and the place of each rank
     among the units. Negative ranks stand for single characters outside all pieces.
     """
-    cut, alone = _units(pieces)
-
-    class Numbers(dict):
-        """Unit numbers of what lies between two spaces, found when it is first met."""
-
-        def __init__(self):
-            self.units: dict[str, int] = {}
-
-        def of(self, text: str) -> tuple[int, ...]:
-            units = self.units
-            return tuple(
-                -1 - ord(u) if u in alone else units.setdefault(u, len(units)) for u in cut(text)
-            )
-
-        def __missing__(self, word: str) -> tuple[int, ...]:
-            found = self[word] = self.of(SPACE + word)
-            return found
-
-    def flush(ids, hashes, lengths, codes, index) -> pa.RecordBatch:
-        codes = np.frombuffer(codes, np.int32)
-        n_units = len(index)
+    cutter = Cutter(pieces)
+
+    def unit_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Units of all texts as numbers of distinct units (characters that stand alone as
+        -1 - code point), the number of units of each text, and the distinct units."""
+        # Words of plainly spaced texts are cut once each; any other text is one word.
+        plain = (t[0] != " " and t[-1] != " " and "  " not in t if t else False for t in texts)
+        column = [t if p else t.replace(" ", SPACE) or None for t, p in zip(texts, plain)]
+        lists = pc.split_pattern(pa.array(column, pa.string()), " ")
+        encoded = lists.values.dictionary_encode()
+        words = encoded.indices.to_numpy()
+        units, counts = cutter.cut(pc.binary_join_element_wise(SPACE, encoded.dictionary, ""))
+        distinct = units.dictionary_encode()
+        codes = distinct.indices.to_numpy().astype(np.int32)
+        names = distinct.dictionary
+        kept = np.ones(len(names), bool)
+        alone = {at: c for c in cutter.alone if (at := pc.index(names, c).as_py()) >= 0}
+        kept[list(alone)] = False
+        number = np.cumsum(kept, dtype=np.int32) - 1
+        for at, char in alone.items():
+            number[at] = -1 - ord(char)
+        codes = number[codes]
+        ends = np.cumsum(counts)
+        size = counts[words]
+        to = np.cumsum(size)
+        take = np.repeat((ends - counts)[words] - (to - size), size) + np.arange(to[-1] if to.size else 0)
+        per_word = np.append(0, to)
+        lengths = np.diff(per_word[lists.offsets.to_numpy()])
+        return codes[take], lengths, names.filter(pa.array(kept))
+
+    def flush(ids, texts) -> pa.RecordBatch:
+        codes, lengths, units = unit_codes(texts)
+        n_units = len(units)
         often = np.bincount(codes[codes >= 0], minlength=n_units)
         by_rank = np.argsort(-often, kind="stable")
         rank = np.empty(n_units, np.int32)
         rank[by_rank] = np.arange(n_units, dtype=np.int32)
-        groups: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
-        for unit, code in index.items():
-            groups[xxhash.xxh32_intdigest(unit) % BUCKETS].append((unit, code))
-        place, words = np.empty(n_units, np.int64), []
-        at = 0
-        for group in groups:
-            group.sort()
-            words.append("\n".join(u for u, _ in group))
-            for _, code in group:
-                place[rank[code]] = at
-                at += 1
-        text = "\x00".join(words).encode()
+        bucket = np.fromiter(
+            (xxhash.xxh32_intdigest(u) % BUCKETS for u in units.to_pylist()), np.int32, n_units
+        )
+        order = pc.sort_indices(
+            pa.table({"bucket": bucket, "unit": units}),
+            sort_keys=[("bucket", "ascending"), ("unit", "ascending")],
+        ).to_numpy()
+        place = np.empty(n_units, np.int64)
+        place[rank[order]] = np.arange(n_units)
+        bounds = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
+        groups = pa.ListArray.from_arrays(pa.array(bounds), units.take(pa.array(order)))
+        text = "\x00".join(pc.binary_join(groups, "\n").to_pylist()).encode()
         special = np.unique(codes[codes < 0])
         shown = codes.copy()
         for k, code in enumerate(special):
             shown[codes == code] = k
         shown[codes >= 0] = rank[codes[codes >= 0]] + len(special)
         head = np.array([len(ids), len(codes), n_units, len(special)], np.int64)
+        hashes = [xxhash.xxh64_intdigest(t, seed=42) for t in texts]
         plain = b"".join([
             head.tobytes(), np.array([i is not None for i in ids], np.int64).tobytes(),
             np.array([i or 0 for i in ids], np.int64).tobytes(),
-            np.array(hashes, np.uint64).tobytes(), np.array(lengths, np.int64).tobytes(),
+            np.array(hashes, np.uint64).tobytes(), lengths.astype(np.int64).tobytes(),
             special.astype(np.int64).tobytes(), _planes(place), _planes(shown),
         ])
         packed = zstandard.ZstdCompressor(level=4).compress(plain)
@@ -220,24 +241,18 @@ def _pack(pieces: Pieces):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, lengths, codes, numbers, size = [], [], [], array("i"), Numbers(), 0
+        ids, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                before = len(codes)
-                if "  " in text or text[:1] == " " or text[-1:] in ("", " "):
-                    codes.extend(numbers.of(escaped(text)))
-                else:
-                    codes.extend(chain.from_iterable(map(numbers.__getitem__, text.split(" "))))
                 ids.append(doc_id)
-                hashes.append(xxhash.xxh64_intdigest(text, seed=42))
-                lengths.append(len(codes) - before)
+                texts.append(text)
                 size += len(text)
                 if size >= PACK:
-                    yield flush(ids, hashes, lengths, codes, numbers.units)
-                    ids, hashes, lengths, codes, numbers, size = [], [], [], array("i"), Numbers(), 0
+                    yield flush(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield flush(ids, hashes, lengths, codes, numbers.units)
+            yield flush(ids, texts)
 
     return run
 

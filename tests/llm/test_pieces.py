@@ -4,6 +4,7 @@ import math
 import random
 from types import SimpleNamespace
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
@@ -78,9 +79,11 @@ def test_many_small_packs_give_the_same(docs, monkeypatch):
 
 
 def test_cuts_are_where_no_piece_reaches():
-    cut, alone = P._units(P.Pieces.load())
+    cutter = P.Cutter(P.Pieces.load())
     text = "ab" * 40 + "\n" + "☃é" * 50 + " tail, end."
-    units = cut(P.escaped(text))
+    units, counts = cutter.cut(pa.array([P.escaped(text), "", "a"]))
+    units, alone = units.to_pylist(), cutter.alone
+    assert counts.tolist() == [len(units) - 1, 0, 1] and units.pop() == "a"
     assert "".join(units) == P.SPACE + text.replace(" ", P.SPACE)
     assert "\n" in alone and "\n" in units and "▁tail" in units and "," in units
 
@@ -89,13 +92,13 @@ def test_long_units_have_the_best_path_of_the_whole():
     """Parts of a unit above LONGEST add up to the score of the unit without cuts."""
     pieces = P.Pieces.load()
     by_name = {pieces.names[i]: i for i in pieces.normal}
-    cut, _ = P._units(pieces)
+    cutter = P.Cutter(pieces)
     fixed = SimpleNamespace(
         longest=pieces.longest, scores=pieces.scores, unknown_score=pieces.unknown_score
     )
     rng = random.Random(7)
     texts = ["the" * 400, "e" * 3001, "-" * 999] + ["".join(rng.choices("abcdeinorst", k=2000)) for _ in range(5)]
     for text in texts:
-        parts = cut(text)
+        parts = cutter.cut(pa.array([text]))[0].to_pylist()
         assert "".join(parts) == text and max(map(len, parts)) <= P.LONGEST
         assert math.isclose(sum(_best(u, fixed, by_name) for u in parts), _best(text, fixed, by_name))
