@@ -7,10 +7,13 @@ shuffle, so a block may span any number of chunks and tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,3 +258,68 @@ def salt_chunks(chunks: DataFrame, sizes: DataFrame, n_blocks: int, rows: int, t
         .drop("task", "salts")
         .repartition(tasks, "part_id", "salt")
     )
+
+
+@dataclass
+class NestedBlocks:
+    """The blocks of several block counts, from one packing and one exchange.
+
+    Rows are packed by fine blocks, as many as the least common multiple of the counts, so a
+    block of any count is a union of fine ones: hash mod 120 taken mod 8 is hash mod 8. The
+    packed chunks are exchanged once, a copy for each count, into partitions by (count,
+    block), and kept. The fits of a sweep then differ in the partitions they read.
+    """
+
+    chunks: DataFrame
+    located: DataFrame
+    counts: tuple[int, ...]
+
+    @classmethod
+    def prepare(
+        cls, df: DataFrame, counts: Iterable[int], key: str | None = None,
+        storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    ) -> NestedBlocks:
+        key = key or ("id" if "id" in df.columns else None)
+        if key is None:
+            raise ValueError("nested blocks need a key that names the rows")
+        counts = tuple(dict.fromkeys(counts))
+        if len(counts) * sum(counts) > SPREAD_LIMIT * 8:
+            raise ValueError("too many blocks for one exchange; sweep the counts one by one")
+        chunks = pack_chunks(assign_blocks(df, lcm(*counts), key)).persist(storage)
+        copies = F.array(*[
+            F.struct(F.lit(n).alias("count"), F.pmod("part_id", F.lit(n)).alias("block"), F.lit(first).alias("first"))
+            for n, first in zip(counts, cls._firsts(counts))
+        ])
+        placed = chunks.withColumn("copy", F.explode(copies)).select(
+            "copy.count", F.col("copy.block").alias("part_id"),
+            (F.col("copy.first") + F.col("copy.block")).alias("place"),
+            *[c for c in chunks.columns if c != "part_id"],
+        )
+        slots = spread_slots(placed.withColumnsRenamed({"part_id": "block", "place": "part_id"}), sum(counts))
+        located = (
+            slots.withColumnsRenamed({"part_id": "place", "block": "part_id"}).drop("place")
+            .repartition(sum(counts), "slot").sortWithinPartitions("slot").persist(storage)
+        )
+        return cls(chunks, located, counts)
+
+    @staticmethod
+    def _firsts(counts: tuple[int, ...]) -> list[int]:
+        return [sum(counts[:k]) for k in range(len(counts))]
+
+    def chunks_of(self, count: int) -> DataFrame:
+        """Chunks by the blocks of a count, where they were read."""
+        return self.chunks.withColumn("part_id", F.pmod("part_id", F.lit(count)))
+
+    def located_of(self, count: int) -> DataFrame:
+        """Chunks in the partitions of the blocks of a count; nothing moves."""
+        return self.located.where(F.col("count") == count).drop("count")
+
+    def slots_of(self, sizes: DataFrame, count: int) -> DataFrame:
+        """``sizes`` (part_id, ...) of a count with the slots of its blocks."""
+        first = self._firsts(self.counts)[self.counts.index(count)]
+        moved = sizes.withColumn("part_id", F.col("part_id") + first)
+        return spread_slots(moved, sum(self.counts)).withColumn("part_id", F.col("part_id") - first)
+
+    def release(self) -> None:
+        self.located.unpersist()
+        self.chunks.unpersist()

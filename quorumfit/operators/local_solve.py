@@ -6,9 +6,11 @@ solved on the executors by L-BFGS, warm-started from the block's previous w.
 
 Two placements give the same minimiser. ``solve_in_task`` takes blocks whose size was
 checked to fit one task: one co-grouped pass per consensus iteration.
-``solve_across_tasks`` takes blocks of any size: each loss/gradient evaluation is one
-distributed aggregation over the chunks, and the search state of every block is a
-table row, so no block is ever gathered in one place.
+``solve_across_tasks`` takes blocks of any size: a search step is one distributed
+aggregation over the chunks, and no block is ever gathered in one place. The line search
+works in score space: with s = X.w and r = X.d of a direction, the scores at any step t are
+s + t.r, so one pass over the data gives the losses of a whole ladder of steps, and the
+gradients of its first ones.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from quorumfit.session import drop_path, fresh_path
 
 FLUSH_BYTES = 64 << 20
 BROADCAST_BYTES = 64 << 20
+# Steps of a line search that one pass tries, each half of the one before, and how many of
+# them at most come with their gradient.
+LADDER, LADDER_GRADIENTS = 6, 3
 
 SOLVED = "part_id int, n bigint, w array<double>, u array<double>, slot int, evaluations int"
-PARTIAL = "part_id int, n bigint, loss double, grad array<double>"
+PARTIAL = "part_id int, n bigint, sums array<double>"
 SEARCH = (
     "part_id int, n bigint, slot int, z_minus_u array<double>, u array<double>, w array<double>, "
     "f double, g array<double>, d array<double>, t double, s_hist array<double>, y_hist array<double>, "
@@ -101,12 +106,31 @@ class Search:
     def trial(self) -> np.ndarray:
         return self.x if self.f is None else self.x + self.t * self.d
 
+    def accepts(self, f: float) -> bool:
+        # At rounding level the decrease test is decided by noise, so allow for it.
+        slope = self.g @ self.d
+        return not f > self.f + 1e-4 * self.t * slope + 1e-15 * abs(self.f)  # so for NaN
+
+    def observe_ladder(self, values: list[float], gradients: list[np.ndarray]) -> None:
+        """Report the objective at steps t, t/2, t/4, ... and the gradients of the first of
+        them. Stops at the first step that is accepted; when its gradient is not among the
+        given ones, or no step is accepted, the next ladder begins there."""
+        for k, value in enumerate(values):
+            if self.f is not None and not self.accepts(value):
+                self.evaluations += 1
+                self.t *= 0.5
+                self.done = self.t < 1e-10
+                if self.done:
+                    return
+                continue
+            if k < len(gradients):
+                self.observe(value, gradients[k])
+            return
+
     def observe(self, f: float, g: np.ndarray) -> None:
         self.evaluations += 1
         if self.f is not None:
-            slope = self.g @ self.d
-            # At rounding level the decrease test is decided by noise, so allow for it.
-            if f > self.f + 1e-4 * self.t * slope + 1e-15 * abs(self.f):
+            if not self.accepts(f):
                 self.t *= 0.5
                 self.done = self.t < 1e-10
                 return
@@ -167,6 +191,30 @@ class LocalProblem:
         k = self.weight(n)
         search.observe(k * loss + 0.5 * rho * (gap @ gap), k * grad + rho * gap)
 
+    def observe_ladder(self, search: Search, n: int, sums, target, rho: float) -> None:
+        """The same for the ``sums`` of :func:`ladder_sums`: losses of a ladder, then the
+        gradients of its first steps one after another."""
+        steps = LADDER if search.f is not None else 1
+        losses, gradients = sums[:LADDER], sums[LADDER:].reshape(-1, self.dim)
+        k = self.weight(n)
+        gaps = [
+            (search.x if search.f is None else search.x + search.t * 0.5**i * search.d) - target
+            for i in range(steps)
+        ]
+        search.observe_ladder(
+            [k * f + 0.5 * rho * (gap @ gap) for f, gap in zip(losses, gaps)],
+            [k * g + rho * gap for g, gap in zip(gradients, gaps)],
+        )
+
+    def searches_fit(self, n_blocks: int) -> bool:
+        """Whether the searches of all blocks fit a bounded message."""
+        return n_blocks * self.dim * 8 * (2 * self.memory + 6) <= BROADCAST_BYTES
+
+    def ladder_gradients(self, n_blocks: int) -> int:
+        """Gradients a ladder carries: several while all blocks' fit a bounded message."""
+        room = BROADCAST_BYTES // (8 * n_blocks * self.dim)
+        return int(min(max(room, 1), LADDER_GRADIENTS))
+
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -218,32 +266,34 @@ def solve_in_task(
     return located.groupBy("slot").cogroup(state.groupBy("slot")).applyInArrow(solve, SOLVED)
 
 
-def block_loss_gradient(
-    chunks: DataFrame, weights: DataFrame, problem: LocalProblem, n_blocks: int,
-    tasks: int = 1,
+def _chunk_sums(
+    chunks: DataFrame, points: DataFrame | dict, problem: LocalProblem, n_blocks: int,
+    evaluate: Callable, width: int, tasks: int,
 ) -> DataFrame:
-    """(part_id, n, loss, grad): summed loss and gradient of every block at its weights
-    ``(part_id, n, w)``.
-
-    Every task adds up its own chunks first. While blocks x dimension is below a bound the
-    weights are broadcast as arrays and looked up, so they are not copied into chunk rows;
-    beyond it the chunks must come from ``salt_chunks``, and the weights are copied once per
-    slice of their block and joined there, so the data side stays where it is. Chunks of
-    blocks without weights are left out. ``tasks`` is the number of tasks over the chunks.
+    """(part_id, n, sums): ``evaluate(rows, point)``, an array of ``width`` numbers, summed
+    over the chunks of every block that has a point.
+
+    Every task adds up its own chunks first. Points are ``(part_id, n, point)``. While blocks
+    x point is below a bound they are broadcast as arrays and looked up, so they are not
+    copied into chunk rows; beyond it the chunks must come from ``salt_chunks``, and the
+    points are copied once per slice of their block and joined there, so the data side stays
+    where it is. Chunks of blocks without a point are left out. ``tasks`` is the number of
+    tasks over the chunks.
     """
-    dim, intercept, loss = problem.dim, problem.intercept, problem.loss
+    dim, intercept = problem.dim, problem.intercept
     if "salt" in chunks.columns:
         slices = salt_count(F.col("n"), problem.total_rows, tasks)
-        copies = weights.select(
-            "part_id", "w", F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt")
+        copies = points.select(
+            "part_id", "point", F.explode(F.sequence(F.lit(0), slices - 1)).alias("salt")
         )
         joined, shared = chunks.join(copies, ["part_id", "salt"]).drop("salt"), None
-    elif n_blocks * dim * 8 <= BROADCAST_BYTES:
-        known = {row["part_id"]: np.array(row["w"]) for row in weights.select("part_id", "w").collect()}
-        joined, shared = chunks, chunks.sparkSession.sparkContext.broadcast(known)
+    elif isinstance(points, dict) or n_blocks * dim * 8 <= BROADCAST_BYTES:
+        if not isinstance(points, dict):
+            points = {r["part_id"]: np.array(r["point"]) for r in points.select("part_id", "point").collect()}
+        joined, shared = chunks, chunks.sparkSession.sparkContext.broadcast(points)
     else:
         raise ValueError("weights of this size need chunks from salt_chunks")
-    columns = ["part_id", "n", "y", "lens", "idx", "val", *(["w"] if shared is None else [])]
+    columns = ["part_id", "n", "y", "lens", "idx", "val", *(["point"] if shared is None else [])]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -254,10 +304,9 @@ def block_loss_gradient(
                 [
                     pa.array(parts, pa.int32()),
                     pa.array([held[p][0] for p in parts], pa.int64()),
-                    pa.array([held[p][1] for p in parts], pa.float64()),
-                    pa.array([held[p][2] for p in parts], pa.list_(pa.float64())),
+                    pa.array([held[p][1] for p in parts], pa.list_(pa.float64())),
                 ],
-                names=["part_id", "n", "loss", "grad"],
+                names=["part_id", "n", "sums"],
             )
             held.clear()
             return batch
@@ -271,17 +320,14 @@ def block_loss_gradient(
                     c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)
                     for c in columns[2:]
                 }
-                if shared is not None:
-                    cells["w"] = shared.value[part[k]]
                 rows = Rows(
                     cells["y"], cells["lens"], cells["idx"], cells["val"], dim, intercept
                 )
-                value, grad = rows.loss_gradient(cells["w"], loss)
-                slot = held.setdefault(part[k], [0, 0.0, np.zeros(dim)])
+                point = cells["point"] if shared is None else shared.value[part[k]]
+                slot = held.setdefault(part[k], [0, np.zeros(width)])
                 slot[0] += len(rows.y)
-                slot[1] += value
-                slot[2] += grad
-                if len(held) * dim * 8 > FLUSH_BYTES:
+                slot[1] += evaluate(rows, point)
+                if len(held) * width * 8 > FLUSH_BYTES:
                     yield release()
         if held:
             yield release()
@@ -297,16 +343,63 @@ def block_loss_gradient(
     return _sum_partials(partial, ["part_id"])
 
 
+def block_loss_gradient(
+    chunks: DataFrame, weights: DataFrame, problem: LocalProblem, n_blocks: int,
+    tasks: int = 1,
+) -> DataFrame:
+    """(part_id, n, loss, grad): summed loss and gradient of every block at its weights
+    ``(part_id, n, w)``, in one pass over the chunks."""
+    loss = problem.loss
+
+    def evaluate(rows: Rows, w: np.ndarray) -> np.ndarray:
+        value, grad = rows.loss_gradient(w, loss)
+        return np.append(value, grad)
+
+    points = weights.withColumnRenamed("w", "point")
+    sums = _chunk_sums(chunks, points, problem, n_blocks, evaluate, 1 + problem.dim, tasks)
+    return sums.select(
+        "part_id", "n", F.get("sums", F.lit(0)).alias("loss"),
+        F.slice("sums", 2, problem.dim).alias("grad"),
+    )
+
+
+def ladder_sums(
+    chunks: DataFrame, points: DataFrame | dict, problem: LocalProblem, n_blocks: int,
+    tasks: int = 1,
+) -> DataFrame:
+    """(part_id, n, sums): of every block the losses at w + t.d, w + t/2.d, ... (``LADDER``
+    of them), then the gradients of the first ones, in one pass over the chunks.
+
+    A point is w, d and t one after another; without a direction it is w alone, and only its
+    loss and gradient are computed. X.w and X.d are multiplied once for the whole ladder.
+    """
+    dim, loss, given = problem.dim, problem.loss, problem.ladder_gradients(n_blocks)
+
+    def evaluate(rows: Rows, point: np.ndarray) -> np.ndarray:
+        out = np.zeros(LADDER + given * dim)
+        scores, along, steps = rows.scores(point[:dim]), 0.0, [0.0]
+        if len(point) > dim:
+            along = rows.scores(point[dim : 2 * dim])
+            steps = [point[-1] * 0.5**k for k in range(LADDER)]
+        for k, t in enumerate(steps):
+            out[k], by_score = loss(rows.y, scores + t * along)
+            if k < given:
+                at = LADDER + k * dim
+                out[at : at + dim] = rows.pull_back(by_score)
+        return out
+
+    return _chunk_sums(chunks, points, problem, n_blocks, evaluate, LADDER + given * dim, tasks)
+
+
 def _sum_partials(partial: DataFrame, keys: list[str]) -> DataFrame:
     """Vector sums by key; the partial sums of a task are combined before the shuffle."""
     return (
         partial.groupBy(*keys)
         .agg(
             F.sum("n").alias("n"),
-            F.sum("loss").alias("loss"),
-            Summarizer.sum(array_to_vector("grad")).alias("grad"),
+            Summarizer.sum(array_to_vector("sums")).alias("sums"),
         )
-        .withColumn("grad", vector_to_array("grad"))
+        .withColumn("sums", vector_to_array("sums"))
     )
 
 
@@ -349,10 +442,61 @@ def _read_search(batch: pa.RecordBatch, k: int, problem: LocalProblem) -> Search
 def solve_across_tasks(
     chunks: DataFrame, state: DataFrame, problem: LocalProblem, z_bc, rho: float,
     n_blocks: int, dual_scale: float = 1.0, first: bool = False, tasks: int = 1,
+    target: str | None = None,
 ) -> str:
-    """All blocks advance together, one distributed evaluation per round, until every
-    block's search is done. Blocks that are done stay in the table of their last round and
-    are not written again. Returns the path of the solved state table."""
+    """All blocks advance together, one pass over the data a search step, until every
+    block's search is done. Returns the path of the solved state table, ``target`` if given.
+
+    While the searches of all blocks fit a bounded message they are advanced between the
+    passes as the weights they broadcast are; beyond it the search of a block is a table
+    row, and blocks that are done stay in the table of their last round.
+    """
+    target = target or fresh_path(chunks.sparkSession, "state")
+    if problem.searches_fit(n_blocks):
+        solved = solve_gathered(chunks, state, problem, z_bc, rho, n_blocks, dual_scale, first, tasks)
+        chunks.sparkSession.createDataFrame(solved, SOLVED).write.parquet(target)
+    else:
+        _solve_in_tables(chunks, state, problem, z_bc, rho, n_blocks, dual_scale, first, tasks, target)
+    return target
+
+
+def solve_gathered(
+    chunks: DataFrame, state: DataFrame, problem: LocalProblem, z_bc, rho: float,
+    n_blocks: int, dual_scale: float = 1.0, first: bool = False, tasks: int = 1,
+) -> pa.Table:
+    """The solved state when the searches of all blocks are small enough for one place."""
+    z, begun = z_bc.value, {}
+    for row in state.select("part_id", "n", "slot", "w", "u").collect():
+        w, u = np.array(row["w"]), np.array(row["u"])
+        if not first:
+            u = problem.dual_update(u, w, z) * dual_scale
+        begun[row["part_id"]] = (row["n"], row["slot"], u, problem.start(w))
+    while True:
+        points = {
+            part: s.x if s.f is None else np.concatenate([s.x, s.d, [s.t]])
+            for part, (_, _, _, s) in begun.items() if not s.done
+        }
+        if not points:
+            break
+        found = ladder_sums(chunks, points, problem, n_blocks, tasks).toArrow()
+        for k, part in enumerate(found.column("part_id").to_pylist()):
+            n, _, u, search = begun[part]
+            problem.observe_ladder(search, n, _vector(found.column("sums")[k]), z - u, rho)
+    vectors = lambda values: pa.array(values, pa.list_(pa.float64()))
+    return pa.table({
+        "part_id": pa.array(list(begun), pa.int32()),
+        "n": pa.array([n for n, *_ in begun.values()], pa.int64()),
+        "w": vectors([s.x for *_, s in begun.values()]),
+        "u": vectors([u for _, _, u, _ in begun.values()]),
+        "slot": pa.array([slot for _, slot, _, _ in begun.values()], pa.int32()),
+        "evaluations": pa.array([s.evaluations for *_, s in begun.values()], pa.int32()),
+    })
+
+
+def _solve_in_tables(
+    chunks, state, problem, z_bc, rho, n_blocks, dual_scale, first, tasks, target
+) -> None:
+    """Searches as rows of a table that every round writes anew."""
     spark = chunks.sparkSession
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,9 +518,8 @@ def solve_across_tasks(
                 search = _read_search(batch, k, problem)
                 target, u = _vector(batch.column("z_minus_u")[k]), _vector(batch.column("u")[k])
                 if not search.done:
-                    n, loss = batch.column("n")[k].as_py(), batch.column("loss")[k].as_py()
-                    grad = _vector(batch.column("grad")[k])
-                    problem.observe(search, n, loss, grad, target, rho)
+                    sums = _vector(batch.column("sums")[k])
+                    problem.observe_ladder(search, batch.column("n")[k].as_py(), sums, target, rho)
                 records.append(_search_record(batch, k, target, u, search))
             if records:
                 yield _search_batch(records)
@@ -390,19 +533,13 @@ def solve_across_tasks(
     base, rounds = fresh_path(spark, "search"), []
     search = write(state.select("part_id", "n", "slot", "w", "u").mapInArrow(begin, SEARCH))
     while not search.isEmpty():
-        trial = F.when(F.col("f").isNull(), F.col("w")).otherwise(
-            F.zip_with(
-                "w", F.transform("d", lambda v: v * F.col("t")), lambda a, b: a + b
-            )
-        )
-        open_blocks = search.select("part_id", "n", trial.alias("w"))
-        sums = block_loss_gradient(chunks, open_blocks, problem, n_blocks, tasks)
-        step = search.join(sums.select("part_id", "loss", "grad"), "part_id", "left")
-        search = write(step.select(*search.columns, "loss", "grad").mapInArrow(advance, SEARCH))
+        point = F.when(F.col("f").isNull(), F.col("w")).otherwise(F.concat("w", "d", F.array("t")))
+        open_blocks = search.select("part_id", "n", point.alias("point"))
+        sums = ladder_sums(chunks, open_blocks, problem, n_blocks, tasks)
+        step = search.join(sums.select("part_id", "sums"), "part_id", "left")
+        search = write(step.select(*search.columns, "sums").mapInArrow(advance, SEARCH))
         drop_path(spark, f"{rounds[-2]}/done=false")
-    solved = fresh_path(spark, "state")
     spark.read.schema(SEARCH).parquet(base).select(
         "part_id", "n", "w", "u", "slot", "evaluations"
-    ).write.parquet(solved)
+    ).write.parquet(target)
     drop_path(spark, base)
-    return solved

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -81,6 +83,19 @@ def state_summary(state: DataFrame) -> DataFrame:
     )
 
 
+def state_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """w and u of a gathered state as matrices, blocks by dimension."""
+    flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return tuple(flat(c).reshape(table.num_rows, -1) for c in ("w", "u"))
+
+
+def gathered_summary(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """w_avg, u_avg, w_sq and w_spread of :func:`state_summary` from a gathered state."""
+    w, u = state_arrays(table)
+    w_avg = w.mean(axis=0)
+    return w_avg, u.mean(axis=0), (w * w).sum(axis=0), ((w - w_avg) ** 2).sum(axis=0)
+
+
 def summary_by_feature(summary: DataFrame) -> DataFrame:
     """The summary as one row per feature: (j, w_avg, u_avg, n_blocks, w_sq, w_spread)."""
     columns = ["w_avg", "u_avg", "w_sq", "w_spread"]
@@ -101,6 +116,20 @@ def consensus(w_avg, u_avg, rho, n_blocks, lam):
     return (w_avg + u_avg) * shrinkage(rho, n_blocks, lam)
 
 
+def soft_threshold(value, by):
+    """Towards zero by ``by``, and zero within it; of a number, an array or a column."""
+    if isinstance(value, Column):
+        return F.signum(value) * F.greatest(F.abs(value) - by, F.lit(0.0))
+    return np.sign(value) * np.maximum(np.abs(value) - by, 0.0)
+
+
+def elastic_consensus(w_avg, u_avg, rho, n_blocks, lam, l1_ratio):
+    """argmin of lam * (l1_ratio * |z| + (1 - l1_ratio) * z^2) + N*rho/2 * (z - w_avg - u_avg)^2
+    by coordinate: a soft threshold, then the shrinkage of the squared part."""
+    pulled = soft_threshold(w_avg + u_avg, lam * l1_ratio / (n_blocks * rho))
+    return pulled * shrinkage(rho, n_blocks, lam * (1.0 - l1_ratio))
+
+
 def primal_residual(w_spread, gap_sq, n_blocks):
     """sqrt(sum of ||w_i - z||^2), with gap_sq = ||w_avg - z||^2."""
     return (w_spread + n_blocks * gap_sq) ** 0.5
@@ -140,6 +169,70 @@ def next_penalty_column(rho: Column, primal: Column, dual: Column) -> Column:
     )
 
 
+# Fixed values of the spectral penalty: two moves count as correlated above this cosine, and
+# the penalty of iteration k changes by a factor of 1 + SPECTRAL_CHANGE / k^2 at most.
+SPECTRAL_COSINE = 0.2
+SPECTRAL_CHANGE = 100.0
+
+
+def spectral_curvature(move_sq: float, cross: float, change_sq: float) -> float | None:
+    """Curvature along a move of the weights, from the squared length of the move, of the
+    change of the gradient, and their product: the minimum-gradient estimate, or the
+    steepest-descent one less half of it where the two differ much. None where move and
+    change are hardly correlated, as the estimate says nothing then."""
+    if not cross > SPECTRAL_COSINE * (move_sq * change_sq) ** 0.5:
+        return None
+    steepest, least = change_sq / cross, cross / move_sq
+    return least if 2.0 * least > steepest else steepest - 0.5 * least
+
+
+def curvatures(before, after, z_before, z_after, rho_before: float, rho_after: float) -> list:
+    """Curvature of every block's loss between two solutions (w, u), matrices of blocks by
+    dimension. At a solution the gradient of the block's loss is -rho * (w - z + u)."""
+    move = after[0] - before[0]
+    change = rho_before * (before[0] - z_before + before[1]) - rho_after * (after[0] - z_after + after[1])
+    return [spectral_curvature(float(m @ m), float(m @ c), float(c @ c)) for m, c in zip(move, change)]
+
+
+def block_curvatures(
+    before: DataFrame, after: DataFrame, z_before: np.ndarray, z_after: np.ndarray,
+    rho_before: float, rho_after: float,
+) -> DataFrame:
+    """(part_id, curvature): of every block's loss between two of its solutions; null where
+    it cannot be told.
+
+    ``before`` and ``after`` are states as solved with the given z and penalty, so no pass
+    over the data is needed. The vectors z are broadcast.
+    """
+    sc = before.sparkSession.sparkContext
+    shared = sc.broadcast((z_before, z_after))
+
+    def found(batches):
+        for batch in batches:
+            w0, u0, w1, u1 = (
+                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for c in ("w0", "u0", "w1", "u1")
+            )
+            each = curvatures((w0, u0), (w1, u1), *shared.value, rho_before, rho_after)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part_id"), pa.array(each, pa.float64())], ["part_id", "curvature"]
+            )
+
+    named = lambda df, k: df.select("part_id", F.col("w").alias(f"w{k}"), F.col("u").alias(f"u{k}"))
+    joined = named(before, 0).join(named(after, 1), "part_id")
+    return joined.mapInArrow(found, "part_id int, curvature double")
+
+
+def spectral_penalty(rho: float, iteration: int, block: float | None, shared: float | None) -> float:
+    """The geometric mean of the curvature of the blocks' losses and of a block's share of
+    the regulariser, either one where the other is not known, within the change allowed."""
+    known = [v for v in (block, shared) if v is not None and v > 0.0]
+    if not known:
+        return rho
+    limit = 1.0 + SPECTRAL_CHANGE / iteration**2
+    return float(min(max(np.prod(known) ** (1.0 / len(known)), rho / limit), rho * limit))
+
+
 def dual_step(state: DataFrame, z: Column) -> DataFrame:
     """u_i <- u_i + w_i - z."""
     return state.withColumn("u", V.subtract(V.add(F.col("u"), F.col("w")), z))

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumfit.operators import evaluate
+from quorumfit.operators.blocks import NestedBlocks
 from quorumfit.plans.baseline import fit_lbfgs
 from quorumfit.plans.estimator import ConsensusLogisticRegression
 from quorumfit.functions.text import sample_size_tag
 from quorumfit.schemas import METRICS, MODEL, RUN_KEY, RUN_LOG
+from quorumfit.session import hadoop_path
 from quorumfit.sources.csv import write_metrics_csv
-from quorumfit.sources.libsvm import read_libsvm, shared_layout
-from quorumfit.sources.registry import DATASETS, load_dataset, reader_of, resolve
+from quorumfit.sources.libsvm import layout, read_libsvm, scan_libsvm
+from quorumfit.sources.registry import DATASETS, accepted, load_dataset, reader_of, resolve
 
 # Defaults of the two algorithms and the partition counts of the sweep.
 ADMM, LBFGS = "admm", "lbfgs"
@@ -55,14 +62,25 @@ class ExampleSet:
         reader = reader_of(dataset, options.get("reader"))
         known = DATASETS.get(dataset.lower())
         width = options.get("num_features") or (known.num_features if known else None)
-        if reader in ("tolerant", "libsvm"):
-            base = options.get("index_base", "auto") if reader == "tolerant" else 1
-            base, width = shared_layout(spark, [train, test], base, width)
-            options |= {"index_base": base, "num_features": width}
+        if reader == "tolerant":
+            scans = [scan_libsvm(spark, path) for path in (train, test)]
+            base, width = layout(scans, options.get("index_base", "auto"), width)
+            sides = [
+                accepted(scan.parsed(base, width), path, options.get("on_refused", "raise"))
+                for scan, path in zip(scans, (train, test))
+            ]
+        else:
+            if reader == "libsvm" and width is None:
+                both = scan_libsvm(spark, [train, test])
+                width = layout([both], 1, None)[1]
+                both.release()
+            sides = [
+                load_dataset(spark, path, dataset, **options | {"num_features": width})
+                for path in (train, test)
+            ]
         return cls(
             dataset,
-            load_dataset(spark, train, dataset, **options),
-            load_dataset(spark, test, dataset, **options),
+            *sides,
             train_file or train.rsplit("/", 1)[-1],
             test_file or test.rsplit("/", 1)[-1],
         )
@@ -89,11 +107,12 @@ def run_experiment(
     lam: float = DEFAULT_LAMBDA,
     max_iter: int | None = None,
     cache: bool = True,
+    nested: NestedBlocks | None = None,
     **options,
 ) -> RunResult:
     """Profile, fit, evaluate and describe one run. ``options`` go to the fit. ``cache``
     keeps the parsed training rows between the profile and the fit; turn it off for
-    data that is columnar already."""
+    data that is columnar already. ``nested`` has the blocks of the training rows."""
     if algorithm not in DEFAULT_MAX_ITER:
         raise ValueError(f"unknown algorithm {algorithm!r}; known: {sorted(DEFAULT_MAX_ITER)}")
     spark = data.train.sparkSession
@@ -106,7 +125,7 @@ def run_experiment(
     if algorithm == ADMM:
         model = ConsensusLogisticRegression(
             lam=lam, n_blocks=n_blocks, max_iter=max_iter, **options
-        ).fit(data.train)
+        ).fit(data.train, nested=nested)
         scored, weights, trace = model.transform(data.test), model.weights_df, model.trace
         label, columns = "y", ["y", "score", "probability", "predicted"]
     else:
@@ -225,27 +244,77 @@ def next_run_ids(log: DataFrame) -> DataFrame:
 
 def append_run(metrics: DataFrame, path: str) -> int:
     """Append one run to the log table and return its number, counted per run key."""
-    row = metrics.first()
-    append_runs(metrics, path)
-    log = metrics.sparkSession.read.schema(RUN_LOG).parquet(path)
-    for column in RUN_KEY:
-        log = log.filter(F.col(column) == row[column])
-    return log.agg(F.max("run_id")).first()[0]
+    return append_runs(metrics, path)[0]
 
 
-def append_runs(metrics: DataFrame, path: str) -> None:
+def append_runs(metrics: DataFrame, path: str) -> list[int]:
     """Append runs to the log table, numbered on from the last number of their run key by
-    time."""
+    time; the first number of every key, in the order of the keys.
+
+    Numbers are claimed before they are written, so writers that append at the same time
+    get different ones; one that fails after its claim leaves a gap.
+    """
     spark = metrics.sparkSession
-    turn = F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy("timestamp"))
-    numbered = metrics.select(*METRICS.fieldNames(), turn.alias("run_id"))
+    counts = metrics.groupBy(*RUN_KEY).count().orderBy(*RUN_KEY).collect()
+    last = {}
     if _exists(spark, path):
         log = spark.read.schema(RUN_LOG).parquet(path)
-        last = log.groupBy(*RUN_KEY).agg(F.max("run_id").alias("_last"))
-        run_id = F.col("run_id") + F.coalesce("_last", F.lit(0))
-        numbered = numbered.join(last, RUN_KEY, "left").withColumn("run_id", run_id)
-    numbered = numbered.select(*RUN_LOG.fieldNames())
+        for row in log.groupBy(*RUN_KEY).agg(F.max("run_id").alias("last")).collect():
+            last[tuple(row[c] for c in RUN_KEY)] = row["last"]
+    firsts = []
+    for row in counts:
+        key = tuple(row[c] for c in RUN_KEY)
+        firsts.append((*key, claim_numbers(spark, path, key, last.get(key, 0) + 1, row["count"])))
+    schema = T.StructType([*(METRICS[c] for c in RUN_KEY), T.StructField("_first", T.IntegerType())])
+    first = spark.createDataFrame(firsts, schema)
+    turn = F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy("timestamp"))
+    same = [metrics[c].eqNullSafe(F.col(f"_key.{c}")) for c in RUN_KEY]
+    keyed = first.select(F.struct(*RUN_KEY).alias("_key"), "_first")
+    numbered = (
+        metrics.join(F.broadcast(keyed), reduce(Column.__and__, same))
+        .withColumn("run_id", turn + F.col("_first") - 1)
+        .select(*RUN_LOG.fieldNames())
+    )
     numbered.write.mode("append").partitionBy("dataset", "algorithm").parquet(path)
+    return [row[-1] for row in firsts]
+
+
+def claim_numbers(spark: SparkSession, path: str, key: tuple, start: int, count: int) -> int:
+    """Claim ``count`` run numbers of a key and return the first, ``start`` or the next that
+    nobody has.
+
+    A claim is a file named by its first number that holds its count. It is written beside
+    its place and moved there in a step that fails when the place is taken (a rename, which
+    does not replace on HDFS; a hard link on a local disk). Who finds the place taken reads
+    how far that claim goes and tries again behind it.
+    """
+    name = hashlib.sha256(repr(key).encode()).hexdigest()[:16]
+    folder = f"{path}/_claims/{name}"
+    draft, files = hadoop_path(spark, f"{folder}/.draft-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(str(count).encode()))
+    out.close()
+    local = files.getUri().getScheme() == "file"
+    try:
+        while True:
+            place, _ = hadoop_path(spark, f"{folder}/{start}")
+            if local:
+                taken = not _linked(draft.toUri().getPath(), place.toUri().getPath())
+            else:
+                taken = files.exists(place) or not files.rename(draft, place)
+            if not taken:
+                return start
+            start += int(spark.read.text(f"{folder}/{start}").first()[0])
+    finally:
+        files.delete(draft, False)
+
+
+def _linked(draft: str, place: str) -> bool:
+    try:
+        os.link(draft, place)
+    except FileExistsError:
+        return False
+    return True
 
 
 def run_name(row: Mapping, run_id: int, train_tag: str, test_tag: str) -> str:
@@ -272,8 +341,8 @@ def save_run(result: RunResult, folder: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, files = hadoop_path(spark, path)
+    return files.exists(target)
 
 
 def fit_and_save(
@@ -296,18 +365,27 @@ def run_grid(
     options: Mapping[str, Mapping] | None = None,
 ) -> DataFrame:
     """Every dataset x partition count x algorithm, one metrics row per run. Examples
-    are cached once per dataset and shared by its runs. ``options`` holds, by
-    algorithm, what :func:`run_experiment` takes."""
+    are cached once per dataset and shared by its runs; where rows have an ``id`` and there
+    are several counts, the consensus fits share one packing and one exchange of the data,
+    whose time is in none of their runtimes. ``options`` holds, by algorithm, what
+    :func:`run_experiment` takes."""
     rows, spark = [], None
     algorithms, partitions = list(algorithms), list(partitions)
     for data in datasets:
         spark = data.train.sparkSession
         data.train.persist()
         data.test.persist()
+        nested = None
+        if ADMM in algorithms and len(partitions) > 1 and "id" in data.train.columns and "part_id" not in data.train.columns:
+            nested = NestedBlocks.prepare(data.train, partitions)
         for count in partitions:
             for algorithm in algorithms:
                 own = (options or {}).get(algorithm, {})
+                if algorithm == ADMM and "row_cap" not in own:
+                    own = {**own, "nested": nested}
                 rows.append(run_experiment(data, algorithm, count, **own).row)
+        if nested is not None:
+            nested.release()
         data.train.unpersist()
         data.test.unpersist()
     return spark.createDataFrame(rows, METRICS)

@@ -49,3 +49,21 @@ class SquaredL2:
 
     def next_rho(self, rho: float, primal: float, dual: float) -> float:
         return steps.next_penalty(rho, primal, dual)
+
+
+class ElasticNet(SquaredL2):
+    """lam * (l1_ratio * |z| + (1 - l1_ratio) * ||z||^2) in place of lam * ||z||^2: the z-step
+    is a soft threshold by coordinate, so weights that do not pay their price are exactly
+    zero. ``l1_ratio`` 1 is the lasso. The intercept is free of it."""
+
+    def __init__(self, lam: float = 0.01, l1_ratio: float = 1.0, **options):
+        super().__init__(lam, **options)
+        if not 0.0 <= l1_ratio <= 1.0:
+            raise ValueError("l1_ratio is between 0 and 1")
+        self.l1_ratio = l1_ratio
+
+    def z_update(self, w_avg: np.ndarray, u_avg: np.ndarray, rho: float, n: int) -> np.ndarray:
+        z = steps.elastic_consensus(w_avg, u_avg, rho, n, self.lam, self.l1_ratio)
+        if self.free_last:
+            z[-1] = w_avg[-1] + u_avg[-1]
+        return z

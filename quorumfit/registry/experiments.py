@@ -14,16 +14,6 @@ from quorumfit.session import fresh_path
 from quorumfit.sources import libsvm
 
 r, sql_r = X.r, X.sql_r
-# The columns of a run that do not depend on the clock.
-STABLE = ["dataset", "algorithm", "train_samples", "test_samples", "features", "partitions",
-          "actual_iterations", "accuracy_percent", "model_norm", "convergence_status"]
-
-
-def _split(spark, sf_dir, name="embeddings"):
-    train, test = B.hash_split(X.ex_emb(spark, sf_dir).drop("part_id"), "id", 0.8)
-    return runs.ExampleSet(name, train, test)
-
-
 PAIR_LAM = 0.25
 # Options under which the fit runs until its weights settle, and its result does not
 # depend on which rows share a block.
@@ -167,6 +157,12 @@ def _sweep_sql(algorithm, p, q, bias):
     GROUP BY n"""
 
 
+GRID_OPTIONS = {
+    "admm": SETTLED | dict(lam=PAIR_LAM, max_iter=200, eps_abs=1e-5, eps_rel=1e-5),
+    "lbfgs": dict(tol=1e-12),
+}
+
+
 @query(
     f"""WITH {SPLIT_SQL}, {_lbfgs_sql('train')},
     {newton_sql('train', 'one', f'{2 * PAIR_LAM}', ('0', '0'), prefix='s')},
@@ -175,21 +171,30 @@ def _sweep_sql(algorithm, p, q, bias):
 )
 def partition_sweep(spark, sf_dir):
     """Both algorithms at every partition count."""
-    options = {
-        "admm": SETTLED | dict(lam=PAIR_LAM, max_iter=200, eps_abs=1e-5, eps_rel=1e-5),
-        "lbfgs": dict(tol=1e-12),
-    }
-    grid = runs.run_grid([_pair_split(spark, sf_dir)], options=options)
+    grid = runs.run_grid([_pair_split(spark, sf_dir)], options=GRID_OPTIONS)
     return grid.select(*RUN_COLUMNS, r("model_norm", 3).alias("model_norm"))
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {ctes}, {_lbfgs_sql('train')},
+        {newton_sql('train', 'one', f'{2 * PAIR_LAM}', ('0', '0'), prefix='s')},
+        settled AS (SELECT p AS sp, q AS sq FROM sw10)
+        SELECT * REPLACE ('{name}' AS dataset) FROM (
+          {_sweep_sql('admm', 'sp', 'sq', '0')} UNION ALL {_sweep_sql('lbfgs', 'p', 'q', 'r')})
+        WHERE partitions = 8)"""
+        for name, ctes in (
+            ("pair", SPLIT_SQL),
+            ("price", (X.EX_PRICE + SPLIT_SQL[len(X.EX_PAIR):]).replace("FROM pair)", "FROM price)")),
+        )
+    )
+)
 def dataset_sweep(spark, sf_dir):
-    """Both algorithms, default rules, on a dense and on a sparse dataset."""
-    sparse = X.ex_sparse(spark, sf_dir).drop("part_id")
-    train, test = B.hash_split(sparse, "id", 0.8)
-    sets = [_split(spark, sf_dir, "dense"), runs.ExampleSet("sparse", train, test)]
-    return runs.run_grid(sets, partitions=[X.N_BLOCKS]).select(*STABLE)
+    """Both algorithms, run until they settle, on a dense and on a sparse dataset."""
+    train, test = B.hash_split(X.as_sparse(X.ex_price(spark, sf_dir)), "id", 0.8)
+    sets = [_pair_split(spark, sf_dir), runs.ExampleSet("price", train, test)]
+    grid = runs.run_grid(sets, partitions=[X.N_BLOCKS], options=GRID_OPTIONS)
+    return grid.select(*RUN_COLUMNS, r("model_norm", 3).alias("model_norm"))
 
 
 def _view(spark, sf_dir):

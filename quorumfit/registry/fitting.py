@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from quorumfit.functions import vectors as V
 from quorumfit.operators import blocks as B
+from quorumfit.operators import evaluate
 from quorumfit.operators import local_solve as LS
 from quorumfit.operators import steps
 from quorumfit.plans.estimator import ConsensusLogisticRegression
+from quorumfit.plans.updater import ElasticNet
 from quorumfit.registry import fixtures as X
 from quorumfit.registry.catalog import query
+from quorumfit.session import fresh_path
 
 r, sql_r = X.r, X.sql_r
 LAM, RHO = 0.01, 1.0
@@ -266,6 +269,43 @@ def penalty_update(spark, sf_dir):
     )
 
 
+PULLED = "((w_sum + u_sum) / n_blocks)"
+
+
+@query(
+    f"""WITH {SUMS} SELECT j, {sql_r(f"sign({PULLED}) * greatest(abs({PULLED}) - 0.05 * 0.75 / (n_blocks * {RHO}), 0) "
+                                     f"* (n_blocks * {RHO} / (n_blocks * {RHO} + 2 * 0.05 * 0.25))")} AS z
+    FROM sums, nb"""
+)
+def consensus_step_elastic(spark, sf_dir):
+    """The global step of an elastic-net penalty: soft threshold and shrinkage."""
+    summary = steps.summary_by_feature(steps.state_summary(X.block_state(spark, sf_dir)))
+    z = steps.elastic_consensus(
+        F.col("w_avg"), F.col("u_avg"), F.lit(RHO), F.col("n_blocks"), 0.05, 0.75
+    )
+    return summary.select("j", r(z).alias("z"))
+
+
+ESTIMATE_SQL = """CASE WHEN c > 0.2 * sqrt(m * g) THEN
+    CASE WHEN 2 * c / m > g / c THEN c / m ELSE g / c - 0.5 * c / m END END"""
+
+
+@query(
+    f"""WITH {X.STATE}, moved AS (
+      SELECT part_id, sum(u * u) AS m, sum(u * (w + u - z)) AS c, sum((w + u - z) * (w + u - z)) AS g
+      FROM state JOIN zed USING (j) GROUP BY part_id)
+    SELECT part_id, {sql_r(ESTIMATE_SQL)} AS curvature FROM moved"""
+)
+def block_curvature(spark, sf_dir):
+    """Spectral estimate of every block between two states: w, and w + u with no pull left."""
+    before = X.block_state(spark, sf_dir)
+    to = V.add(F.col("w"), F.col("u"))
+    after = before.select("part_id", to.alias("w"), V.scale(to, F.lit(-1.0)).alias("u"))
+    z = np.array(X.overall_mean(spark, sf_dir))
+    found = steps.block_curvatures(before, after, z, np.zeros(len(z)), RHO, 2 * RHO)
+    return found.select("part_id", r("curvature").alias("curvature"))
+
+
 # --- fits -----------------------------------------------------------------------
 
 
@@ -369,6 +409,75 @@ def consensus_fit(spark, sf_dir):
     return _settled_fit(spark, sf_dir).weights_df.select("j", r("weight", 4).alias("weight"))
 
 
+@query(FIT_SQL)
+def consensus_fit_spectral(spark, sf_dir):
+    """The same minimiser with the spectral penalty, from a penalty far off."""
+    model = ConsensusLogisticRegression(
+        lam=FIT_LAM, rho=50.0, eps_abs=1e-6, eps_rel=1e-6, criterion="both", max_iter=200,
+        penalty="spectral", local_tol=1e-10,
+    ).fit(X.ex_pair(spark, sf_dir))
+    return model.weights_df.select("j", r("weight", 4).alias("weight"))
+
+
+def descent_sql(source: str, l1: float, l2: float, rounds: int = 12) -> str:
+    """CTEs of coordinate descent for two weights: (1/N) * sum over blocks of mean logistic
+    loss + l1 * |w| + l2 * w^2, one Newton step of one weight after the other. ``best`` has
+    the weights."""
+    out = [
+        f"""counted AS MATERIALIZED (
+          SELECT y, a, b, (SELECT count(*) FROM {source}) / (count(*) OVER (PARTITION BY part_id)
+                 * (SELECT count(DISTINCT part_id) FROM {source}))::DOUBLE AS k FROM {source}),
+        at0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q)"""
+    ]
+    for turn in range(2 * rounds):
+        w, x = ("p", "a") if turn % 2 == 0 else ("q", "b")
+        moved = f"sign(t) * greatest(abs(t) - {l1}, 0) / (h + 2 * {l2}) AS {w}"
+        other = "q" if w == "p" else "p"
+        out.append(
+            f"""at{turn + 1} AS MATERIALIZED (
+              SELECT {moved}, {other} FROM (
+                SELECT any_value(p) AS p, any_value(q) AS q, avg(k * {x} * {x} * s) AS h,
+                       avg(k * {x} * {x} * s) * any_value({w}) + avg(k * y * {x} / (1 + exp(y * (a * p + b * q)))) AS t
+                FROM (SELECT *, 1 / (1 + exp(-(a * p + b * q))) / (1 + exp(a * p + b * q)) AS s
+                      FROM counted, at{turn})))"""
+        )
+    out.append(f"best AS (SELECT p, q FROM at{2 * rounds})")
+    return ",\n".join(out)
+
+
+LASSO_LAM = 0.08
+
+
+def _penalised(rows, l1_ratio):
+    """(j, weight, nonzero) of a settled elastic-net fit."""
+    options = dict(eps_abs=1e-7, eps_rel=1e-7, criterion="both")
+    model = ConsensusLogisticRegression(
+        rho=0.05, max_iter=200, penalty="spectral", local_tol=1e-10,
+        updater=ElasticNet(LASSO_LAM, l1_ratio, **options),
+    ).fit(rows)
+    count = evaluate.model_summary(model.weights_df).first()["nonzero"]
+    return model.weights_df.select(
+        "j", r("weight", 4).alias("weight"), F.lit(count).cast("int").alias("nonzero")
+    )
+
+
+def _penalised_sql(ctes, source, l1, l2):
+    return f"""WITH {ctes}, {descent_sql(source, l1, l2)}
+    SELECT CAST(j AS INTEGER) AS j, {sql_r('CASE WHEN j = 0 THEN p ELSE q END', 4)} AS weight,
+           CAST((p <> 0)::INT + (q <> 0)::INT AS INTEGER) AS nonzero FROM best, range(2) t(j)"""
+
+
+@query(_penalised_sql(X.EX_PRICE, "price", LASSO_LAM / X.N_BLOCKS, 0.0))
+def lasso_fit(spark, sf_dir):
+    """L1 penalty: the weight of the feature that tells nothing is exactly zero."""
+    return _penalised(X.ex_price(spark, sf_dir), 1.0)
+
+
+@query(_penalised_sql(X.EX_PAIR, "pair", LASSO_LAM / 2 / X.N_BLOCKS, LASSO_LAM / 2 / X.N_BLOCKS))
+def elastic_net_fit(spark, sf_dir):
+    return _penalised(X.ex_pair(spark, sf_dir), 0.5)
+
+
 @query(
     f"""{FIT_CTES} SELECT id, y, CASE WHEN 1 / (1 + exp(-(a * p + b * q))) > 0.5 THEN 1.0::DOUBLE
     ELSE -1.0::DOUBLE END AS predicted FROM pair, w10"""
@@ -397,7 +506,77 @@ def consensus_state(spark, sf_dir):
     )
 
 
-@query()
+def trace_sql(rounds: int, lam: float, rho: float, eps: float = 1e-3) -> str:
+    """CTEs of whole iterations on ``pair``, one after another: Newton solves of all blocks,
+    averages, the global step, residuals, the balanced penalty, and duals rescaled to it.
+    ``round{k}`` has the trace of iteration k."""
+    out = [
+        f"""globals0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS zp, 0.0::DOUBLE AS zq, {rho}::DOUBLE AS rho),
+        state1 AS MATERIALIZED (SELECT DISTINCT part_id, 0.0::DOUBLE AS up, 0.0::DOUBLE AS uq FROM pair)"""
+    ]
+    for k in range(1, rounds + 1):
+        newton = newton_sql(f"source{k}", "part_id", "any_value(rho)", ("zp - up", "zq - uq"), prefix=f"r{k}")
+        out.append(
+            f"""source{k} AS MATERIALIZED (
+              SELECT * FROM pair JOIN state{k} USING (part_id), globals{k - 1}),
+            {newton.replace(' AS (SELECT', ' AS MATERIALIZED (SELECT')},
+            solved{k} AS MATERIALIZED (SELECT * FROM r{k}w10 JOIN state{k} USING (part_id)),
+            summed{k} AS MATERIALIZED (
+              SELECT count(*) AS n, avg(p + up) AS ap, avg(q + uq) AS aq, sum(p * p + q * q) AS w_sq FROM solved{k}),
+            stepped{k} AS MATERIALIZED (
+              SELECT n, w_sq, rho, zp AS old_p, zq AS old_q, ap * n * rho / (n * rho + 2 * {lam}) AS zp,
+                     aq * n * rho / (n * rho + 2 * {lam}) AS zq FROM summed{k}, globals{k - 1}),
+            measured{k} AS MATERIALIZED (
+              SELECT any_value(t.zp) AS zp, any_value(t.zq) AS zq, any_value(t.rho) AS rho,
+                     sqrt(any_value(w_sq)) AS w_norm, sqrt(any_value(t.zp * t.zp + t.zq * t.zq)) AS z_norm,
+                     sqrt(sum((p - t.zp) ** 2 + (q - t.zq) ** 2)) AS primal, any_value(n) AS n,
+                     any_value(t.rho * sqrt(n * ((t.zp - old_p) ** 2 + (t.zq - old_q) ** 2))) AS dual
+              FROM solved{k}, stepped{k} t),
+            round{k} AS MATERIALIZED (
+              SELECT {k} AS iteration, *, sqrt(n) * {eps} + {eps} * greatest(w_norm, z_norm) AS primal_tol
+              FROM measured{k}),
+            globals{k} AS MATERIALIZED (
+              SELECT zp, zq, CASE WHEN primal > 10 * dual THEN rho * 2 WHEN dual > 10 * primal THEN rho / 2
+                                  ELSE rho END AS rho FROM round{k}),
+            state{k + 1} AS MATERIALIZED (
+              SELECT part_id, (up + p - g.zp) * t.rho / g.rho AS up, (uq + q - g.zq) * t.rho / g.rho AS uq
+              FROM solved{k}, globals{k} g, stepped{k} t)"""
+        )
+    return ",\n".join(out)
+
+
+TRACE_ROUNDS, TRACE_RHO = 4, 8.0
+
+
+TRACE_SQL = f"""WITH {X.EX_PAIR.replace('pair AS (', 'pair AS MATERIALIZED (')},
+    {trace_sql(TRACE_ROUNDS, FIT_LAM, TRACE_RHO)}
+    SELECT CAST(iteration AS INTEGER) AS iteration, {sql_r('primal')} AS primal, {sql_r('primal_tol')} AS primal_tol,
+           {sql_r('dual')} AS dual, rho, {sql_r('w_norm')} AS w_norm, {sql_r('z_norm')} AS z_norm, FALSE AS converged
+    FROM ({" UNION ALL ".join(f"SELECT * FROM round{k}" for k in range(1, TRACE_ROUNDS + 1))})"""
+
+
+def _trace(model):
+    return model.trace.select(
+        "iteration", *[r(c).alias(c) for c in ("primal", "primal_tol", "dual")], "rho",
+        r("w_norm").alias("w_norm"), r("z_norm").alias("z_norm"), "converged",
+    )
+
+
+def _trace_fit(rounds):
+    return ConsensusLogisticRegression(
+        lam=FIT_LAM, rho=TRACE_RHO, max_iter=rounds, min_iter=TRACE_ROUNDS + 1, local_tol=1e-12
+    )
+
+
+@query(TRACE_SQL)
 def consensus_trace(spark, sf_dir):
-    """Residuals, tolerance and penalty of every iteration."""
-    return _fit(spark, sf_dir).trace
+    """Residuals, tolerance and penalty of whole iterations, each from the one before."""
+    return _trace(_trace_fit(TRACE_ROUNDS).fit(X.ex_pair(spark, sf_dir)))
+
+
+@query(TRACE_SQL)
+def consensus_trace_resumed(spark, sf_dir):
+    """The same iterations by a fit that stopped after the second and was resumed."""
+    folder, rows = fresh_path(spark, "journal"), X.ex_pair(spark, sf_dir)
+    _trace_fit(2).fit(rows, checkpoint=folder)
+    return _trace(_trace_fit(TRACE_ROUNDS).fit(rows, checkpoint=folder, resume=True))

@@ -103,6 +103,23 @@ pair AS (SELECT id, part_id, y, sum(CASE WHEN j % 2 = 0 THEN v ELSE 0 END) AS a,
 )
 
 
+def ex_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, y, x, part_id) with two features of ``lineitem``: the quantity, which tells much
+    of the price, and the tax, which tells nothing."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.when(F.col("l_extendedprice") > 35000, 1.0).otherwise(-1.0).alias("y"),
+        F.array(F.col("l_quantity") / 50 - 0.5, F.col("l_tax") * 10 - 0.4).alias("x"),
+        F.pmod("l_orderkey", F.lit(N_BLOCKS)).cast("int").alias("part_id"),
+    )
+
+
+EX_PRICE = """
+price AS (SELECT l_orderkey AS id, CAST(CASE WHEN l_extendedprice > 35000 THEN 1 ELSE -1 END AS DOUBLE) AS y,
+                 l_quantity / 50 - 0.5::DOUBLE AS a, l_tax * 10 - 0.4::DOUBLE AS b,
+                 CAST(l_orderkey % 8 AS INTEGER) AS part_id FROM lineitem)"""
+
+
 def ex_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, y, size, idx, val, part_id): all coordinates, coordinate j at place
     3 * j + id % 3, so that a third of the places of a row is filled."""

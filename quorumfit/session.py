@@ -34,13 +34,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{_PREFIX}{label}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop objects."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table made through :func:`fresh_path`; refuses others."""
     if not path.startswith(f"{shared_dir(spark)}/{_PREFIX}"):
         raise ValueError(f"not a scratch path: {path}")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = hadoop_path(spark, path)
+    files.delete(target, True)
 
 
 def local_session(cpus: int | str = "*", name: str = "quorumfit", **conf: str) -> SparkSession:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quorumfit.functions.logistic import to_signed_label
 from quorumfit.schemas import METRICS
+from quorumfit.sources.places import PLACE, numbered, with_places
 
 HIGGS_FEATURES = 28
 
@@ -16,7 +17,8 @@ def read_dense_csv(spark: SparkSession, path: str, width: int = HIGGS_FEATURES)
     """Headerless rows of a 0/1 label and ``width`` doubles -> (id, y in -1/+1, x).
 
     The label is read as text because a file may start with a byte-order mark. An empty
-    label, or one that is not 0 or 1, is an error.
+    label, or one that is not 0 or 1, is an error. ``id`` is the number of the row in the
+    files, however they are split; counting the rows of the splits is a pass over the labels.
     """
     names = [f"c{j}" for j in range(1, width + 1)]
     schema = T.StructType(
@@ -24,15 +26,9 @@ def read_dense_csv(spark: SparkSession, path: str, width: int = HIGGS_FEATURES)
         + [T.StructField(name, T.DoubleType()) for name in names]
     )
     label = F.regexp_replace("label", "^﻿", "").cast("double")
-    return (
-        spark.read.schema(schema)
-        .option("mode", "FAILFAST")
-        .csv(path)
-        .select(
-            F.monotonically_increasing_id().alias("id"),
-            to_signed_label(label).alias("y"),
-            F.array(*names).alias("x"),
-        )
+    rows = with_places(spark.read.schema(schema).option("mode", "FAILFAST").csv(path))
+    return numbered(rows, rows.select("label", *PLACE)).select(
+        "id", to_signed_label(label).alias("y"), F.array(*names).alias("x")
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from quorumfit.sources.csv import read_dense_csv
-from quorumfit.sources.libsvm import read_libsvm, read_libsvm_tolerant
+from quorumfit.sources.libsvm import ParsedLines, read_libsvm, read_libsvm_tolerant
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,17 @@ def reader_of(dataset: str, reader: str | None = None) -> str:
     return reader or known.reader
 
 
+def accepted(parsed: ParsedLines, path: str, on_refused: str = "raise") -> DataFrame:
+    """The examples, unless lines were refused and that is to raise."""
+    if on_refused not in ("raise", "accept"):
+        raise ValueError("on_refused is 'raise' or 'accept'")
+    refused = parsed.rejected.count() if on_refused == "raise" else 0
+    if refused:
+        parsed.release()
+        raise ValueError(f"{refused} lines of {path} were refused")
+    return parsed.examples
+
+
 def load_dataset(
     spark: SparkSession,
     path: str,
@@ -75,10 +86,7 @@ def load_dataset(
         return read_dense_csv(spark, path, num_features or 28)
     if reader == "tolerant":
         parsed = read_libsvm_tolerant(spark, path, index_base, num_features)
-        refused = parsed.rejected.count() if on_refused == "raise" else 0
-        if refused:
-            raise ValueError(f"{refused} lines of {path} were refused")
-        return parsed.examples
+        return accepted(parsed, path, on_refused)
     if reader == "libsvm":
         return read_libsvm(spark, path, num_features)
     raise ValueError(f"unknown reader {reader!r}")

@@ -11,7 +11,7 @@ from quorumfit.operators import evaluate
 from quorumfit.operators import local_solve as LS
 from quorumfit.operators import steps
 from quorumfit.plans.estimator import ConsensusLogisticRegression
-from quorumfit.plans.updater import SquaredL2
+from quorumfit.plans.updater import ElasticNet, SquaredL2
 from quorumfit.registry import fixtures as X
 from quorumfit.sources.libsvm import to_ml_vectors
 
@@ -268,3 +268,132 @@ def test_loss_does_not_overflow():
 def test_vector_literal_rejects_non_finite():
     with pytest.raises(ValueError, match="non-finite"):
         V.vector_literal([1.0, float("nan")])
+
+
+def test_ladder_takes_the_steps_of_the_plain_search():
+    rng = np.random.default_rng(3)
+    x, y = 30 * rng.normal(size=(80, 4)), rng.choice([-1.0, 1.0], 80)
+    rows, problem = LS.Rows(y, [], [], x.ravel(), 4), LS.LocalProblem(4, 80, tol=1e-10)
+    target = rng.normal(size=4)
+    plain, ladder = problem.start(np.zeros(4)), problem.start(np.zeros(4))
+    while not plain.done:
+        loss, grad = rows.loss_gradient(plain.trial(), problem.loss)
+        problem.observe(plain, 80, loss, grad, target, 0.01)
+    passes = 0
+    while not ladder.done:
+        passes += 1
+        steps_tried = [0.0] if ladder.f is None else [ladder.t * 0.5**k for k in range(LS.LADDER)]
+        sums = np.zeros(LS.LADDER + LS.LADDER_GRADIENTS * 4)
+        for k, t in enumerate(steps_tried):
+            at = ladder.x if ladder.f is None else ladder.x + t * ladder.d
+            sums[k], grad = rows.loss_gradient(at, problem.loss)
+            if k < LS.LADDER_GRADIENTS:
+                sums[LS.LADDER + 4 * k : LS.LADDER + 4 * k + 4] = grad
+        problem.observe_ladder(ladder, 80, sums, target, 0.01)
+    assert np.abs(plain.x - ladder.x).max() < 1e-8
+    assert passes < plain.evaluations
+
+
+def test_one_pass_over_the_data_a_step(rows, monkeypatch):
+    begun, passes = [], []
+    start, sums = LS.LocalProblem.start, LS.ladder_sums
+    monkeypatch.setattr(LS.LocalProblem, "start", lambda p, w: begun.append(start(p, w)) or begun[-1])
+    monkeypatch.setattr(LS, "ladder_sums", lambda *a: passes.append(1) or sums(*a))
+    ConsensusLogisticRegression(placement="across", max_iter=1, rho=0.01).fit(rows)
+    assert len(begun) == 8 and max(s.steps for s in begun) > 2
+    assert len(passes) <= max(s.steps for s in begun) + 1
+
+
+def test_spectral_penalty_settles(rows):
+    """Where balancing has not settled after 50 iterations, the spectral penalty has."""
+    even = rows.filter("id < 496").withColumn("part_id", (F.col("id") % 8).cast("int"))
+    model = ConsensusLogisticRegression(criterion="both", penalty="spectral").fit(even)
+    assert model.converged and model.iterations <= 20
+    expected = ridge(even, 2 * 0.01 / 8).coefficients.toArray()
+    assert np.abs(model.weights - expected).max() < 0.02 * np.abs(expected).max()
+
+
+def test_spectral_curvature_of_a_quadratic():
+    move, hessian = np.array([1.0, -2.0, 0.5]), np.diag([3.0, 3.0, 3.0])
+    change = hessian @ move
+    assert steps.spectral_curvature(move @ move, move @ change, change @ change) == pytest.approx(3.0)
+    assert steps.spectral_curvature(1.0, 0.1, 1.0) is None
+    assert steps.spectral_curvature(0.0, 0.0, 0.0) is None
+    assert steps.spectral_penalty(2.0, 10, None, None) == 2.0
+    assert steps.spectral_penalty(2.0, 10, 1e9, None) == 4.0
+
+
+def test_lasso_is_exactly_zero_under_a_high_price(rows):
+    model = ConsensusLogisticRegression(
+        updater=ElasticNet(0.5), penalty="spectral", max_iter=12
+    ).fit(rows)
+    assert not model.weights.any()
+    with pytest.raises(ValueError, match="l1_ratio"):
+        ElasticNet(0.5, 1.5)
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("placement, penalty", [("task", "spectral"), ("across", "balance")])
+def test_a_stopped_fit_goes_on(spark, rows, monkeypatch, tmp_path, placement, penalty):
+    options = dict(placement=placement, penalty=penalty, max_iter=5)
+    whole = ConsensusLogisticRegression(**options).fit(rows)
+    folder, summary, rounds = f"{tmp_path}/journal", steps.state_summary, []
+
+    def failing(state):
+        rounds.append(1)
+        if len(rounds) == 4:
+            raise Stopped
+        return summary(state)
+
+    monkeypatch.setattr(steps, "state_summary", failing)
+    with pytest.raises(Stopped):
+        ConsensusLogisticRegression(**options).fit(rows, checkpoint=folder)
+    with pytest.raises(ValueError, match="resume"):
+        ConsensusLogisticRegression(**options).fit(rows, checkpoint=folder)
+    with pytest.raises(ValueError, match="stopped fit"):
+        ConsensusLogisticRegression(**options).fit(rows.filter("id > 5"), checkpoint=folder, resume=True)
+    model = ConsensusLogisticRegression(**options).fit(rows, checkpoint=folder, resume=True)
+    assert len(rounds) == 4 + 2 and model.iterations == 5
+    for a, b in zip(whole.trace.orderBy("iteration").collect(), model.trace.orderBy("iteration").collect()):
+        assert a["iteration"] == b["iteration"] and a["converged"] == b["converged"]
+        assert [a[c] for c in ("primal", "dual", "rho", "z_norm")] == pytest.approx(
+            [b[c] for c in ("primal", "dual", "rho", "z_norm")], rel=1e-7)
+    assert np.abs(model.weights - whole.weights).max() < 1e-7
+    assert len(list((tmp_path / "journal").glob("state-*"))) == 1
+
+
+def test_rows_without_a_key_keep_their_chunks(rows, tmp_path):
+    folder, bare = f"{tmp_path}/journal", rows.drop("id")
+    ConsensusLogisticRegression(max_iter=2).fit(bare, checkpoint=folder)
+    model = ConsensusLogisticRegression(max_iter=4).fit(bare.repartition(3), checkpoint=folder, resume=True)
+    assert model.iterations == 4 and len(list((tmp_path / "journal").glob("chunks-*"))) == 1
+
+
+def test_a_sweep_exchanges_its_data_once(rows):
+    """Blocks of every count are those of a fit of its own, and no fit moves the data."""
+    nested = B.NestedBlocks.prepare(rows, [2, 3, 4])
+    try:
+        for count in (2, 3, 4):
+            alone = ConsensusLogisticRegression(n_blocks=count, max_iter=2).fit(rows)
+            for placement in ("task", "across"):
+                model = ConsensusLogisticRegression(n_blocks=count, max_iter=2, placement=placement).fit(rows, nested=nested)
+                assert np.abs(model.weights - alone.weights).max() < 1e-9
+            sizes = lambda m: sorted((r["part_id"], r["n"]) for r in m.state.select("part_id", "n").collect())
+            assert sizes(model) == sizes(alone)
+            located = nested.located_of(count)
+            state = nested.slots_of(B.block_sizes(nested.chunks_of(count)).select("part_id", "n"), count)
+            state = rows.sparkSession.createDataFrame(
+                steps.initial_state(state, 64).withColumn("evaluations", F.lit(0)).toArrow()
+            )
+            z = rows.sparkSession.sparkContext.broadcast(np.zeros(64))
+            solved = LS.solve_in_task(located, state, LS.LocalProblem(64, 500), z, 1.0, first=True)
+            plan = solved._jdf.queryExecution().executedPlan().toString()
+            data_side = plan[: plan.index("InMemoryRelation")]
+            assert "Exchange" not in data_side and "Sort" not in data_side
+    finally:
+        nested.release()
+    with pytest.raises(ValueError, match="key"):
+        B.NestedBlocks.prepare(rows.drop("id"), [2, 3])

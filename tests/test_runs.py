@@ -1,10 +1,13 @@
 """Experiment runs, their records and reports."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from quorumfit.operators import blocks as B
-from quorumfit.plans import compare, runs
+from quorumfit.plans import batch, compare, runs
 from quorumfit.registry import fixtures as X
 from quorumfit.session import drop_path, fresh_path
 from quorumfit.sources import libsvm
@@ -52,6 +55,39 @@ def test_run_log_numbers_runs_per_key(spark, result):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_writers_at_the_same_time_get_different_numbers(spark, result, monkeypatch):
+    """Both look at the log before either writes to it."""
+    path, claim = fresh_path(spark, "log"), runs.claim_numbers
+    runs.append_run(result.metrics, path)
+    both_looked = threading.Barrier(2, timeout=60)
+
+    def late(*arguments):
+        both_looked.wait()
+        return claim(*arguments)
+
+    monkeypatch.setattr(runs, "claim_numbers", late)
+    with ThreadPoolExecutor(2) as pool:
+        numbers = list(pool.map(lambda _: runs.append_run(result.metrics, path), range(2)))
+    assert sorted(numbers) == [2, 3]
+    assert sorted(r[0] for r in spark.read.parquet(path).select("run_id").collect()) == [1, 2, 3]
+
+
+def test_claims_of_several_numbers(spark):
+    path, key = fresh_path(spark, "log"), ("4_1", "higgs", "admm", 8)
+    claim = lambda start, count: runs.claim_numbers(spark, path, key, start, count)
+    assert [claim(1, 5), claim(1, 2), claim(1, 1), claim(9, 3), claim(6, 1)] == [1, 6, 8, 9, 12]
+    assert runs.claim_numbers(spark, path, ("4_1", "rcv1", "admm", 8), 1, 1) == 1
+
+
+def test_batch_entry(spark, sf_dir, tmp_path):
+    rows = X.as_sparse(X.ex_pair(spark, sf_dir))
+    libsvm.write_libsvm(rows, f"{tmp_path}/in", base=1)
+    batch.main([f"{tmp_path}/in", "4", f"{tmp_path}/out", "--max-iter", "3", "--num-features", "2"])
+    assert runs.read_weights(spark, f"{tmp_path}/out").count() == 2
+    with pytest.raises(SystemExit):
+        batch.main([f"{tmp_path}/in", "0", f"{tmp_path}/out"])
+
+
 def test_run_name(result):
     name = runs.run_name(result.row, 3, "15k", "10k")
     assert name.startswith("higgs_") and name.endswith("_15k_10k_%s_3_8part" % result.row["algorithm"])

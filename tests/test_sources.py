@@ -129,3 +129,66 @@ def test_metrics_files(spark, tmp_path):
     assert sorted((r["source_file"], r["dataset"]) for r in got) == [
         ("a_metrics.csv", "higgs"), ("b_metrics.csv", "rcv1"),
     ]
+
+
+def _at_two_split_sizes(spark, read):
+    """What ``read`` gives with files in one split and in many."""
+    found = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read()
+            found.append((rows.rdd.getNumPartitions(), sorted(map(str, rows.collect()))))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (few, one), (many, two) = found
+    assert many > 2 * few and one == two
+    return one
+
+
+@pytest.mark.parametrize("kind", ["libsvm", "tolerant", "csv"])
+def test_ids_do_not_depend_on_the_splits(spark, tmp_path, kind):
+    """Blocks and sides of rows stay when the same files are split otherwise."""
+    lines = [f"{1 if k % 3 else -1} 1:{k}.5 2:{k % 7}.25" for k in range(900)]
+    if kind == "csv":
+        lines = [f"{k % 2},{k}.5,{k % 7}.25" for k in range(900)]
+    for name, part in (("b", lines[:500]), ("a", lines[500:800]), ("c", lines[800:])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(part) + "\n")
+    (tmp_path / "d.txt").write_text("\n" * 5000)  # blank lines only
+
+    def read():
+        if kind == "csv":
+            rows = read_dense_csv(spark, str(tmp_path), 2).withColumn("v", F.get("x", F.lit(0)))
+        elif kind == "tolerant":
+            rows = libsvm.read_libsvm_tolerant(spark, str(tmp_path)).examples
+            rows = rows.withColumn("v", F.get("val", F.lit(0)))
+        else:
+            rows = libsvm.read_libsvm(spark, str(tmp_path), 2).withColumn("v", F.get("val", F.lit(0)))
+        train, test = B.hash_split(B.assign_blocks(rows, 5, "id"), "id", 0.8)
+        sides = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+        return sides.select("id", "v", "part_id", "side")
+
+    got = _at_two_split_sizes(spark, read)
+    order = [*range(500, 800), *range(500), *range(800, 900)]
+    rows = sorted((r["id"], r["v"]) for r in read().collect())
+    assert rows == [(k, n + 0.5) for k, n in enumerate(order)] and len(got) == 900
+
+
+def test_text_is_read_once(spark, tmp_path):
+    """Base, dimension, numbers and examples come from one scan of the text."""
+    (tmp_path / "t.txt").write_text("1 0:2.0 5:1.0\n\n-1 3:1.0\nx 1:1\n")
+    parsed = libsvm.read_libsvm_tolerant(spark, str(tmp_path))
+    (tmp_path / "t.txt").unlink()
+    rows = [(r["id"], r["y"], r["idx"]) for r in parsed.examples.orderBy("id").collect()]
+    assert rows == [(0, 1.0, [0, 5]), (2, -1.0, [3])] and parsed.num_features == 6
+    assert [(r["id"], r["line"]) for r in parsed.rejected.collect()] == [(3, "x 1:1")]
+    plan = parsed.examples._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan parquet" in plan
+    parsed.release()
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("")
+    parsed = libsvm.read_libsvm_tolerant(spark, str(tmp_path))
+    assert parsed.examples.count() == 0 and (parsed.index_base, parsed.num_features) == (1, 1)
+    assert read_dense_csv(spark, str(tmp_path), 2).count() == 0
