@@ -15,36 +15,51 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return scores / scores.sum(-1, keepdims=True)
 
 
+def _feature_sums(features: np.ndarray, error: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of ``error`` (tokens x labels) for every feature number."""
+    flat, slots = features.ravel(), features.shape[1]
+    return np.stack(
+        [np.bincount(flat, weights=np.repeat(e, slots), minlength=size) for e in error.T], axis=1
+    )
+
+
 def fit_unary(features: np.ndarray, labels: np.ndarray, size: int, n_labels: int,
-              steps: int = 200, decay: float = 1e-3) -> np.ndarray:
-    """Multinomial logistic regression by full-batch Adagrad."""
+              steps: int = 200, decay: float = 1e-3, counts: np.ndarray | None = None) -> np.ndarray:
+    """Multinomial logistic regression by full-batch Adagrad; ``counts`` says how many
+    examples each row stands for."""
     weights = np.zeros((size, n_labels))
     squares = np.full_like(weights, 1e-6)
     target = np.eye(n_labels)[labels]
+    counts = np.ones(len(labels)) if counts is None else np.asarray(counts, float)
+    total = counts.sum()
     for _ in range(steps if len(labels) else 0):
-        error = (_softmax(unary(weights, features)) - target) / len(labels)
-        gradient = decay * weights / len(labels)
-        for slot in range(features.shape[1]):
-            np.add.at(gradient, features[:, slot], error)
+        error = (_softmax(unary(weights, features)) - target) * (counts / total)[:, None]
+        gradient = decay * weights / total + _feature_sums(features, error, size)
         squares += gradient**2
         weights -= 0.5 * gradient / np.sqrt(squares)
     return weights
 
 
-def pair_potential(first: np.ndarray, second: np.ndarray, n_labels: int) -> np.ndarray:
-    """log P(l, m) / P(l) P(m) of label pairs, smoothed; zero without pairs."""
-    counts = np.full((n_labels, n_labels), 0.5)
-    np.add.at(counts, (first, second), 1.0)
-    p = counts / counts.sum()
+def pair_potential(first: np.ndarray, second: np.ndarray, n_labels: int,
+                   counts: np.ndarray | None = None, agree: float = 0.0) -> np.ndarray:
+    """log P(l, m) / P(l) P(m) of label pairs, smoothed; zero without pairs. ``counts`` says how
+    many pairs each stands for, ``agree`` how many more pairs of equal labels are assumed."""
+    seen = np.full((n_labels, n_labels), 0.5) + agree * np.eye(n_labels)
+    np.add.at(seen, (first, second), 1.0 if counts is None else np.asarray(counts, float))
+    p = seen / seen.sum()
     potential = np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True)))
-    return potential if len(first) else np.zeros_like(potential)
+    return potential if len(first) or agree else np.zeros_like(potential)
 
 
 def loopy_marginals(scores: np.ndarray, edges: np.ndarray, potentials: np.ndarray,
-                    kinds: np.ndarray, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
+                    kinds: np.ndarray, rounds: int = 1000, damping: float = 0.3,
+                    settled: float = 1e-6) -> np.ndarray:
     """Label marginals by damped sum-product messages over any pairwise graph.
 
-    ``edges`` (pairs of tokens) of kind k have the log potential ``potentials[k]``.
+    ``edges`` (pairs of tokens) of kind k have the log potential ``potentials[k]``. Messages
+    go on until none changes by more than ``settled``, or for ``rounds`` rounds where they
+    never settle; messages that have settled are not sent again until what they come from
+    changes.
     """
     if not len(edges):
         return _softmax(scores)
@@ -54,15 +69,23 @@ def loopy_marginals(scores: np.ndarray, edges: np.ndarray, potentials: np.ndarra
     half = len(edges)
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
     messages = np.zeros((2 * half, scores.shape[1]))
+    belief, active = scores.copy(), np.arange(2 * half)
     for _ in range(rounds):
-        belief = scores.copy()
-        np.add.at(belief, target, messages)
-        cavity = _softmax(belief[source] - messages[back])
-        new = np.log(np.einsum("el,elm->em", cavity, pair) + 1e-30)
+        cavity = _softmax(belief[source[active]] - messages[back[active]])
+        new = np.log(np.einsum("el,elm->em", cavity, pair[active]) + 1e-30)
         new -= new.max(1, keepdims=True)
-        messages = damping * messages + (1 - damping) * new
-    belief = scores.copy()
-    np.add.at(belief, target, messages)
+        new = damping * messages[active] + (1 - damping) * new
+        change = new - messages[active]
+        messages[active] = new
+        np.add.at(belief, target[active], change)
+        moved = active[np.abs(change).max(1) > settled]
+        if not len(moved):
+            break
+        touched = np.zeros(len(scores), bool)
+        touched[target[moved]] = True
+        again = touched[source]
+        again[moved] = True
+        active = np.flatnonzero(again)
     return _softmax(belief)
 
 
@@ -116,9 +139,7 @@ def fit_chain(features: np.ndarray, labels: np.ndarray, starts: np.ndarray, size
     np.add.at(seen, (labels[np.flatnonzero(inner) - 1], labels[inner]), 1.0)
     for _ in range(steps):
         marginals, expected = chain_marginals(unary(weights, features), starts, moves)
-        gradient, error = decay * weights, marginals - target
-        for slot in range(features.shape[1]):
-            np.add.at(gradient, features[:, slot], error)
+        gradient = decay * weights + _feature_sums(features, marginals - target, size)
         move_gradient = expected - seen + decay * moves
         squares += gradient**2
         move_squares += move_gradient**2

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumfit.llm.tables import attach_groups, written
+from quorumfit.llm.tables import attach_groups, packed, unpacked, written
 
 #: A chunk ends after a vowel, a separator and a letter of the first half of the alphabet,
 #: 512 characters after its start at the earliest and 4,096 at the latest.
@@ -86,20 +86,27 @@ def exact_groups(docs: DataFrame, identify=chunk_id) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, one of each text, with all their columns.
 
-    Of rows that repeat a doc_id and its text one stays. Rows without doc_id stay.
+    The verdict is on doc_id and text together, so a doc_id that has several texts keeps
+    each of them that is no copy. Of rows that repeat a doc_id and its text one stays; a
+    text all of whose rows lack a doc_id keeps one of them. Columns may have any names.
     """
-    groups = written(exact_groups(docs), "groups")
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    many = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
-    again = written(many.where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return stay
-    same = Window.partitionBy("doc_id", F.sha2(normal_text(F.col("text")), 256)).orderBy(F.lit(1))
-    first = stay.join(again, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(same))
-    return (
-        stay.join(again, "doc_id", "left_anti").select(docs.columns)
-        .unionByName(first.where("_turn = 1").select(docs.columns))
+    groups = exact_groups(docs).where("kept")
+    verdict = written(
+        groups.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("again")), "kept"
     )
+    rows = packed(docs).withColumn(
+        "sha", F.sha2(normal_text(F.col("row")["text"]).cast("binary"), 256)
+    ).withColumn("id", F.col("row")["doc_id"])
+
+    def among(of: DataFrame) -> DataFrame:
+        same = (F.col("sha") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("doc_id"))
+        return rows.join(of.select("doc_id", "text_sha256"), same, "left_semi")
+
+    repeated = verdict.where("again > 1")
+    if repeated.isEmpty():
+        return unpacked(among(verdict), docs)
+    one = Window.partitionBy("id", "sha").orderBy(F.lit(1))
+    first = among(repeated).withColumn("turn", F.row_number().over(one)).where("turn = 1")
+    return unpacked(among(verdict.where("again = 1")), docs).unionByName(unpacked(first, docs))

@@ -46,7 +46,7 @@ ENDS_P = frozenset(
 )
 #: Regions that are no main text, by element, and by a word of class, id or role.
 FURNITURE = frozenset(
-    "head title nav footer aside form button select dialog menu figcaption".split()
+    "head title nav footer aside form button select dialog menu".split()
 )
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead banner ad ads "
@@ -68,8 +68,10 @@ CONTENT = frozenset(
 )
 
 LONGEST_GROUP = 12
-#: Elements nested deeper leave no tags in the stream.
+#: Elements nested deeper leave no tags in the stream; those that are furniture leave no text.
 DEEPEST = 100
+#: What a form must hold to be the frame of a page.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 article main blockquote pre".split())
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -92,11 +94,12 @@ def stream(page: str) -> tuple[list[str], list[str]]:
     texts: list[str] = []
     open_tags: list[str] = []
     piece: list[str] = []
+    hidden: list[int] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(piece)).split()) if piece else ""
         piece.clear()
-        if text:
+        if text and not hidden:
             out.append("#")
             texts.append(text)
 
@@ -105,6 +108,8 @@ def stream(page: str) -> tuple[list[str], list[str]]:
             name = open_tags.pop().split(".", 1)[0]
             if len(open_tags) < DEEPEST:
                 out.append("/" + name)
+            elif hidden and hidden[-1] == len(open_tags):
+                hidden.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -142,6 +147,8 @@ def stream(page: str) -> tuple[list[str], list[str]]:
         name = _signature(tag, m[3])
         if len(open_tags) < DEEPEST:
             out.append(name)
+        elif _names_furniture(name):
+            hidden.append(len(open_tags))
         open_tags.append(name)
     flush()
     close(0)
@@ -247,24 +254,32 @@ def holders(found: list[tuple[tuple, str]]) -> frozenset[tuple]:
     """Paths of elements that hold the page's article or most of its text.
 
     Words of class, id or role say nothing about them ("has-sidebar", "no-comments"), and a
-    form around the page is no form. Menus and comments may hold most of a page, so what is
+    form around the page is no form: one that holds nine tenths of what is not named as
+    furniture, prose among it. Menus and comments may hold most of a page, so what is
     named like them must be named as content, too, or hold nine tenths. Text in furniture
     elements does not count.
     """
     sizes: dict[tuple, int] = {}
-    whole, out = 0, set()
+    whole, loose, out, prose = 0, 0, set(), set()
     for path, text in found:
         tags = [name.split(".", 1)[0] for name in path[:-1]]
         if any(t in FURNITURE and t != "form" for t in tags):
             continue
         whole += len(text)
+        if not any(_names_furniture(n) for n, t in zip(path, tags) if t not in ("html", "body", "form")):
+            loose += len(text)
         for k in range(1, len(path)):
             sizes[path[:k]] = sizes.get(path[:k], 0) + len(text)
+            if any(tag in PROSE for tag in tags[k:]):
+                prose.add(path[:k])
         for k, tag in enumerate(tags):
             if tag in MAIN and not _names_furniture(path[k]):
                 out.update(path[:n] for n in range(1, k + 1))
     for path, size in sizes.items():
-        words = set(path[-1].split("."))
+        tag, *words = path[-1].split(".")
+        words = set(words)
+        if tag == "form" and not (path in prose and 10 * size > 9 * loose):
+            continue
         named = not words & LONG_WORDS or words & (MAIN_WORDS - {"main"})
         if 10 * size > 9 * whole or (named and 2 * size > whole):
             out.add(path)
@@ -281,7 +296,8 @@ def furniture(path: tuple, held: frozenset[tuple] = frozenset(), words: bool = T
     for k, name in enumerate(path[:-1]):
         tag = name.split(".", 1)[0]
         plain = not words or tag in ("html", "body") or path[: k + 1] in held
-        if (tag in FURNITURE and not (plain and tag == "form")) if plain else _names_furniture(name):
+        frame = tag == "form" and path[: k + 1] in held
+        if (tag in FURNITURE and not frame) if plain else _names_furniture(name):
             return True
         if tag == "header" and not inside:
             return True

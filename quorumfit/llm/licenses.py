@@ -327,6 +327,37 @@ def _seeds(templates: list[tuple[str, list[str], list[int]]]) -> dict[tuple[str,
     return out
 
 
+#: A start that this share of a template's runs agree on is tried by itself.
+AGREED = 0.35
+
+
+def _windows(starts: list[int], length: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of words in which a notice may be, from the starts that its runs tell.
+
+    Starts near one another make one stretch with slack on either side. A start that many
+    runs agree on makes stretches of its own, as long as the template and with the slack
+    cut where other such notices lie: next to another notice the words in the slack occur
+    twice, and no word that does can be an anchor.
+    """
+    slack = max(3, length // 4)
+    votes: dict[int, int] = {}
+    for at in starts:
+        votes[at] = votes.get(at, 0) + 1
+    seen = sorted(votes)
+    first = 0
+    for k in range(1, len(seen) + 1):
+        if k == len(seen) or seen[k] - seen[k - 1] > slack:
+            yield max(0, seen[first] - slack), min(end, seen[k - 1] + length + slack)
+            first = k
+    agreed = [at for at in seen if votes[at] >= AGREED * (length - 2)]
+    for k, at in enumerate(agreed):
+        before = agreed[k - 1] + length if k else 0
+        after = agreed[k + 1] if k + 1 < len(agreed) else end
+        yield max(0, at), min(end, at + length)
+        low, high = max(0, at - slack, min(before, at)), min(end, at + length + slack, max(after, at + length))
+        yield low, high
+
+
 def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
     """(license, start, end, coverage) of the notices of a text, in order and apart.
 
@@ -341,24 +372,15 @@ def find_in(text: str, templates, seeds, coverage: float) -> list[tuple]:
     hits = []
     for t, where in starts.items():
         name, wanted, must = templates[t]
-        slack = max(3, len(wanted) // 4)
-        groups: list[list[int]] = []
-        for at in sorted(where):
-            if groups and at - groups[-1][-1] <= slack:
-                groups[-1].append(at)
-            else:
-                groups.append([at])
-        for group in groups:
-            low = max(0, group[0] - slack)
-            high = min(len(words), group[-1] + len(wanted) + slack)
+        for low, high in dict.fromkeys(_windows(where, len(wanted), len(words))):
             pairs = patience(words[low:high], wanted)
             share = len(pairs) / len(wanted)
             whole = [(low + i, j) for i, j in pairs]
             if share >= coverage and not refused(name, wanted, must, words, whole):
-                first, last = low + pairs[0][0], low + pairs[-1][0]
-                hits.append((-len(pairs) * share, name, found[first][1], found[last][2], share))
+                first, last = whole[0][0], whole[-1][0]
+                hits.append((-len(pairs) * share, last - first, name, found[first][1], found[last][2], share))
     chosen: list[tuple] = []
-    for _, name, start, end, share in sorted(hits):
+    for _, _, name, start, end, share in sorted(hits):
         if all(end <= a or start >= b for _, a, b, _ in chosen):
             chosen.append((name, start, end, share))
     return sorted(chosen, key=lambda h: (h[1], h[0]))
@@ -371,10 +393,13 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.85,
     Three-word runs shared with a template say where a notice may be; there the words of
     the text are aligned with the template's, and a notice is found where at least
     ``coverage`` of the template's words match, all versions and words that tell sister
-    licenses apart among them. Overlapping finds leave the one with the most matched words. ``licenses`` are the distinct names, sorted and comma-joined;
-    ``spans`` are name:start:end in code points, end exclusive. Whole texts are read, in
-    one pass without a shuffle. Null text has no words; repeated rows and null doc_ids stay
-    rows; other columns are ignored.
+    licenses apart among them. Notices may follow one another without a gap. Overlapping finds
+    leave the one with the most matched words, of equal ones the shortest, then the first by name.
+    ``licenses`` are the distinct names, sorted and comma-joined; ``spans`` are
+    name:start:end in code points, end exclusive. Whole texts, however long, are read in one
+    pass without a shuffle. Null text has no words; repeated rows and null doc_ids stay
+    rows; other columns are ignored, whatever their names. An empty table gives an empty
+    table.
     """
     split = [(n, [w for w, _, _ in tokens(t)]) for n, ts in (templates or TEMPLATES).items() for t in ts]
     texts = [(n, words, marked(n, words)) for n, words in split]

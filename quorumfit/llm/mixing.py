@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumfit.llm.tables import attach_groups, written
+from quorumfit.llm.tables import attach_groups, packed, unpacked, written
 
 BLOCK = 2_000
 FAN_IN = 64
+#: Rows of one key made by one array.
+REPEATS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -93,12 +97,12 @@ def _settled(value: float) -> float:
     return 0.0 if value < 1e-9 else 1.0 if value > 1 - 1e-9 else value
 
 
-_SHAPE = "row long, source string, size long, base long, p double, block long, open boolean"
+_SHAPE = "row long, row_2 long, source string, size long, base long, p double, block long, open boolean"
 
 
 def _round_block(seed: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "row"], ascending=[False, True], ignore_index=True)
+        frame = frame.sort_values(["size", "row", "row_2"], ascending=[False, True, True], ignore_index=True)
         p, open_at = pivot(
             frame["row"].to_numpy(), frame["size"].to_numpy(float), frame["p"].to_numpy(), seed
         )
@@ -122,16 +126,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, limit: fl
 
     Draws are hashes of ids, so reruns agree however rows are spread. Null text has size 0
     and is not taken; null sources form one source, the last. Rows of one doc_id that
-    repeat are told apart by size and number. An empty table gives an empty table.
+    repeat are told apart by source, text and number (``text_hash`` and ``again`` of the
+    result). Very long texts are counted where they are. Other columns are ignored,
+    whatever their names. An empty table gives an empty table.
     """
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    each = docs.select(
+        docs["doc_id"].alias("doc_id"), docs["source"].alias("source"),
+        F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _text_hash(docs["text"]).alias("text_hash"),
     )
-    again = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
+    key = ["doc_id", "source", "size", "text_hash"]
+    counted = each.groupBy(*key).agg(F.count("*").alias("n"))
+    chunk = F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(REPEATS).cast("long"))
+    part = counted.select(*key, "n", F.explode(chunk).alias("first"))
+    last = F.least(F.col("n"), F.col("first") + REPEATS - 1)
     sized = written(
-        sized.withColumn("_again", F.row_number().over(again))
-        .withColumn("row", F.xxhash64("doc_id", "source", "size", "_again")),
+        part.select(*key, F.explode(F.sequence("first", last)).alias("again"))
+        .withColumn("row", F.xxhash64(*key, "again"))
+        .withColumn("row_2", F.xxhash64(F.lit(2), *key, "again")),
         "sized",
     )
     targets = written(source_targets(sized, weights, share, limit), "targets")
@@ -151,11 +163,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, limit: fl
         .withColumn("base", F.floor(due + 1e-9))
         .withColumn("p", F.greatest(due - F.col("base"), F.lit(0.0)))
         .withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.col("blocks")))
-        .select("doc_id", "row", "source", "size", "source_size", "target", "base", "p", "block"),
+        .select("doc_id", "text_hash", "again", "row", "row_2", "source", "size", "source_size", "target", "base", "p", "block"),
         "dealt",
     )
     level = dealt.select(
-        "row", "source", "size", "base", "p", "block", F.lit(True).alias("open")
+        "row", "row_2", "source", "size", "base", "p", "block", F.lit(True).alias("open")
     )
     rounded, depth = [], 0
     blocks = int(dealt.agg(F.max("block")).first()[0] or 0) + 1
@@ -175,19 +187,43 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, limit: fl
     decided = rounded[0]
     for more in rounded[1:]:
         decided = decided.union(more)
-    copies = decided.select("row", (F.col("base") + F.col("p")).cast("long").alias("copies"))
-    return dealt.join(copies, "row").select(
+    copies = decided.select("row", "row_2", (F.col("base") + F.col("p")).cast("long").alias("copies"))
+    return dealt.join(copies, ["row", "row_2"]).select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), "row",
+        (F.col("copies") * F.col("size")).alias("taken"), "text_hash", "again",
     )
 
 
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    return (
-        docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(docs.columns)
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Rows of one doc_id, source and text that repeat share out the copies of their number,
+    so the words taken are those of :func:`mix`. Columns may have any names.
+    """
+    taken = written(
+        mix(docs, **options).select("doc_id", "source", "text_hash", "again", "copies"), "taken"
+    )
+    key = ["doc_id", "source", "text_hash"]
+    fields = {"doc_id": "doc_id", "source": "source"}
+    rows = packed(docs).select(
+        "row", *[F.col("row")[f].alias(f"own_{c}") for c, f in fields.items()],
+        _text_hash(F.col("row")["text"]).alias("own_text_hash"),
     )
+    same = [F.col(f"own_{c}").eqNullSafe(F.col(c)) for c in key]
+    repeated = taken.where("again > 1").select(*key).distinct()
+    if repeated.isEmpty():
+        found = rows.join(taken.where("copies > 0"), reduce(Column.__and__, same))
+    else:
+        repeated = written(repeated, "repeated")
+        number = F.row_number().over(Window.partitionBy(*[f"own_{c}" for c in key]).orderBy(F.lit(1)))
+        alone = rows.join(repeated, reduce(Column.__and__, same), "left_anti").withColumn("number", F.lit(1))
+        several = rows.join(repeated, reduce(Column.__and__, same), "left_semi").withColumn("number", number)
+        found = alone.unionByName(several).join(
+            taken.where("copies > 0"), reduce(Column.__and__, same) & (F.col("number") == F.col("again"))
+        )
+    copies = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unpacked(copies, docs)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumfit.llm.components import connected_components
-from quorumfit.llm.tables import attach_groups, repeated, salted, written
+from quorumfit.llm.tables import attach_groups, packed, repeated, salted, unpacked, written
 from quorumfit.llm.words import slices, word_hashes, words_of
 
 SHINGLE = 5
@@ -228,6 +228,25 @@ def _links(rows: DataFrame, facts: DataFrame, clusters: DataFrame, percent: int)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each class, with all its columns."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each class, with all its columns.
+
+    The smallest doc_id of a class stays. Rows are judged one by one: rows that share their
+    doc_id with others, and rows without one, are judged under numbers above every doc_id,
+    so each stays if its text is near no other, and goes if it is near one with a doc_id of
+    its own. Texts without words are near nothing and stay. Columns may have any names.
+    """
+    rows = packed(docs).withColumn("id", F.col("row")["doc_id"].cast("long"))
+    facts = rows.agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.max("id").alias("last")
+    ).first()
+    if facts["rows"] > facts["ids"]:
+        many = rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+        spread = F.xxhash64(F.col("row")["text"])
+        marked = attach_groups(rows, many, ["id"], spread)
+        spare = F.monotonically_increasing_id() + F.lit((facts["last"] or 0) + 1)
+        odd = F.col("id").isNull() | F.col("count").isNotNull()
+        # Spare numbers hold only for one reading of the rows, so they are written.
+        rows = written(marked.select("row", F.when(odd, spare).otherwise(F.col("id")).alias("id")), "numbered")
+    texts = rows.select(F.col("id").alias("doc_id"), F.col("row")["text"].alias("text"))
+    kept = near_duplicates(texts, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return unpacked(rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi"), docs)

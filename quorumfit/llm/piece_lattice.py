@@ -15,6 +15,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -25,6 +26,9 @@ BUCKETS = 4096
 #: Longest unit with a lattice of its own; see :func:`encode`.
 LONGEST = 256
 MOST_PIECES = 1_000_000
+#: Characters that tell which lengths of pieces can begin at a place.
+HEAD = 3
+RESULTS = ("n_tokens", "ids", "text_hash", "round_trip")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -163,13 +167,14 @@ def _from_planes(data: bytes, count: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def _pack(pieces: Pieces):
+def _pack(pieces: Pieces, keep: int = 0):
     """Texts to packs of (pack, body).
 
     A body has twelve digits, the length of the next part; the distinct units of the pack in
     ``BUCKETS`` groups by hash (groups end with NUL, units in them with a line end, sorted);
     then, compressed, the texts as ranks of units by frequency and the place of each rank
-    among the units. Negative ranks stand for single characters outside all pieces.
+    among the units, and the ``keep`` further columns of its rows as an Arrow stream.
+    Negative ranks stand for single characters outside all pieces.
     """
     cutter = Cutter(pieces)
 
@@ -201,7 +206,7 @@ def _pack(pieces: Pieces):
         lengths = np.diff(per_word[lists.offsets.to_numpy()])
         return codes[take], lengths, names.filter(pa.array(kept))
 
-    def flush(ids, texts) -> pa.RecordBatch:
+    def flush(ids, texts, others) -> pa.RecordBatch:
         codes, lengths, units = unit_codes(texts)
         n_units = len(units)
         often = np.bincount(codes[codes >= 0], minlength=n_units)
@@ -231,7 +236,7 @@ def _pack(pieces: Pieces):
             head.tobytes(), np.array([i is not None for i in ids], np.int64).tobytes(),
             np.array([i or 0 for i in ids], np.int64).tobytes(),
             np.array(hashes, np.uint64).tobytes(), lengths.astype(np.int64).tobytes(),
-            special.astype(np.int64).tobytes(), _planes(place), _planes(shown),
+            special.astype(np.int64).tobytes(), _planes(place), _planes(shown), _stream(others),
         ])
         packed = zstandard.ZstdCompressor(level=4).compress(plain)
         key = xxhash.xxh64_intdigest(text + packed) - (1 << 63)
@@ -241,35 +246,65 @@ def _pack(pieces: Pieces):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, others, size = [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            rest, begin = batch.select(batch.schema.names[2:]) if keep else None, 0
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 text = text.as_py() or ""
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
                 if size >= PACK:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
+                    if keep:
+                        others.append(rest.slice(begin, k + 1 - begin))
+                    yield flush(ids, texts, others)
+                    ids, texts, others, size, begin = [], [], [], 0, k + 1
+            if keep and begin < batch.num_rows:
+                others.append(rest.slice(begin))
         if ids:
-            yield flush(ids, texts)
+            yield flush(ids, texts, others)
 
     return run
 
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    """Batches as one Arrow stream; nothing for none."""
+    if not batches:
+        return b""
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_batches(batches).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _widths(pieces: Pieces, spark: SparkSession) -> DataFrame:
+    """(head, widths): lengths of the pieces that begin with three characters."""
+    lengths: dict[str, set[int]] = {}
+    for i in pieces.normal:
+        if len(pieces.names[i]) >= HEAD:
+            lengths.setdefault(pieces.names[i][:HEAD], set()).add(len(pieces.names[i]))
+    rows = [(head, sorted(found)) for head, found in lengths.items()]
+    return spark.createDataFrame(rows, "head string, widths array<int>")
+
+
 def edges(words: DataFrame, pieces: Pieces, key: str = "word") -> DataFrame:
     """Lattice of every word: the word's columns and end, start, id, score of each edge.
 
-    All substrings up to the longest piece are joined to the piece table. A character that
-    is no piece of its own has an edge with id -1 - code point and the unknown score.
+    Substrings up to the longest piece are joined to the piece table: those of one and two
+    characters, and of the lengths that pieces with the same first three characters have, as
+    no other substring can be a piece. A character that is no piece of its own has an edge
+    with id -1 - code point and the unknown score.
     """
-    longest = pieces.longest
-    table = pieces.frame(words.sparkSession)
+    spark = words.sparkSession
+    table, left = pieces.frame(spark), F.length(key) - F.col("start")
     spans = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.length(key) - 1)))
-    spans = spans.withColumn(
-        "width",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(key) - F.col("start")))),
-    ).withColumn("piece", F.substring(F.col(key), F.col("start") + 1, F.col("width")))
+    spans = spans.withColumn("head", F.substring(F.col(key), F.col("start") + 1, F.lit(HEAD)))
+    spans = spans.join(F.broadcast(_widths(pieces, spark)), "head", "left")
+    short = F.slice(F.array(*[F.lit(k) for k in range(1, HEAD)]), F.lit(1), F.least(left, F.lit(HEAD - 1)))
+    known = F.coalesce("widths", F.array().cast("array<int>"))
+    spans = spans.withColumn("width", F.explode(F.concat(short, known))).where(F.col("width") <= left)
+    spans = spans.withColumn("piece", F.substring(F.col(key), F.col("start") + 1, F.col("width")))
     joined = spans.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR width = 1")
     return joined.select(
         *words.columns, (F.col("start") + F.col("width")).alias("end"), "start",
@@ -329,8 +364,12 @@ def encode_words(words: DataFrame, pieces: Pieces, by: list[str] | None = None)
     return grouped.select(*keys, "rest.*", path).drop("_one")
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids, text_hash, round_trip of every row of ``docs`` (doc_id, text).
+def encode(
+    docs: DataFrame, pieces: Pieces | None = None, keep: list[str] | None = None, prefix: str = ""
+) -> DataFrame:
+    """doc_id, n_tokens, ids, text_hash, round_trip of every row of ``docs`` (doc_id, text);
+    with ``keep``, its columns of those names after doc_id, and ``prefix`` before the names
+    of the four results.
 
     Text is escaped as SentencePiece does it (a space before, spaces as U+2581) and cut into
     units where no piece can reach across: before spaces, around characters such as line
@@ -344,14 +383,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     reads it, and is cut at ends of that path's pieces, so its parts lose nothing. Characters
     without a piece become byte pieces, or the unknown piece when the model has no bytes.
 
-    Null text is empty text and has no ids; repeated rows and null doc_ids stay rows; other
-    columns are ignored. text_hash is the 64-bit hash of the text; round_trip says whether
+    Null text is empty text and has no ids; repeated rows and null doc_ids stay rows; columns
+    that are not kept are ignored, whatever their names. text_hash is the 64-bit hash of the text; round_trip says whether
     the decoded ids have it.
     """
     pieces = pieces or Pieces.load()
+    keep = keep or []
+    others = [docs[f"`{c}`"].alias(f"other_{k}") for k, c in enumerate(keep)]
     packs = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_pack(pieces), "pack long, body binary")
+        docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *others)
+        .mapInArrow(_pack(pieces, len(keep)), "pack long, body binary")
         .repartition("pack")
     )
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -376,10 +417,13 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     joined = packs.join(named, "pack", "left").select(
         "body", F.array_join(F.transform(F.array_sort("found"), lambda e: e["found"]), "\n").alias("entries")
     )
-    return joined.mapInArrow(
-        _unpack(pieces),
-        "doc_id long, n_tokens long, ids array<int>, text_hash long, round_trip boolean",
-    )
+    shape = T.StructType([
+        T.StructField("doc_id", T.LongType()),
+        *(T.StructField(f"other_{k}", docs.schema[c].dataType) for k, c in enumerate(keep)),
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("text_hash", T.LongType()), T.StructField("round_trip", T.BooleanType()),
+    ])
+    return joined.mapInArrow(_unpack(pieces), shape).toDF("doc_id", *keep, *(prefix + name for name in RESULTS))
 
 
 def _without_fallbacks(ids: np.ndarray, sizes: np.ndarray, pieces: Pieces):
@@ -408,6 +452,8 @@ def _unpack(pieces: Pieces):
         special = np.frombuffer(plain, np.int64, n_special, at)
         place = _from_planes(plain, n_units, at + 8 * n_special)
         codes = _from_planes(plain, m, at + 8 * n_special + 4 * n_units)
+        rest = plain[at + 8 * n_special + 4 * (n_units + m) :]
+        others = pa.ipc.open_stream(rest).read_all().combine_chunks() if rest else None
         data = np.frombuffer((entries or "").encode(), np.uint8)
         line_ends = np.flatnonzero(data == 10)
         if len(line_ends) + bool(len(data)) != n_units:
@@ -440,12 +486,16 @@ def _unpack(pieces: Pieces):
             back = np.array(
                 [xxhash.xxh64_intdigest(t, seed=42) for t in decoded(lists)], np.uint64
             ).view(np.int64)
+            kept = [] if others is None else [
+                c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+                for c in others.slice(low, high - low).columns
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[low:high], mask=has[low:high] == 0), pa.array(np.diff(offsets)),
+                    pa.array(ids[low:high], mask=has[low:high] == 0), *kept, pa.array(np.diff(offsets)),
                     lists, pa.array(hashes[low:high]), pa.array(back == hashes[low:high]),
                 ],
-                ["doc_id", "n_tokens", "ids", "text_hash", "round_trip"],
+                ["doc_id", *(others.schema.names if kept else []), *RESULTS],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

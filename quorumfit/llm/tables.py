@@ -50,6 +50,16 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: C
     return joined.drop("_salt")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as one column ``row``, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` back from ``row``, in their order and with their names."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows at most, chosen by hash of doc_id; all of them when there are fewer."""
     count = docs.count()

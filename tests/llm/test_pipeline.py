@@ -61,7 +61,7 @@ def test_near_stage(spark, table, folder):
     plain = P.without_copies(spark, table, folder)
     kept = P.without_near_copies(spark, plain, folder)
     assert kept.columns == table.columns
-    classes = brute.near_classes([(i, t) for i, t in _rows(plain).values])
+    classes = brute.near_classes([(i, t) for i, t in _rows(plain).values], 80)
     assert sorted(_rows(kept).doc_id) == sorted(i for i, (_, c) in classes.items() if i == c)
 
 
@@ -88,3 +88,71 @@ def test_empty_table(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
     assert isinstance(P.run(spark, str(tmp_path)).toPandas(), pd.DataFrame)
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+#: Rows that share a doc_id or have none, and columns with the names that stages use inside.
+SHARED = [
+    (1, "same text", "a"), (2, "same text", "a"), (1, "only here", "a"), (2, "Same Text", "b"),
+    (3, LONG, "a"), (4, LONG + " eighteen", "a"), (4, "totally other words that nobody else has in a text", "b"),
+    (None, LONG + " and more", "a"), (None, "no id and like no other text of all the texts that are here", None),
+    (None, "no id and like no other text of all the texts that are here", None), (5, None, "a"), (6, "", "a"),
+]
+CLASH = ["_id", "_copies", "_turn", "row", "id", "sha", "copies", "own_doc_id", "text_hash", "again", "number", "kept", "ids"]
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    rows = [(*r, *[f"{k}{c}" for c in CLASH]) for k, r in enumerate(SHARED)]
+    shape = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH)
+    return spark.createDataFrame(rows, shape).withColumn("lang", F.lit("en"))
+
+
+def _texts(df):
+    return sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+
+
+def test_exact_stage_judges_rows_not_ids(spark, shared):
+    kept = P.without_copies(spark, shared, "")
+    assert kept.columns == shared.columns
+    got = _texts(kept)
+    assert len(got) == len({brute.lower(t) for _, t in got}) == len({brute.lower(t) for _, t, _ in SHARED})
+    assert ("1", "only here") in got and ("1", "same text") not in got and ("6", "") in got
+
+
+def test_near_stage_judges_rows_not_ids(spark, shared):
+    plain = P.without_copies(spark, shared, "")
+    kept = P.without_near_copies(spark, plain, "")
+    got = _texts(kept)
+    assert kept.columns == shared.columns
+    assert ("4", "totally other words that nobody else has in a text") in got and ("3", LONG) in got
+    assert ("4", LONG + " eighteen") not in got and ("None", LONG + " and more") not in got
+    assert sum(t.startswith("no id") for _, t in got) == 1 and ("1", "only here") in got
+
+
+def test_mixing_stage_takes_rows_not_ids(spark, shared):
+    taken = P.mixed(spark, shared, "")
+    assert taken.columns == shared.columns
+    want = mixing.mix(shared).toPandas()
+    assert len(want) == len(SHARED)
+    words = taken.select(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert words == want.taken.sum()
+    # Every row as often as one of the rows like it is due.
+    rows = taken.groupBy("_id").count().toPandas()["count"]
+    assert rows.max() <= 2 and rows.sum() == want.copies[want["size"] > 0].sum()
+
+
+def test_encoding_stage_carries_the_columns(spark, shared):
+    out = P.encoded(spark, shared, "")
+    assert set(shared.columns) - {"text"} <= set(out.columns) and "__ids" not in out.columns
+    names = [c for c in out.columns if c not in shared.columns]
+    assert names == ["_n_tokens", "_ids", "_text_hash", "_round_trip"]
+    back = piece_lattice.decode(out, ids="_ids").collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in back) == _texts(shared)
+    assert {(r["_id"], r.decoded) for r in back} == {(f"{k}_id", t or "") for k, (_, t, _) in enumerate(SHARED)}
+
+
+def test_all_stages_on_shared_ids(spark, shared, tmp_path):
+    shared.write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert "source" in out.columns and out.where("NOT _round_trip").count() == 0
