@@ -29,8 +29,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; the smallest doc_id stays."""
-    return near_dup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more;
+    the smallest doc_id stays."""
+    return near_dup.drop_near_duplicates(docs, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents and their token ids."""
-    return piece_lattice.encode(docs)
+    """The columns of the documents but the text, and n_tokens, ids, text_hash and round_trip;
+    these four begin with underscores where a column of the documents has their name."""
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    prefix = ""
+    while any(prefix + name in docs.columns for name in piece_lattice.RESULTS):
+        prefix += "_"
+    return piece_lattice.encode(docs, keep=keep, prefix=prefix)
 
 
 STAGES = [
