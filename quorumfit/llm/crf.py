@@ -7,7 +7,10 @@ import numpy as np
 
 def unary(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Scores (tokens x labels) of feature numbers (tokens x slots)."""
-    return weights[features].sum(1)
+    out = np.zeros((len(features), weights.shape[1]))
+    for slot in range(features.shape[1]):
+        out += weights[features[:, slot]]
+    return out
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -99,30 +102,39 @@ def padded(scores: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, real
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
-
-
 def chain_marginals(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray):
-    """Token marginals and expected moves of linear chains, by forward-backward."""
+    """Token marginals and expected moves of linear chains, by forward-backward.
+
+    Chains go longest first, so that every place works on the chains that reach it; sums are
+    brought to one at every place.
+    """
+    lengths = np.diff(starts)
+    order = np.argsort(-lengths, kind="stable")
     grid, real = padded(scores, starts)
     n, places, labels = grid.shape
-    ahead, behind = np.zeros_like(grid), np.zeros_like(grid)
-    for t in range(places):
-        ahead[:, t] = grid[:, t] + (
-            _logsumexp(ahead[:, t - 1][:, :, None] + moves, 1) if t else 0.0
-        )
+    emit = np.exp(grid - grid.max(2, keepdims=True))[order]
+    reach = (np.sort(lengths)[::-1][:, None] > np.arange(places)).sum(0)
+    step = np.exp(moves - moves.max())
+    level = lambda x: x / x.sum(1, keepdims=True)
+    ahead, behind = np.ones_like(emit), np.ones_like(emit)
+    if places:
+        ahead[:, 0] = level(emit[:, 0])
+    for t in range(1, places):
+        m = reach[t]
+        ahead[:m, t] = level((ahead[:m, t - 1] @ step) * emit[:m, t])
     for t in range(places - 2, -1, -1):
-        step = _logsumexp(moves + (grid[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-        behind[:, t] = np.where(real[:, t + 1, None], step, 0.0)
+        m = reach[t + 1]
+        behind[:m, t] = level((emit[:m, t + 1] * behind[:m, t + 1]) @ step.T)
     expected = np.zeros((labels, labels))
     for t in range(1, places):
-        on = real[:, t]
-        joint = ahead[on, t - 1][:, :, None] + moves + (grid[on, t] + behind[on, t])[:, None, :]
-        flat = _softmax(joint.reshape(len(joint), -1)) if len(joint) else np.zeros((0, labels**2))
-        expected += flat.sum(0).reshape(labels, labels)
-    return _softmax(ahead + behind)[real], expected
+        m = reach[t]
+        before, after = ahead[:m, t - 1], emit[:m, t] * behind[:m, t]
+        whole = ((before @ step) * after).sum(1, keepdims=True)
+        expected += ((before / whole).T @ after) * step
+    found = ahead * behind
+    out = np.empty_like(grid)
+    out[order] = found / found.sum(2, keepdims=True)
+    return out[real], expected
 
 
 def fit_chain(features: np.ndarray, labels: np.ndarray, starts: np.ndarray, size: int,

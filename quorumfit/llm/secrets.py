@@ -318,7 +318,7 @@ def train(docs: DataFrame, sample_rows: int = 20_000) -> tuple[np.ndarray, np.nd
     labels = np.concatenate(rows["labels"].to_numpy())
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows["labels"]])])
     grid = np.concatenate(rows["features"].to_numpy()).reshape(-1, _SLOTS)
-    return crf.fit_chain(grid, labels.astype(int), starts, _SIZE, 3, steps=80, decay=0.2)
+    return crf.fit_chain(grid, labels.astype(int), starts, _SIZE, 3, steps=40, decay=0.2)
 
 
 def _uncertain(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray) -> list[tuple[int, int]]:
