@@ -283,8 +283,8 @@ class NestedBlocks:
         if key is None:
             raise ValueError("nested blocks need a key that names the rows")
         counts = tuple(dict.fromkeys(counts))
-        if len(counts) * sum(counts) > SPREAD_LIMIT * 8:
-            raise ValueError("too many blocks for one exchange; sweep the counts one by one")
+        if not cls.suits(counts):
+            raise ValueError(f"more than {SPREAD_LIMIT} blocks; sweep the counts one by one")
         chunks = pack_chunks(assign_blocks(df, lcm(*counts), key)).persist(storage)
         copies = F.array(*[
             F.struct(F.lit(n).alias("count"), F.pmod("part_id", F.lit(n)).alias("block"), F.lit(first).alias("first"))
@@ -302,6 +302,12 @@ class NestedBlocks:
         )
         return cls(chunks, located, counts)
 
+    @staticmethod
+    def suits(counts: Iterable[int]) -> bool:
+        """Whether fine blocks, and copies of the data, are few enough to be worth it."""
+        counts = set(counts)
+        return lcm(*counts) <= SPREAD_LIMIT and sum(counts) <= SPREAD_LIMIT and len(counts) <= 8
+
     @staticmethod
     def _firsts(counts: tuple[int, ...]) -> list[int]:
         return [sum(counts[:k]) for k in range(len(counts))]

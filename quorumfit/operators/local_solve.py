@@ -32,7 +32,7 @@ FLUSH_BYTES = 64 << 20
 BROADCAST_BYTES = 64 << 20
 # Steps of a line search that one pass tries, each half of the one before, and how many of
 # them at most come with their gradient.
-LADDER, LADDER_GRADIENTS = 6, 3
+LADDER, LADDER_GRADIENTS = 4, 3
 
 SOLVED = "part_id int, n bigint, w array<double>, u array<double>, slot int, evaluations int"
 PARTIAL = "part_id int, n bigint, sums array<double>"
@@ -44,9 +44,12 @@ SEARCH = (
 
 
 def logistic_sums(y: np.ndarray, scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sum of logistic losses and their derivatives by score, without overflow."""
+    """Sum of logistic losses and their derivatives by score, without overflow: both come
+    from exp(-|margin|)."""
     margin = y * scores
-    return float(np.logaddexp(0.0, -margin).sum()), -y * np.exp(-np.logaddexp(0.0, margin))
+    small = np.exp(-np.abs(margin))
+    value = np.maximum(-margin, 0.0) + np.log1p(small)
+    return float(value.sum()), -y * np.where(margin >= 0.0, small, 1.0) / (1.0 + small)
 
 
 def dual_update(u: np.ndarray, w: np.ndarray, z: np.ndarray) -> np.ndarray:

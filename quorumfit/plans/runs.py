@@ -375,9 +375,9 @@ def run_grid(
         spark = data.train.sparkSession
         data.train.persist()
         data.test.persist()
-        nested = None
-        if ADMM in algorithms and len(partitions) > 1 and "id" in data.train.columns and "part_id" not in data.train.columns:
-            nested = NestedBlocks.prepare(data.train, partitions)
+        nested, names = None, data.train.columns
+        if ADMM in algorithms and len(partitions) > 1 and "id" in names and "part_id" not in names:
+            nested = NestedBlocks.prepare(data.train, partitions) if NestedBlocks.suits(partitions) else None
         for count in partitions:
             for algorithm in algorithms:
                 own = (options or {}).get(algorithm, {})

@@ -397,3 +397,4 @@ def test_a_sweep_exchanges_its_data_once(rows):
         nested.release()
     with pytest.raises(ValueError, match="key"):
         B.NestedBlocks.prepare(rows.drop("id"), [2, 3])
+    assert not B.NestedBlocks.suits([7, 11, 13, 17]) and B.NestedBlocks.suits([5, 8, 10, 15])
