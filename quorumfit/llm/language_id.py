@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,12 +107,20 @@ def gram_key(head: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
 
+def _numbered(head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct grams, told apart exactly, and where each comes first."""
+    code, _ = pd.factorize((pd.factorize(last)[0].astype(np.int64) << LETTER) | head)
+    first = np.empty(code.max(initial=-1) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, first
+
+
 def _tally(head: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct grams with the sums of their counts."""
-    order = np.lexsort((last, head))
-    head, last, n = head[order], last[order], n[order]
-    first = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (last[1:] != last[:-1])])
-    return head[first], last[first], np.add.reduceat(n, first)
+    code, first = _numbered(head, last)
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, code, n)
+    return head[first], last[first], sums
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +313,7 @@ def _entropies(arrays: Arrays, alphabet: dict, texts: list, langs: list[str]):
     bits, squares, chars = np.zeros((size, len(langs))), np.zeros((size, len(langs))), np.zeros(size)
     for owners, contexts, parts in stretches(texts):
         head, last, starts = grams(contexts, parts)
-        order = np.argsort(gram_key(head, last), kind="stable")
-        first = np.r_[True, (head[order][1:] != head[order][:-1]) | (last[order][1:] != last[order][:-1])]
-        inverse = np.empty(len(last), np.int64)
-        inverse[order] = np.cumsum(first) - 1
-        at = order[first]
+        inverse, at = _numbered(head, last)
         np.add.at(chars, owners, np.diff(np.append(starts, last.size)))
         for j, lang in enumerate(langs):
             cost = -log2(arrays[lang], alphabet[lang], head[at], last[at])
