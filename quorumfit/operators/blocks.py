@@ -27,8 +27,9 @@ SPLIT_MODULUS = 2147483647
 SPLIT_MULTIPLIER = 2654435761
 SPLIT_BUCKETS = 1000
 
-# Bytes of rows that a task holds before it packs them.
-GATHER_BYTES = 64 << 20
+# Bytes of rows that a task holds before it packs them, and that it sorts or writes at a time.
+GATHER_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
 
 
 def assign_blocks(df: DataFrame, n_blocks: int, key: str | None = None) -> DataFrame:
@@ -79,85 +80,131 @@ def cap_rows(df: DataFrame, cap: int, order: str, salts: int = 1024) -> DataFram
         salted = salted.withColumn("_salt", F.pmod("_salt", F.lit(salts)).cast("int"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of a task joined up to ``GATHER_BYTES``, so that a chunk has what a task holds
-    of its block, however many blocks there are."""
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a task joined up to ``PIECE_BYTES``."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             size += batch.nbytes
-        if size >= GATHER_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
+        if size >= PIECE_BYTES:
+            table, held, size = pa.Table.from_batches(held), [], 0
+            yield from table.combine_chunks().to_batches()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out_schema = pa.schema(
-        [
-            ("part_id", pa.int32()),
-            ("n", pa.int64()),
-            ("n_values", pa.int64()),
-            ("dim", pa.int32()),
-            ("sparse", pa.bool_()),
-            ("y", pa.list_(pa.float64())),
-            ("lens", pa.list_(pa.int32())),
-            ("idx", pa.list_(pa.int32())),
-            ("val", pa.list_(pa.float64())),
-        ]
-    )
-
-    def lists(bounds: np.ndarray, values) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+class _Piece:
+    """Rows of a batch sorted by block, as flat arrays, and where each block's begin."""
 
-    for batch in _gathered(batches):
+    def __init__(self, batch: pa.RecordBatch):
         part = batch.column("part_id").to_numpy(zero_copy_only=False)
         order = np.argsort(part, kind="stable")
         batch = batch.take(pa.array(order))
         part = part[order]
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        bounds = np.r_[starts, len(part)]
-        y = batch.column("y")
-        labels = y.to_numpy(zero_copy_only=False)
-        if not np.all(np.abs(labels) == 1.0):
+        self.place = {block: k for k, block in enumerate(part[starts].tolist())}
+        self.bounds = np.r_[starts, len(part)]
+        self.y = batch.column("y").to_numpy(zero_copy_only=False)
+        if not np.all(np.abs(self.y) == 1.0):
             raise ValueError("labels must be -1 or +1")
-        sparse = "idx" in batch.schema.names
-        rows = batch.column("val" if sparse else "x")
+        self.sparse = "idx" in batch.schema.names
+        rows = batch.column("val" if self.sparse else "x")
         values = rows.flatten()
-        lens = rows.value_lengths().to_numpy(zero_copy_only=False)
+        self.lens = rows.value_lengths().to_numpy(zero_copy_only=False)
         if rows.null_count or values.null_count:
             raise ValueError("features must not be null")
-        if not sparse and not np.all(lens == lens[0]):
-            raise ValueError("dense rows must have one width")
-        value_bounds = np.r_[0, np.cumsum(lens)][bounds]
-        empty = lists(np.zeros(len(bounds), np.int32), pa.array([], pa.int32()))
-        if sparse:
-            flat_idx = batch.column("idx").flatten()
-            idx = lists(value_bounds, flat_idx)
-            row_lens = lists(bounds, pa.array(lens, pa.int32()))
-            indices = flat_idx.to_numpy(zero_copy_only=False)
-            dims = [
-                int(indices[a:b].max(initial=-1)) + 1
-                for a, b in zip(value_bounds[:-1], value_bounds[1:])
-            ]
-        else:
-            idx, row_lens, dims = empty, empty, [int(lens[0])] * len(starts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(part[starts], pa.int32()),
-                pa.array(np.diff(bounds), pa.int64()),
-                pa.array(np.diff(value_bounds), pa.int64()),
-                pa.array(dims, pa.int32()),
-                pa.array([sparse] * len(starts)),
-                lists(bounds, pa.array(labels)),
-                row_lens,
-                idx,
-                lists(value_bounds, values),
-            ],
-            schema=out_schema,
-        )
+        self.val = values.to_numpy(zero_copy_only=False)
+        self.idx = None
+        if self.sparse:
+            self.idx = batch.column("idx").flatten().to_numpy(zero_copy_only=False)
+        self.value_bounds = np.r_[0, np.cumsum(self.lens)][self.bounds]
+        self.nbytes = batch.nbytes
+
+    def rows_of(self, k: int) -> slice:
+        return slice(self.bounds[k], self.bounds[k + 1])
+
+    def values_of(self, k: int) -> slice:
+        return slice(self.value_bounds[k], self.value_bounds[k + 1])
+
+
+_CHUNK_ARROW = pa.schema(
+    [
+        ("part_id", pa.int32()),
+        ("n", pa.int64()),
+        ("n_values", pa.int64()),
+        ("dim", pa.int32()),
+        ("sparse", pa.bool_()),
+        ("y", pa.list_(pa.float64())),
+        ("lens", pa.list_(pa.int32())),
+        ("idx", pa.list_(pa.int32())),
+        ("val", pa.list_(pa.float64())),
+    ]
+)
+
+
+def _chunk_batch(blocks: list[tuple[int, list[tuple[_Piece, int]]]]) -> pa.RecordBatch:
+    """A chunk row for each (block, its places in the pieces)."""
+    sparse = blocks[0][1][0][0].sparse
+
+    def lists(name: str, cut, kind: pa.DataType) -> pa.ListArray:
+        parts = [[getattr(p, name)[cut(p, k)] for p, k in found] for _, found in blocks]
+        sizes = [sum(map(len, own)) for own in parts]
+        flat = np.concatenate([a for own in parts for a in own])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, kind))
+
+    y, val = lists("y", _Piece.rows_of, pa.float64()), lists("val", _Piece.values_of, pa.float64())
+    if sparse:
+        lens, idx = lists("lens", _Piece.rows_of, pa.int32()), lists("idx", _Piece.values_of, pa.int32())
+        dims = [max(int(p.idx[p.values_of(k)].max(initial=-1)) for p, k in found) + 1 for _, found in blocks]
+    else:
+        nothing = pa.array(np.zeros(len(blocks) + 1), pa.int32())
+        lens = idx = pa.ListArray.from_arrays(nothing, pa.array([], pa.int32()))
+        dims = [int(found[0][0].lens[0]) for _, found in blocks]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block for block, _ in blocks], pa.int32()),
+            y.value_lengths().cast(pa.int64()),
+            val.value_lengths().cast(pa.int64()),
+            pa.array(dims, pa.int32()),
+            pa.array([sparse] * len(blocks)),
+            y, lens, idx, val,
+        ],
+        schema=_CHUNK_ARROW,
+    )
+
+
+def _chunk_rows(pieces: list[_Piece]) -> Iterator[pa.RecordBatch]:
+    """One chunk per block of the pieces, some blocks at a time."""
+    if not pieces[0].sparse and any(np.any(p.lens != pieces[0].lens[0]) for p in pieces):
+        raise ValueError("dense rows must have one width")
+    places: dict[int, list[tuple[_Piece, int]]] = {}
+    for piece in pieces:
+        for block, k in piece.place.items():
+            places.setdefault(block, []).append((piece, k))
+    ready, size = [], 0
+    for block in sorted(places):
+        ready.append((block, places[block]))
+        size += sum(p.nbytes * len(p.y[p.rows_of(k)]) // len(p.y) for p, k in places[block])
+        if size >= PIECE_BYTES:
+            yield _chunk_batch(ready)
+            ready, size = [], 0
+    if ready:
+        yield _chunk_batch(ready)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task up to ``GATHER_BYTES`` are held once, in sorted pieces, so that a chunk
+    has what a task holds of its block, however many blocks there are."""
+    held, size = [], 0
+    for batch in _joined(batches):
+        held.append(_Piece(batch))
+        size += held[-1].nbytes
+        if size >= GATHER_BYTES:
+            yield from _chunk_rows(held)
+            held, size = [], 0
+    if held:
+        yield from _chunk_rows(held)
 
 
 def pack_chunks(examples: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from quorumfit.session import drop_path, fresh_path
 
 FLUSH_BYTES = 64 << 20
 BROADCAST_BYTES = 64 << 20
+# Values that an evaluation takes up at a time: its arrays by row and by value stay small.
+SLICE_VALUES = 1 << 16
 # Steps of a line search that one pass tries, each half of the one before, and how many of
 # them at most come with their gradient.
 LADDER, LADDER_GRADIENTS = 4, 3
@@ -63,8 +65,7 @@ class Rows:
         self.y, self.dim, self.intercept = y, dim, intercept
         self.width = dim - 1 if intercept else dim
         if len(lens):
-            self.row = np.repeat(np.arange(len(y)), lens)
-            self.idx, self.val, self.x = idx, val, None
+            self.lens, self.idx, self.val, self.x = lens, idx, val, None
         else:
             self.x = val.reshape(len(y), self.width)
 
@@ -72,14 +73,15 @@ class Rows:
         if self.x is not None:
             s = self.x @ w[: self.width]
         else:
-            s = np.bincount(self.row, weights=self.val * w[self.idx], minlength=len(self.y))
+            row = np.repeat(np.arange(len(self.y)), self.lens)
+            s = np.bincount(row, weights=self.val * w[self.idx], minlength=len(self.y))
         return s + w[-1] if self.intercept else s
 
     def pull_back(self, c: np.ndarray) -> np.ndarray:
         if self.x is not None:
             g = self.x.T @ c
         else:
-            g = np.bincount(self.idx, weights=self.val * c[self.row], minlength=self.width)
+            g = np.bincount(self.idx, weights=self.val * np.repeat(c, self.lens), minlength=self.width)
         return np.append(g, c.sum()) if self.intercept else g
 
     def loss_gradient(self, w: np.ndarray, loss: Callable) -> tuple[float, np.ndarray]:
@@ -87,6 +89,53 @@ class Rows:
         return value, self.pull_back(by_score)
 
 
+def sliced(y, lens, idx, val, dim: int, intercept: bool = False) -> Iterator[Rows]:
+    """The rows of a chunk in slices of about ``SLICE_VALUES`` labels and values, or of four
+    times the dimension, which are views of the chunk's arrays."""
+    size = max(SLICE_VALUES, 4 * dim)
+    if len(lens):
+        ends = np.r_[0, np.cumsum(lens, dtype=np.int64)]
+        before = ends + np.arange(len(ends))
+        bounds = np.unique(np.r_[np.searchsorted(before, np.arange(0, before[-1], size)), len(y)])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            at = slice(ends[a], ends[b])
+            yield Rows(y[a:b], lens[a:b], idx[at], val[at], dim, intercept)
+    else:
+        width = dim - int(intercept)
+        step = max(size // (width + 1), 1)
+        for a in range(0, len(y), step):
+            yield Rows(y[a : a + step], lens, idx, val[a * width : (a + step) * width], dim, intercept)
+
+
+def chunk_slices(batch: pa.RecordBatch, k: int, dim: int, intercept: bool = False) -> Iterator[Rows]:
+    """The rows of chunk ``k`` of a batch, in slices."""
+    cells = (
+        batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("y", "lens", "idx", "val")
+    )
+    return sliced(*cells, dim, intercept)
+
+
+class Block:
+    """All rows of a block in slices of its chunks as they came: the block is held once, and
+    an evaluation adds the arrays of one slice."""
+
+    def __init__(self, chunks: pa.Table, dim: int, intercept: bool = False):
+        self.slices = [
+            rows
+            for batch in chunks.to_batches()
+            for k in range(batch.num_rows)
+            for rows in chunk_slices(batch, k, dim, intercept)
+        ]
+
+    def loss_gradient(self, w: np.ndarray, loss: Callable) -> tuple[float, np.ndarray]:
+        values, total = [], np.zeros(len(w))
+        for rows in self.slices:
+            value, grad = rows.loss_gradient(w, loss)
+            values.append(value)
+            total += grad
+        return float(np.sum(values)), total
+
+
 @dataclass
 class Search:
     """L-BFGS with a backtracking step, driven from outside: evaluate the objective at
@@ -241,14 +290,14 @@ def solve_in_task(
         w, u = _vector(right.column("w")[0]), _vector(right.column("u")[0])
         if not first:
             u = problem.dual_update(u, w, z) * dual_scale
-        rows = Rows(
-            _flat(left, "y"), _flat(left, "lens"), _flat(left, "idx"), _flat(left, "val"),
-            problem.dim, problem.intercept,
-        )
         if local_update is not None:
+            rows = Rows(
+                _flat(left, "y"), _flat(left, "lens"), _flat(left, "idx"), _flat(left, "val"),
+                problem.dim, problem.intercept,
+            )
             w, evaluations = local_update(rows, w, u, z, rho), 0
         else:
-            search = problem.start(w)
+            rows, search = Block(left, problem.dim, problem.intercept), problem.start(w)
             while not search.done:
                 loss, grad = rows.loss_gradient(search.trial(), problem.loss)
                 problem.observe(search, n, loss, grad, z - u, rho)
@@ -319,17 +368,14 @@ def _chunk_sums(
             for k in range(batch.num_rows):
                 if shared is not None and part[k] not in shared.value:
                     continue
-                cells = {
-                    c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)
-                    for c in columns[2:]
-                }
-                rows = Rows(
-                    cells["y"], cells["lens"], cells["idx"], cells["val"], dim, intercept
-                )
-                point = cells["point"] if shared is None else shared.value[part[k]]
+                if shared is None:
+                    point = batch.column("point")[k].values.to_numpy(zero_copy_only=False)
+                else:
+                    point = shared.value[part[k]]
                 slot = held.setdefault(part[k], [0, np.zeros(width)])
-                slot[0] += len(rows.y)
-                slot[1] += evaluate(rows, point)
+                for rows in chunk_slices(batch, k, dim, intercept):
+                    slot[0] += len(rows.y)
+                    slot[1] += evaluate(rows, point)
                 if len(held) * width * 8 > FLUSH_BYTES:
                     yield release()
         if held:

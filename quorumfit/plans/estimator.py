@@ -21,8 +21,8 @@ from quorumfit.session import drop_path, fresh_path, hadoop_path
 
 # Bytes of all blocks' states up to which a round returns them rather than writes them.
 GATHER_BYTES = 32 << 20
-# Bytes of task memory per stored value: a dense value once, a sparse one with its
-# index, its row number and one product.
+# Bytes of task memory per stored value: a dense value once, a sparse one with its index, and
+# the row number and product that whole rows in the hands of a ``local_update`` need.
 DENSE_VALUE_BYTES = 8
 SPARSE_VALUE_BYTES = 28
 

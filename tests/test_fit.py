@@ -1,6 +1,9 @@
 """Invariants of the consensus fit."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -398,3 +401,44 @@ def test_a_sweep_exchanges_its_data_once(rows):
     with pytest.raises(ValueError, match="key"):
         B.NestedBlocks.prepare(rows.drop("id"), [2, 3])
     assert not B.NestedBlocks.suits([7, 11, 13, 17]) and B.NestedBlocks.suits([5, 8, 10, 15])
+
+
+def _row_batches(n_batches, sparse=False):
+    """Batches of 4,000 rows in 8 blocks, about 130 or 180 kB each; some sparse rows are empty."""
+    rng = np.random.default_rng(7)
+    for _ in range(n_batches):
+        lens = rng.integers(0, 4, 4000) if sparse else np.full(4000, 2)
+        lists = lambda a: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)], pa.int32()), pa.array(a))
+        cells = {"part_id": pa.array(rng.integers(0, 8, 4000), pa.int32()), "y": pa.array(rng.choice([-1.0, 1.0], 4000))}
+        if sparse:
+            cells["idx"] = lists(rng.integers(0, 9, lens.sum()).astype(np.int32))
+        cells["val" if sparse else "x"] = lists(rng.normal(size=lens.sum()))
+        yield pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
+
+
+def test_packing_holds_its_rows_once(monkeypatch):
+    monkeypatch.setattr(B, "GATHER_BYTES", 8 << 20)
+    monkeypatch.setattr(B, "PIECE_BYTES", 1 << 20, raising=False)
+    before, held, rows = pa.total_allocated_bytes(), [], 0
+    for chunks in B._pack(_row_batches(150)):
+        held.append(pa.total_allocated_bytes() - before)
+        rows += sum(chunks.column("n").to_pylist())
+    assert rows == 600_000
+    assert max(held) < 2 * B.GATHER_BYTES
+
+
+@pytest.mark.parametrize("sparse, intercept", [(False, False), (False, True), (True, False), (True, True)])
+def test_a_block_is_held_once_and_summed_in_slices(sparse, intercept):
+    chunks = pa.Table.from_batches(B._pack(_row_batches(200, sparse)))
+    dim = (9 if sparse else 2) + intercept
+    w = np.linspace(-1, 1, dim)
+    tracemalloc.start()
+    block = LS.Block(chunks, dim, intercept)
+    value, grad = block.loss_gradient(w, LS.logistic_sums)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < chunks.nbytes / 2
+    whole = LS.Rows(*(LS._flat(chunks, c) for c in ("y", "lens", "idx", "val")), dim, intercept)
+    assert sum(len(r.y) for r in block.slices) == len(whole.y) == 800_000
+    expected, slope = whole.loss_gradient(w, LS.logistic_sums)
+    assert abs(value - expected) < 1e-12 * expected and np.allclose(grad, slope, rtol=1e-9)
