@@ -11,7 +11,7 @@ from datetime import datetime
 from functools import reduce
 
 import pyspark
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from quorumfit.plans.baseline import fit_lbfgs
 from quorumfit.plans.estimator import ConsensusLogisticRegression
 from quorumfit.functions.text import sample_size_tag
 from quorumfit.schemas import METRICS, MODEL, RUN_KEY, RUN_LOG
-from quorumfit.session import hadoop_path
+from quorumfit.session import drop_path, fresh_path, hadoop_path
 from quorumfit.sources.csv import write_metrics_csv
 from quorumfit.sources.libsvm import layout, read_libsvm, scan_libsvm
 from quorumfit.sources.registry import DATASETS, accepted, load_dataset, reader_of, resolve
@@ -32,6 +32,8 @@ DEFAULT_BLOCKS = 8
 DEFAULT_LAMBDA = 0.01
 DEFAULT_MAX_ITER = {ADMM: 50, LBFGS: 100}
 SWEEP_PARTITIONS = (5, 8, 10, 15)
+# Runs that a task orders when runs are appended to the log.
+SLICE_ROWS = 1 << 18
 
 # Wording of the run report.
 RULE = "=" * 60
@@ -255,28 +257,74 @@ def append_runs(metrics: DataFrame, path: str) -> list[int]:
     get different ones; one that fails after its claim leaves a gap.
     """
     spark = metrics.sparkSession
-    counts = metrics.groupBy(*RUN_KEY).count().orderBy(*RUN_KEY).collect()
-    last = {}
-    if _exists(spark, path):
-        log = spark.read.schema(RUN_LOG).parquet(path)
-        for row in log.groupBy(*RUN_KEY).agg(F.max("run_id").alias("last")).collect():
-            last[tuple(row[c] for c in RUN_KEY)] = row["last"]
-    firsts = []
-    for row in counts:
-        key = tuple(row[c] for c in RUN_KEY)
-        firsts.append((*key, claim_numbers(spark, path, key, last.get(key, 0) + 1, row["count"])))
-    schema = T.StructType([*(METRICS[c] for c in RUN_KEY), T.StructField("_first", T.IntegerType())])
-    first = spark.createDataFrame(firsts, schema)
-    turn = F.row_number().over(Window.partitionBy(*RUN_KEY).orderBy("timestamp"))
-    same = [metrics[c].eqNullSafe(F.col(f"_key.{c}")) for c in RUN_KEY]
-    keyed = first.select(F.struct(*RUN_KEY).alias("_key"), "_first")
-    numbered = (
-        metrics.join(F.broadcast(keyed), reduce(Column.__and__, same))
-        .withColumn("run_id", turn + F.col("_first") - 1)
-        .select(*RUN_LOG.fieldNames())
+    ordered_path = fresh_path(spark, "runs")
+    try:
+        ordered, slices = _ordered_runs(metrics, ordered_path)
+        counts: dict[tuple, int] = {}
+        for row in slices:
+            key = tuple(row[c] for c in RUN_KEY)
+            counts[key] = counts.get(key, 0) + row["n"]
+        last = {}
+        if _exists(spark, path):
+            log = spark.read.schema(RUN_LOG).parquet(path)
+            for row in log.groupBy(*RUN_KEY).agg(F.max("run_id").alias("last")).collect():
+                last[tuple(row[c] for c in RUN_KEY)] = row["last"]
+        firsts = {
+            key: claim_numbers(spark, path, key, last.get(key, 0) + 1, count)
+            for key, count in counts.items()
+        }
+        shifts, following = [], dict(firsts)
+        for row in slices:
+            key = tuple(row[c] for c in RUN_KEY)
+            shifts.append((*key, row["_slice"], following[key] - row["first"]))
+            following[key] += row["n"]
+        schema = T.StructType([
+            *(METRICS[c] for c in RUN_KEY),
+            T.StructField("_slice", T.IntegerType()), T.StructField("_shift", T.LongType()),
+        ])
+        shift = spark.createDataFrame(shifts, schema)
+        keyed = shift.select(F.struct("_slice", *RUN_KEY).alias("_key"), "_shift")
+        same = [ordered[c].eqNullSafe(F.col(f"_key.{c}")) for c in ("_slice", *RUN_KEY)]
+        numbered = (
+            ordered.join(F.broadcast(keyed), reduce(Column.__and__, same))
+            .withColumn("run_id", (F.col("_place") + F.col("_shift")).cast("int"))
+            .select(*RUN_LOG.fieldNames())
+        )
+        numbered.write.mode("append").partitionBy("dataset", "algorithm").parquet(path)
+    finally:
+        drop_path(spark, ordered_path)
+    return list(firsts.values())
+
+
+def _ordered_runs(metrics: DataFrame, path: str) -> tuple[DataFrame, list[Row]]:
+    """The runs as a table at ``path``, in order of run key and time, with their slice of it
+    and place in that; and by slice and run key, in that order, the first place and how many
+    there are.
+
+    A run key has as many slices as its rows need, so no task sorts all runs of one; only
+    rows that are equal throughout share one. The table is written once, as later passes
+    must find the same slices.
+    """
+    spark = metrics.sparkSession
+    order = [*RUN_KEY, "timestamp"]
+    # Runs of one time are told apart by what they hold, so that they spread as well.
+    tie = F.xxhash64(*METRICS.fieldNames())
+    rows = metrics.select(*METRICS.fieldNames())
+    slices = max(-(-rows.count() // SLICE_ROWS), 1)
+    (
+        rows.withColumn("_tie", tie)
+        .repartitionByRange(slices, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
+        .withColumn("_slice", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
+        .drop("_tie")
+        .write.parquet(path)
+    )
+    ordered = spark.read.parquet(path)
+    found = ordered.groupBy("_slice", *RUN_KEY).agg(
+        F.min("_place").alias("first"), F.count("*").alias("n")
     )
-    numbered.write.mode("append").partitionBy("dataset", "algorithm").parquet(path)
-    return [row[-1] for row in firsts]
+    return ordered, found.orderBy("first").collect()
 
 
 def claim_numbers(spark: SparkSession, path: str, key: tuple, start: int, count: int) -> int:

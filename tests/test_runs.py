@@ -79,6 +79,32 @@ def test_claims_of_several_numbers(spark):
     assert runs.claim_numbers(spark, path, ("4_1", "rcv1", "admm", 8), 1, 1) == 1
 
 
+def test_runs_of_one_key_are_numbered_in_slices(spark, sf_dir, monkeypatch):
+    """Every second run shares its time with the one before; one key has a null."""
+    monkeypatch.setattr(runs, "SLICE_ROWS", 100)
+    hours = (F.col("train_samples") / 2).cast("int") * 3600
+    rows = X.metrics(spark, sf_dir).withColumn("timestamp", F.timestamp_seconds(hours)).withColumn(
+        "dataset", F.lit("higgs")).withColumn("algorithm", F.lit("admm")).withColumn("spark_version", F.lit("4_0"))
+    rows = rows.withColumn("partitions", F.when(F.col("train_samples") % 10 > 0, 8)).cache()
+    total, scratch = rows.count(), fresh_path(spark, "runs")
+    assert total > 1000
+    _, slices = runs._ordered_runs(rows, scratch)
+    drop_path(spark, scratch)
+    assert sum(s["n"] for s in slices) == total
+    assert max(s["n"] for s in slices) < total / 4
+    path = fresh_path(spark, "log")
+    assert runs.append_runs(rows, path) == [1, 1]
+    assert runs.append_runs(rows, path) == [1 + rows.filter("partitions IS NULL").count(), 1 + rows.filter("partitions = 8").count()]
+    log = spark.read.parquet(path).select("partitions", "run_id", "timestamp", "train_samples").collect()
+    for key in (None, 8):
+        own = sorted((r for r in log if r["partitions"] == key), key=lambda r: r["run_id"])
+        assert [r["run_id"] for r in own] == list(range(1, len(own) + 1))
+        for half in (own[: len(own) // 2], own[len(own) // 2 :]):
+            times = [r["timestamp"] for r in half]
+            assert times == sorted(times) and len({r["train_samples"] for r in half}) == len(half)
+    rows.unpersist()
+
+
 def test_batch_entry(spark, sf_dir, tmp_path):
     rows = X.as_sparse(X.ex_pair(spark, sf_dir))
     libsvm.write_libsvm(rows, f"{tmp_path}/in", base=1)
