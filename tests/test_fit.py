@@ -416,11 +416,12 @@ def _row_batches(n_batches, sparse=False):
         yield pa.RecordBatch.from_arrays(list(cells.values()), list(cells))
 
 
-def test_packing_holds_its_rows_once(monkeypatch):
+@pytest.mark.parametrize("sparse", [False, True])
+def test_packing_holds_its_rows_once(monkeypatch, sparse):
     monkeypatch.setattr(B, "GATHER_BYTES", 8 << 20)
     monkeypatch.setattr(B, "PIECE_BYTES", 1 << 20, raising=False)
     before, held, rows = pa.total_allocated_bytes(), [], 0
-    for chunks in B._pack(_row_batches(150)):
+    for chunks in B._pack(_row_batches(150, sparse)):
         held.append(pa.total_allocated_bytes() - before)
         rows += sum(chunks.column("n").to_pylist())
     assert rows == 600_000
