@@ -25,6 +25,9 @@ GATHER_BYTES = 32 << 20
 # the row number and product that whole rows in the hands of a ``local_update`` need.
 DENSE_VALUE_BYTES = 8
 SPARSE_VALUE_BYTES = 28
+# And per row: its label, and the length of a sparse one.
+DENSE_ROW_BYTES = 8
+SPARSE_ROW_BYTES = 12
 
 
 _STATE_COLUMNS = ["part_id", "n", "w", "u", "slot", "evaluations"]
@@ -181,7 +184,8 @@ class ConsensusLogisticRegression:
             updater.loss, updater.dual_update,
         )
         per_value = SPARSE_VALUE_BYTES if found["sparse"] else DENSE_VALUE_BYTES
-        largest = found["max_values"] * per_value + 8 * found["max_rows"]
+        per_row = SPARSE_ROW_BYTES if found["sparse"] else DENSE_ROW_BYTES
+        largest = found["max_values"] * per_value + found["max_rows"] * per_row
         in_task = self.placement == "task" or (
             self.placement == "auto" and largest <= self.block_budget
         )

@@ -443,3 +443,17 @@ def test_a_block_is_held_once_and_summed_in_slices(sparse, intercept):
     assert sum(len(r.y) for r in block.slices) == len(whole.y) == 800_000
     expected, slope = whole.loss_gradient(w, LS.logistic_sums)
     assert abs(value - expected) < 1e-12 * expected and np.allclose(grad, slope, rtol=1e-9)
+
+
+def test_a_task_gets_no_block_that_holds_more_than_the_budget(spark):
+    """Sparse rows of which nine in ten are empty: their lengths are most of what is held."""
+    rows = spark.range(800).select(
+        (F.col("id") % 8).cast("int").alias("part_id"),
+        F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("y"),
+        F.expr("IF(id % 80 < 8, array(1), array())").cast("array<int>").alias("idx"),
+        F.expr("IF(id % 80 < 8, array(0.5D), array())").cast("array<double>").alias("val"),
+    )
+    chunks = B.pack_chunks(rows).toArrow()
+    held = sum(LS._flat(chunks, c).nbytes for c in ("y", "lens", "idx", "val"))
+    model = ConsensusLogisticRegression(block_budget=held // 8 - 1, max_iter=1).fit(rows)
+    assert held == 800 * 12 + 80 * 12 and model.placement == "across"
